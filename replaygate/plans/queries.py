@@ -240,3 +240,138 @@ def q_burst_admission(spark, sf_dir):
     cur = limits.current_limits(dec)
     ev = limits.with_limits(ge.select("event_id", "client_id", "event_ts"), cur)
     return admission.admit_burst(ev, "limit_per_minute").select("event_id", "client_id", "limit_per_minute", "admitted")
+
+
+# --------------------------------------------------------------------------- closed loop (C4) and its parts
+
+from . import pipelines as P  # noqa: E402
+from ..operators import joins, windows  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+_C4_SQL = f"""WITH RECURSIVE {S.ge_replay('r1', 'usecase_round_1')}, {S.ge_replay('r2', 'usecase_round_2')},
+{S.exact_metrics('r1', 'm1')},
+lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM m1 GROUP BY client_id),
+r2l AS (SELECT r2.*, greatest(50, coalesce(lim.l, 10000)) AS limit_per_minute
+        FROM r2 LEFT JOIN lim ON r2.client_id = lim.client_id),
+{S.token_bucket('r2l', 'limit_per_minute', order='us, event_id, copy_no', extra='source_topic, dedup_key, copy_no')},
+acc AS (SELECT k AS client_id, source_topic, dedup_key FROM tb WHERE admitted),
+{S.exact_metrics('acc', 'm2')}"""
+
+_J5_SELECT = """
+both_m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+cmp AS (
+  SELECT CAST(coalesce(sum(CASE WHEN use_case_topic = '{b}' THEN raw_events END), 0) AS BIGINT) AS baseline_raw,
+         CAST(coalesce(sum(CASE WHEN use_case_topic = '{b}' THEN unique_events END), 0) AS BIGINT) AS baseline_unique,
+         CAST(coalesce(sum(CASE WHEN use_case_topic = '{b}' THEN duplicate_events END), 0) AS BIGINT) AS baseline_duplicates,
+         CAST(coalesce(sum(CASE WHEN use_case_topic = '{p}' THEN raw_events END), 0) AS BIGINT) AS protected_raw,
+         CAST(coalesce(sum(CASE WHEN use_case_topic = '{p}' THEN unique_events END), 0) AS BIGINT) AS protected_unique,
+         CAST(coalesce(sum(CASE WHEN use_case_topic = '{p}' THEN duplicate_events END), 0) AS BIGINT) AS protected_duplicates,
+         count(*) FILTER (WHERE use_case_topic = '{b}') AS nb, count(*) FILTER (WHERE use_case_topic = '{p}') AS np
+  FROM both_m WHERE use_case_topic IN ('{b}', '{p}')
+)
+SELECT '{b}' AS baseline_topic, '{p}' AS protected_topic, baseline_raw, baseline_unique, baseline_duplicates,
+       protected_raw, protected_unique, protected_duplicates,
+       CAST(greatest(0, baseline_raw - protected_raw) AS BIGINT) AS load_reduced,
+       CAST(greatest(0, baseline_duplicates - protected_duplicates) AS BIGINT) AS waste_reduced,
+       CASE WHEN baseline_raw = 0 THEN 0.0 ELSE 100.0 * CAST(greatest(0, baseline_raw - protected_raw) AS DOUBLE) / CAST(baseline_raw AS DOUBLE) END AS load_reduction_pct,
+       CASE WHEN baseline_duplicates = 0 THEN 0.0 ELSE 100.0 * CAST(greatest(0, baseline_duplicates - protected_duplicates) AS DOUBLE) / CAST(baseline_duplicates AS DOUBLE) END AS waste_reduction_pct,
+       CASE WHEN baseline_raw = 0 THEN 0.0 ELSE 100.0 * CAST(protected_raw AS DOUBLE) / CAST(baseline_raw AS DOUBLE) END AS protected_load_pct
+FROM cmp WHERE nb > 0 AND np > 0"""
+
+
+def _loop(spark, sf_dir):
+    return P.closed_loop(read_table(spark, sf_dir, "events"))
+
+
+@register("closed_loop", _C4_SQL + "," + _J5_SELECT.format(b="usecase_round_1", p="usecase_round_2"))
+def q_closed_loop(spark, sf_dir):
+    """C4: round 1 open, limits from exact ratios, round 2 through the adaptive bucket, J5 comparison."""
+    return _loop(spark, sf_dir).comparison
+
+
+@register("closed_loop_limits", f"""WITH {S.ge_replay('r1', 'usecase_round_1')}, {S.exact_metrics('r1', 'm1')}
+SELECT client_id, use_case_topic, duplicate_ratio, {S.tier('duplicate_ratio')} AS new_limit_per_minute FROM m1""")
+def q_closed_loop_limits(spark, sf_dir):
+    """C2 on round 1: one decision per client (tiers from exact ratios)."""
+    return _loop(spark, sf_dir).decisions.decisions.select("client_id", "use_case_topic", "duplicate_ratio",
+                                                           "new_limit_per_minute")
+
+
+@register("closed_loop_admission", _C4_SQL + """
+SELECT k AS client_id, CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS admitted,
+       CAST(count(*) FILTER (WHERE NOT admitted) AS BIGINT) AS blocked, min(lim) AS limit_per_minute
+FROM tb GROUP BY k""")
+def q_closed_loop_admission(spark, sf_dir):
+    """T8 with per-client adaptive limits (J1): admitted and blocked per client in round 2."""
+    r2 = _loop(spark, sf_dir).round2
+    return r2.groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("admitted").alias("admitted"),
+        F.count_if(~F.col("admitted")).alias("blocked"), F.min("limit_per_minute").alias("limit_per_minute"))
+
+
+@register("blocked_events", _C4_SQL + """
+SELECT event_id, copy_no, k AS client_id, tok AS tokens FROM tb WHERE NOT admitted""")
+def q_blocked_events(spark, sf_dir):
+    """the blocked side of the round-2 split (with the bucket level at the time)."""
+    _, blocked = admission.split_admitted(_loop(spark, sf_dir).round2)
+    return blocked.select("event_id", "copy_no", "client_id", "tokens")
+
+
+@register("throttled_clients", f"""WITH {S.ge_replay('r1', 'usecase_round_1')}, {S.exact_metrics('r1', 'm1')},
+d AS (SELECT client_id, use_case_topic, duplicate_ratio, {S.tier('duplicate_ratio')} AS new_limit_per_minute FROM m1)
+SELECT client_id, use_case_topic, new_limit_per_minute FROM d WHERE new_limit_per_minute < 10000""")
+def q_throttled_clients(spark, sf_dir):
+    """decisions below the default limit."""
+    return limits.throttled(_loop(spark, sf_dir).decisions.decisions).select(
+        "client_id", "use_case_topic", "new_limit_per_minute")
+
+
+@register("throttle_count", f"""WITH {S.ge_replay('r1', 'usecase_round_1')}, {S.exact_metrics('r1', 'm1')}
+SELECT use_case_topic, CAST(count(*) FILTER (WHERE {S.tier('duplicate_ratio')} < 10000) AS BIGINT) AS throttled_decisions
+FROM m1 GROUP BY use_case_topic""")
+def q_throttle_count(spark, sf_dir):
+    """Throttling decisions per topic."""
+    return limits.throttle_count(_loop(spark, sf_dir).decisions.decisions, by=("use_case_topic",))
+
+
+@register("guess_comparison", _C4_SQL + """,
+t AS (SELECT use_case_topic AS t FROM m1 UNION ALL SELECT use_case_topic FROM m2),
+g AS (SELECT min(t) FILTER (WHERE regexp_matches(t, 'round_1|baseline', 'i')) AS b,
+             min(t) FILTER (WHERE regexp_matches(t, 'round_2|protected', 'i')) AS p,
+             min(t) AS first FROM t)
+SELECT coalesce(b, first) AS baseline_topic,
+       coalesce(p, CASE WHEN coalesce(b, first) = first THEN (SELECT min(t) FROM t WHERE t > (SELECT first FROM g))
+                        ELSE first END) AS protected_topic
+FROM g""")
+def q_guess_comparison(spark, sf_dir):
+    """baseline and protected topics guessed from the topic names."""
+    lp = _loop(spark, sf_dir)
+    return joins.guess_comparison(lp.metrics1.unionByName(lp.metrics2))
+
+
+@register("evidence_report", _C4_SQL + """,
+allm AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
+thr AS (SELECT count(*) AS c FROM m1 WHERE """ + S.tier("duplicate_ratio") + """ < 10000),
+a AS (
+  SELECT CAST(sum(raw_events) AS BIGINT) AS total_raw, CAST(sum(unique_events) AS BIGINT) AS total_unique,
+         CAST(sum(duplicate_events) AS BIGINT) AS total_duplicates,
+         CAST(count(DISTINCT client_id) + coalesce(max(CAST(client_id IS NULL AS INTEGER)), 0) AS BIGINT) AS active_clients,
+         CAST(sum(raw_events) FILTER (WHERE use_case_topic = 'usecase_round_1') AS BIGINT) AS br,
+         CAST(sum(duplicate_events) FILTER (WHERE use_case_topic = 'usecase_round_1') AS BIGINT) AS bd,
+         CAST(sum(raw_events) FILTER (WHERE use_case_topic = 'usecase_round_2') AS BIGINT) AS pr,
+         CAST(sum(duplicate_events) FILTER (WHERE use_case_topic = 'usecase_round_2') AS BIGINT) AS pd,
+         arg_min(client_id, (-duplicate_ratio, use_case_topic, client_id)) AS replay_client,
+         max(duplicate_ratio) AS replay_client_ratio
+  FROM allm)
+SELECT total_raw, total_unique, total_duplicates, active_clients,
+       CASE WHEN total_raw = 0 THEN 0.0 ELSE CAST(total_duplicates AS DOUBLE) / CAST(total_raw AS DOUBLE) END AS total_ratio,
+       CAST(greatest(0, br - pr) AS BIGINT) AS load_reduced, CAST(greatest(0, bd - pd) AS BIGINT) AS waste_reduced,
+       CASE WHEN br = 0 THEN 0.0 ELSE 100.0 * CAST(greatest(0, br - pr) AS DOUBLE) / CAST(br AS DOUBLE) END AS load_reduction_pct,
+       CASE WHEN bd = 0 THEN 0.0 ELSE 100.0 * CAST(greatest(0, bd - pd) AS DOUBLE) / CAST(bd AS DOUBLE) END AS waste_reduction_pct,
+       replay_client, replay_client_ratio, (SELECT c FROM thr) AS throttled_decisions
+FROM a""")
+def q_evidence_report(spark, sf_dir):
+    """Totals, reductions, replay client and throttled decisions in one row."""
+    lp = _loop(spark, sf_dir)
+    return P.evidence_report(lp.metrics1.unionByName(lp.metrics2), lp.decisions.decisions,
+                             P.ROUND_1, P.ROUND_2)

@@ -186,9 +186,47 @@ def ingest_summary(df: DataFrame, topic_col: str = "source_topic", with_rejectio
 def first_rejections(df: DataFrame, topic_col: str = "source_topic", order=("us", "event_id"),
                      n: int = MAX_REJECTIONS) -> DataFrame:
     """L4: the first n rejected events per topic in arrival order."""
-    w = Window.partitionBy(F.col(topic_col)).orderBy(*order)
+    w = Window.partitionBy("topic").orderBy(*order)
     return (df.filter(~F.col("admitted"))
               .select(F.col(topic_col).alias("topic"), "client_id", "entity_id", *order)
               .withColumn("rn", F.row_number().over(w))
               .filter(F.col("rn") <= F.lit(n))
               .select("topic", "rn", "client_id", "entity_id"))
+
+
+def upload_gauges(runs: DataFrame) -> DataFrame:
+    """Uploads counted; last upload's total / accepted / rejected (last in (saved_at, topic) order)."""
+    o = F.struct(F.col("saved_at"), F.col("topic"))
+    return runs.agg(
+        F.count(F.lit(1)).alias("uploads_total"),
+        F.max_by("total_events", o).alias("last_upload_total_events"),
+        F.max_by("accepted", o).alias("last_upload_accepted"),
+        F.max_by("rejected", o).alias("last_upload_rejected"),
+    )
+
+
+def topic_log(accepted: DataFrame, partitions: int = 4, topic_col: str = "source_topic",
+              order=("us", "event_id")) -> DataFrame:
+    """Offsets a topic log would assign to published events: partition by a hash of
+    the order key (the producer sends no key), offset = position within
+    (topic, partition). The numbering window runs per (topic, partition)."""
+    from pyspark.sql import Window
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(partitions)).cast("int")
+    w = Window.partitionBy("topic", "partition").orderBy(*order)
+    return accepted.select(F.col(topic_col).alias("topic"), part.alias("partition"), *order) \
+        .withColumn("offset", F.row_number().over(w) - 1)
+
+
+def offset_totals(log: DataFrame) -> DataFrame:
+    """Messages per topic from partition offsets: sum over partitions of max - min + 1."""
+    per = log.groupBy("topic", "partition").agg((F.max("offset") - F.min("offset") + 1).alias("n"))
+    return per.groupBy("topic").agg(F.sum("n").cast("long").alias("messages"),
+                                    F.count(F.lit(1)).alias("partitions"))
+
+
+def offsets_from_map(offsets: DataFrame, col: str = "offsets") -> DataFrame:
+    """A13 from a {topic: {partition: offset}} map column (end offsets; start 0)."""
+    t = offsets.select(F.explode(F.col(col)).alias("topic", "_p"))
+    p = t.select("topic", F.explode("_p").alias("partition", "offset"))
+    return p.groupBy("topic").agg(F.sum("offset").cast("long").alias("messages"),
+                                  F.count(F.lit(1)).alias("partitions"))

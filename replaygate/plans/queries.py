@@ -375,3 +375,182 @@ def q_evidence_report(spark, sf_dir):
     lp = _loop(spark, sf_dir)
     return P.evidence_report(lp.metrics1.unionByName(lp.metrics2), lp.decisions.decisions,
                              P.ROUND_1, P.ROUND_2)
+
+
+# --------------------------------------------------------------------------- four-mode experiment (C5) and its parts
+
+_C5_SQL = f"""WITH RECURSIVE {S.ge_replay('base', 'baseline')}, {S.exact_metrics('base', 'mb')},
+lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM mb GROUP BY client_id),
+modes AS (SELECT * FROM (VALUES (0, 'none', 'No Rate Limiting'), (1, 'static', 'Static Token Bucket'),
+                                (2, 'storage_only', 'Storage-only Dedup'), (3, 'radar', 'RADAR Adaptive'))
+          t(mode_order, experiment_mode, mode_label)),
+ev AS (
+  SELECT b.event_id, b.copy_no, b.us, b.client_id, b.event_type, b.entity_id, m.experiment_mode,
+         'usecase_experiment_' || m.experiment_mode AS source_topic,
+         CASE WHEN m.experiment_mode IN ('none', 'storage_only') THEN 10000 WHEN m.experiment_mode = 'static' THEN 1000
+              ELSE greatest(50, coalesce(lim.l, 10000)) END AS limit_per_minute
+  FROM base b CROSS JOIN modes m LEFT JOIN lim ON b.client_id = lim.client_id
+),
+evk AS (SELECT *, sha256(concat_ws(':', source_topic, client_id, event_type, entity_id)) AS dedup_key,
+               experiment_mode || '|' || client_id AS bk FROM ev),
+{S.token_bucket("(SELECT * FROM evk WHERE experiment_mode IN ('static', 'radar'))", 'limit_per_minute', key='bk',
+                order='us, event_id, copy_no', extra='client_id, source_topic, dedup_key, experiment_mode, entity_id, copy_no')},
+outv AS (
+  SELECT client_id, source_topic, dedup_key, experiment_mode, entity_id, us, event_id, copy_no, admitted, tok, lim
+  FROM tb
+  UNION ALL
+  SELECT client_id, source_topic, dedup_key, experiment_mode, entity_id, us, event_id, copy_no, true, NULL, limit_per_minute
+  FROM evk WHERE experiment_mode IN ('none', 'storage_only')
+),
+acc AS (SELECT * FROM outv WHERE admitted), {S.exact_metrics('acc', 'ma')},
+runs AS (SELECT source_topic AS topic, experiment_mode, CAST(count(*) AS BIGINT) AS total_events,
+                CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS accepted,
+                CAST(count(*) FILTER (WHERE NOT admitted) AS BIGINT) AS rejected
+         FROM outv GROUP BY source_topic, experiment_mode),
+tt AS (SELECT use_case_topic AS topic, sum(raw_events) AS r, sum(unique_events) AS u, sum(duplicate_events) AS d
+       FROM ma GROUP BY use_case_topic),
+rm AS (SELECT runs.*, CAST(coalesce(r, 0) AS BIGINT) AS kafka_messages, CAST(coalesce(u, 0) AS BIGINT) AS clean_events,
+              CAST(coalesce(d, 0) AS BIGINT) AS duplicate_waste
+       FROM runs LEFT JOIN tt ON runs.topic = tt.topic)"""
+
+
+def _exp(spark, sf_dir):
+    return P.mode_experiment(read_table(spark, sf_dir, "events"))
+
+
+@register("mode_experiment", _C5_SQL + """
+SELECT m.mode_order, m.experiment_mode, m.mode_label, rm.topic, rm.total_events, rm.accepted, rm.rejected,
+       CAST(NULL AS TIMESTAMP) AS saved_at, rm.kafka_messages, rm.clean_events, rm.duplicate_waste,
+       """ + S.ratio("rm.duplicate_waste", "rm.kafka_messages") + """ AS duplicate_ratio,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS runs
+FROM modes m LEFT JOIN rm ON m.experiment_mode = rm.experiment_mode
+LEFT JOIN (SELECT experiment_mode, count(*) AS n FROM rm GROUP BY experiment_mode) c ON m.experiment_mode = c.experiment_mode""")
+def q_mode_experiment(spark, sf_dir):
+    """C5 (+J3, J4, W3): load and waste per experiment mode on the same input."""
+    res = _exp(spark, sf_dir).results
+    return res.withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz"))
+
+
+@register("runs_with_metrics", _C5_SQL + """
+SELECT topic, experiment_mode, total_events, accepted, rejected, kafka_messages, clean_events, duplicate_waste,
+       """ + S.ratio("duplicate_waste", "kafka_messages") + """ AS duplicate_ratio FROM rm""")
+def q_runs_with_metrics(spark, sf_dir):
+    """Every run joined with its topic's metric totals."""
+    e = _exp(spark, sf_dir)
+    return joins.runs_with_metrics(e.runs.drop("saved_at"), e.metrics)
+
+
+@register("latest_run", _C5_SQL + """
+SELECT topic, experiment_mode, total_events, accepted, rejected FROM (
+  SELECT *, row_number() OVER (PARTITION BY experiment_mode ORDER BY topic DESC) AS rn FROM runs) WHERE rn = 1""")
+def q_latest_run(spark, sf_dir):
+    """Latest run per mode (last in topic-name order)."""
+    return windows.latest_run(_exp(spark, sf_dir).runs).drop("saved_at")
+
+
+@register("admission_counters", _C5_SQL + """
+SELECT client_id, source_topic AS topic, CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS accepted,
+       CAST(count(*) FILTER (WHERE NOT admitted) AS BIGINT) AS blocked
+FROM outv GROUP BY client_id, source_topic""")
+def q_admission_counters(spark, sf_dir):
+    """Accepted and blocked per (client, topic) across the four runs."""
+    return admission.admission_counters(_exp(spark, sf_dir).events)
+
+
+@register("ingest_summary", _C5_SQL + """
+SELECT topic, total_events, accepted, rejected FROM runs""")
+def q_ingest_summary(spark, sf_dir):
+    """A10: per use-case upload totals."""
+    return admission.ingest_summary(_exp(spark, sf_dir).events, with_rejections=False)
+
+
+@register("first_rejections", _C5_SQL + """
+SELECT topic, rn, client_id, entity_id FROM (
+  SELECT source_topic AS topic, client_id, entity_id,
+         row_number() OVER (PARTITION BY source_topic ORDER BY us, event_id, copy_no) AS rn
+  FROM outv WHERE NOT admitted) WHERE rn <= 20""")
+def q_first_rejections(spark, sf_dir):
+    """L4: the first 20 rejections per upload, in arrival order."""
+    return admission.first_rejections(_exp(spark, sf_dir).events, order=("us", "event_id", "copy_no"))
+
+
+@register("upload_gauges", _C5_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS uploads_total, arg_max(total_events, topic) AS last_upload_total_events,
+       arg_max(accepted, topic) AS last_upload_accepted, arg_max(rejected, topic) AS last_upload_rejected FROM runs""")
+def q_upload_gauges(spark, sf_dir):
+    """Upload counter and last-upload gauges."""
+    return admission.upload_gauges(_exp(spark, sf_dir).runs)
+
+
+@register("client_rate_status", _C5_SQL + """,
+last AS (SELECT experiment_mode, client_id, arg_max(tok, rn) AS tokens, max(us) AS last_refill FROM tb
+         GROUP BY experiment_mode, client_id),
+cl AS (SELECT client_id FROM last UNION SELECT client_id FROM lim)
+SELECT cl.client_id, 'radar' AS experiment_mode, greatest(50, coalesce(lim.l, 10000)) AS configured_limit_per_minute,
+       greatest(50, coalesce(lim.l, 10000)) AS radar_limit_per_minute, 1000 AS static_limit_per_minute,
+       r.tokens AS radar_tokens, r.last_refill AS radar_last_refill, s.tokens AS static_tokens, s.last_refill AS static_last_refill
+FROM cl LEFT JOIN lim ON cl.client_id = lim.client_id
+LEFT JOIN last r ON r.client_id = cl.client_id AND r.experiment_mode = 'radar'
+LEFT JOIN last s ON s.client_id = cl.client_id AND s.experiment_mode = 'static'""")
+def q_client_rate_status(spark, sf_dir):
+    """Configured, adaptive and static limits with both buckets' final state per client."""
+    e = _exp(spark, sf_dir)
+    base = P.replay_events(read_table(spark, sf_dir, "events"), "baseline")
+    cur = P.decide(metrics.exact_metrics(base)).current
+    return P.client_rate_status(cur, P.bucket_state(e.events))
+
+
+@register("metrics_snapshot", _C5_SQL + """,
+dec AS (SELECT client_id, use_case_topic, duplicate_ratio, """ + S.tier("duplicate_ratio") + """ AS new_limit_per_minute FROM mb),
+cnt AS (SELECT client_id, source_topic AS topic, count(*) FILTER (WHERE admitted) AS a, count(*) FILTER (WHERE NOT admitted) AS b
+        FROM outv GROUP BY client_id, source_topic)
+SELECT 'events_accepted_total' AS metric, 'counter' AS type, NULL AS client_id, NULL AS topic, CAST(coalesce(sum(a), 0) AS DOUBLE) AS value FROM cnt
+UNION ALL SELECT 'events_blocked_total', 'counter', NULL, NULL, CAST(coalesce(sum(b), 0) AS DOUBLE) FROM cnt
+UNION ALL SELECT 'uploads_total', 'counter', NULL, NULL, CAST(count(*) AS DOUBLE) FROM runs
+UNION ALL SELECT 'last_upload_total_events', 'gauge', NULL, NULL, CAST(coalesce(arg_max(total_events, topic), 0) AS DOUBLE) FROM runs
+UNION ALL SELECT 'last_upload_accepted', 'gauge', NULL, NULL, CAST(coalesce(arg_max(accepted, topic), 0) AS DOUBLE) FROM runs
+UNION ALL SELECT 'last_upload_rejected', 'gauge', NULL, NULL, CAST(coalesce(arg_max(rejected, topic), 0) AS DOUBLE) FROM runs
+UNION ALL SELECT 'clients_throttled_total', 'counter', NULL, NULL, CAST(count(*) FILTER (WHERE new_limit_per_minute < 10000) AS DOUBLE) FROM dec
+UNION ALL SELECT 'events_accepted_by_client_total', 'counter', client_id, topic, CAST(a AS DOUBLE) FROM cnt WHERE a > 0
+UNION ALL SELECT 'events_blocked_by_client_total', 'counter', client_id, topic, CAST(b AS DOUBLE) FROM cnt WHERE b > 0
+UNION ALL SELECT 'duplicate_ratio', 'gauge', client_id, use_case_topic, duplicate_ratio FROM dec
+UNION ALL SELECT 'adaptive_limit', 'gauge', client_id, use_case_topic, CAST(new_limit_per_minute AS DOUBLE) FROM dec""")
+def q_metrics_snapshot(spark, sf_dir):
+    """Every counter and gauge as rows (metric, type, client_id, topic, value)."""
+    e = _exp(spark, sf_dir)
+    base = P.replay_events(read_table(spark, sf_dir, "events"), "baseline")
+    dec = P.decide(metrics.exact_metrics(base)).decisions
+    return P.metrics_snapshot(e.events, e.runs, dec)
+
+
+@register("client_scorecard", _C5_SQL + """,
+dec AS (SELECT client_id, use_case_topic AS topic, duplicate_ratio, """ + S.tier("duplicate_ratio") + """ AS adaptive_limit FROM mb),
+cnt AS (SELECT client_id, source_topic AS topic, count(*) FILTER (WHERE admitted) AS accepted,
+               count(*) FILTER (WHERE NOT admitted) AS blocked FROM outv GROUP BY client_id, source_topic)
+SELECT coalesce(cnt.client_id, dec.client_id) AS client_id, coalesce(cnt.topic, dec.topic) AS topic,
+       CAST(coalesce(accepted, 0) AS BIGINT) AS accepted, CAST(coalesce(blocked, 0) AS BIGINT) AS blocked,
+       duplicate_ratio, adaptive_limit
+FROM cnt FULL OUTER JOIN dec ON cnt.client_id = dec.client_id AND cnt.topic = dec.topic""")
+def q_client_scorecard(spark, sf_dir):
+    """Per (client, topic) accepted / blocked with the decision's ratio and limit."""
+    e = _exp(spark, sf_dir)
+    base = P.replay_events(read_table(spark, sf_dir, "events"), "baseline")
+    dec = P.decide(metrics.exact_metrics(base)).decisions
+    return joins.client_scorecard(admission.admission_counters(e.events), dec)
+
+
+@register("offset_totals", _C5_SQL + """
+SELECT source_topic AS topic, CAST(count(*) AS BIGINT) AS messages FROM acc GROUP BY source_topic""")
+def q_offset_totals(spark, sf_dir):
+    """Messages per topic from the offsets of the published (accepted) events."""
+    acc = _exp(spark, sf_dir).events.filter(F.col("admitted"))
+    return admission.offset_totals(admission.topic_log(acc, order=("us", "event_id", "copy_no"))).select("topic", "messages")
+
+
+@register("reconcile_offsets", _C5_SQL + """
+SELECT topic, accepted, accepted AS messages, CAST(0 AS BIGINT) AS delta FROM runs""")
+def q_reconcile_offsets(spark, sf_dir):
+    """Accepted count per upload against the log's offsets (delta 0 when nothing was lost)."""
+    e = _exp(spark, sf_dir)
+    log = admission.topic_log(e.events.filter(F.col("admitted")), order=("us", "event_id", "copy_no"))
+    return joins.reconcile_offsets(e.runs, admission.offset_totals(log))

@@ -75,3 +75,12 @@ def round_half_even(col, digits: int) -> Column:
 def idiv(a, b) -> Column:
     """Integral division (SQL ``div``): exact on longs, unlike floor(a / b) through doubles."""
     return F.call_function("div", _c(a), b if isinstance(b, Column) else F.lit(b))
+
+
+def percent_text(num, den) -> Column:
+    """'12.3%' for 100 * num / den, rounded to one decimal, ties up, exactly (integers);
+    '0.0%' when den is 0."""
+    n, d = _c(num).cast("long"), _c(den).cast("long")
+    tenths = idiv(n * F.lit(2000) + d, d * F.lit(2))
+    tenths = F.when(d == 0, F.lit(0).cast("long")).otherwise(tenths)
+    return F.concat(idiv(tenths, 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("%"))

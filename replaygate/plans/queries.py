@@ -554,3 +554,220 @@ def q_reconcile_offsets(spark, sf_dir):
     e = _exp(spark, sf_dir)
     log = admission.topic_log(e.events.filter(F.col("admitted")), order=("us", "event_id", "copy_no"))
     return joins.reconcile_offsets(e.runs, admission.offset_totals(log))
+
+
+# --------------------------------------------------------------------------- limits, lookups, windows, filters
+
+from ..functions import policy as PF  # noqa: E402
+from ..functions import text as TF  # noqa: E402
+from ..operators import enrich, filters  # noqa: E402
+
+_BDEC = f"""{S.GE}, {S.BATCH_METRICS},
+bdec AS (SELECT client_id, use_case_topic, duplicate_ratio, {S.tier('duplicate_ratio')} AS new_limit_per_minute,
+                batch_time AS decided_at, batch_time + INTERVAL 3600 SECOND AS valid_until FROM bm),
+cur AS (SELECT client_id, arg_max(new_limit_per_minute, (decided_at, use_case_topic)) AS limit_per_minute,
+               arg_max(use_case_topic, (decided_at, use_case_topic)) AS use_case_topic,
+               arg_max(duplicate_ratio, (decided_at, use_case_topic)) AS duplicate_ratio,
+               max(decided_at) AS decided_at, arg_max(valid_until, (decided_at, use_case_topic)) AS valid_until
+        FROM bdec GROUP BY client_id)"""
+
+
+def _batch_decisions(spark, sf_dir):
+    return limits.decide_limits(_batch_metrics(spark, sf_dir), decided_at=F.col("batch_time"))
+
+
+@register("current_limits", f"""WITH {_BDEC}
+SELECT client_id, limit_per_minute, use_case_topic, duplicate_ratio, decided_at, valid_until FROM cur""")
+def q_current_limits(spark, sf_dir):
+    """Last-write-wins limit per client over per-batch decisions (C2 per batch)."""
+    return limits.current_limits(_batch_decisions(spark, sf_dir)).select(
+        "client_id", "limit_per_minute", "use_case_topic", "duplicate_ratio", ntz("decided_at"), ntz("valid_until"))
+
+
+@register("limits_join", f"""WITH {_BDEC}
+SELECT ge.event_id, ge.client_id, CAST(greatest(50, coalesce(cur.limit_per_minute, 10000)) AS INTEGER) AS limit_per_minute
+FROM ge LEFT JOIN cur ON ge.client_id = cur.client_id""")
+def q_limits_join(spark, sf_dir):
+    """Each event's effective adaptive limit from the current-limit table."""
+    cur = limits.current_limits(_batch_decisions(spark, sf_dir))
+    ev = load_ge(spark, sf_dir).select("event_id", "client_id")
+    return limits.with_limits(ev, cur)
+
+
+@register("limits_asof", f"""WITH {_BDEC},
+per_at AS (SELECT client_id, decided_at, arg_max(new_limit_per_minute, use_case_topic) AS l,
+                  arg_max(valid_until, use_case_topic) AS vu FROM bdec GROUP BY client_id, decided_at)
+SELECT e.event_id, e.client_id,
+       CAST(CASE WHEN p.decided_at IS NOT NULL AND e.event_ts < p.vu THEN greatest(50, p.l) ELSE 10000 END AS INTEGER)
+         AS limit_per_minute,
+       CASE WHEN p.decided_at IS NOT NULL AND e.event_ts < p.vu THEN p.decided_at END AS decided_at
+FROM ge e ASOF LEFT JOIN per_at p ON e.client_id = p.client_id AND e.event_ts >= p.decided_at""")
+def q_limits_asof(spark, sf_dir):
+    """The limit in force at each event's time (latest decision, within its TTL)."""
+    hist = _batch_decisions(spark, sf_dir)
+    ev = load_ge(spark, sf_dir).select("event_id", "client_id", "event_ts")
+    return limits.with_limits_asof(ev, hist).select("event_id", "client_id", "limit_per_minute", ntz("decided_at"))
+
+
+@register("metrics_with_limits", f"""WITH {_BDEC},
+cm AS ({_ROLLUP_SQL.format(where="")})
+SELECT cm.*, greatest(50, coalesce(cur.limit_per_minute, 10000)) AS configured_limit_per_minute,
+       greatest(50, coalesce(cur.limit_per_minute, 10000)) AS radar_limit_per_minute, 1000 AS static_limit_per_minute
+FROM cm LEFT JOIN cur ON cm.client_id = cur.client_id""")
+def q_metrics_with_limits(spark, sf_dir):
+    """Metric rows with each client's configured, adaptive and static limits."""
+    bm = _batch_metrics(spark, sf_dir)
+    cur = limits.current_limits(limits.decide_limits(bm, decided_at=F.col("batch_time")))
+    return joins.metrics_with_limits(metrics.client_metrics(bm, minutes=None, ordered=False), cur)
+
+
+@register("gauge_series", f"""WITH {_BDEC}
+SELECT client_id, use_case_topic, time_bucket(INTERVAL 1 HOUR, decided_at) AS slot_start,
+       arg_max(duplicate_ratio, decided_at) * 100.0 AS duplicate_ratio_pct,
+       arg_max(new_limit_per_minute, decided_at) AS limit_per_minute
+FROM bdec GROUP BY client_id, use_case_topic, time_bucket(INTERVAL 1 HOUR, decided_at)""")
+def q_gauge_series(spark, sf_dir):
+    """Per (client, topic) and hour, the last decision's ratio (x100) and limit."""
+    g = windows.gauge_series(_batch_decisions(spark, sf_dir))
+    return g.withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz"))
+
+
+@register("admission_rate", f"""WITH RECURSIVE {S.GE}, {S.token_bucket('ge', '50', extra='event_ts')},
+w AS (SELECT admitted, epoch_us(event_ts) - epoch_us(event_ts) % 5000000 - j * 5000000 AS s
+      FROM tb, (SELECT unnest(range(0, 6)) AS j))
+SELECT make_timestamp(s) AS window_start, make_timestamp(s + 30000000) AS window_end,
+       count(*) FILTER (WHERE admitted) / 30.0 AS accepted_per_s, count(*) FILTER (WHERE NOT admitted) / 30.0 AS blocked_per_s
+FROM w GROUP BY s""")
+def q_admission_rate(spark, sf_dir):
+    """Accepted / blocked per second over a trailing 30 s window every 5 s."""
+    ge = load_ge(spark, sf_dir).select("event_id", "client_id", "us", "event_ts")
+    adm = admission.token_bucket(ge, 50)
+    r = windows.admission_rate(adm)
+    return r.select(ntz("window_start"), ntz("window_end"), "accepted_per_s", "blocked_per_s")
+
+
+@register("for_topic", f"""WITH {S.GE}, {S.BATCH_METRICS}
+SELECT batch_id, use_case_topic, client_id, raw_events FROM bm WHERE coalesce(use_case_topic, 'raw_events') = 'usecase_view'""")
+def q_for_topic(spark, sf_dir):
+    """one topic's metric rows."""
+    return filters.for_topic(_batch_metrics(spark, sf_dir), "usecase_view").select(
+        "batch_id", "use_case_topic", "client_id", "raw_events")
+
+
+@register("for_topics", f"""WITH {S.GE}, {S.BATCH_METRICS}
+SELECT use_case_topic, CAST(sum(raw_events) AS BIGINT) AS kafka_messages, CAST(sum(unique_events) AS BIGINT) AS clean_events,
+       CAST(sum(duplicate_events) AS BIGINT) AS spark_waste
+FROM bm WHERE use_case_topic IN ('usecase_click', 'usecase_purchase') GROUP BY use_case_topic""")
+def q_for_topics(spark, sf_dir):
+    """F3 + A4: totals for a list of topics (the round-comparison query shape)."""
+    t = metrics.topic_totals(filters.for_topics(_batch_metrics(spark, sf_dir), ["usecase_click", "usecase_purchase"]))
+    return t.select("use_case_topic", F.col("raw_events").alias("kafka_messages"),
+                    F.col("unique_events").alias("clean_events"), F.col("duplicate_events").alias("spark_waste"))
+
+
+@register("subscribed_topics", f"""WITH {S.GE},
+c AS (SELECT source_topic AS topic FROM ge UNION SELECT event_type FROM ge UNION SELECT 'raw_events'
+      UNION SELECT event_type || '_raw_events' FROM ge UNION SELECT 'x' || source_topic FROM ge)
+SELECT topic FROM c WHERE regexp_full_match(topic, 'raw_events|usecase_.*')""")
+def q_subscribed_topics(spark, sf_dir):
+    """candidate topic names (from the data) that the subscription pattern picks up."""
+    ge = load_ge(spark, sf_dir)
+    c = (ge.select(F.col("source_topic").alias("topic"))
+         .union(ge.select(F.col("event_type").alias("topic")))
+         .union(ge.select(F.lit("raw_events").alias("topic")))
+         .union(ge.select(F.concat("event_type", F.lit("_raw_events")).alias("topic")))
+         .union(ge.select(F.concat(F.lit("x"), "source_topic").alias("topic")))).distinct()
+    return filters.match_topics(c)
+
+
+# --------------------------------------------------------------------------- scalar function families
+
+_NAME_SQL = "'  ' || upper(event_type) || ' Replay #' || CAST(user_id % 7 AS VARCHAR) || '!! '"
+_TOPIC_SQL = """'usecase_' || substr(CASE WHEN s = '' THEN 'upload' ELSE s END, 1, 80)"""
+
+
+@register("name_functions", f"""WITH {S.GE},
+n AS (SELECT event_id, {_NAME_SQL} AS raw_name, '/uploads/' || event_type || '_' || CAST(user_id AS VARCHAR) || '.csv' AS path FROM ge),
+s AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(raw_name, '^\\s+|\\s+$', '', 'g')),
+                '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM n)
+SELECT event_id, raw_name, {_TOPIC_SQL} AS topic,
+       CASE WHEN regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]+$', '') = '' THEN 'Uploaded Use Case'
+            ELSE regexp_replace(regexp_extract(path, '([^/\\\\]*)$', 1), '\\.[^.]+$', '') END AS use_case
+FROM s""")
+def q_name_functions(spark, sf_dir):
+    """P9 topic names and P20 use-case names from file paths."""
+    ge = load_ge(spark, sf_dir)
+    raw = F.concat(F.lit("  "), F.upper("event_type"), F.lit(" Replay #"), (F.col("user_id") % 7).cast("string"), F.lit("!! "))
+    path = F.concat(F.lit("/uploads/"), F.col("event_type"), F.lit("_"), F.col("user_id").cast("string"), F.lit(".csv"))
+    return ge.select("event_id", raw.alias("raw_name"), TF.topic_name(raw).alias("topic"),
+                     TF.use_case_from_path(path).alias("use_case"))
+
+
+_MODE_CANDIDATES = ["NULL", "''", "' RADAR '", "'   '", "'foo'", "'Static'", "'storage_only'"]
+
+
+@register("mode_functions", f"""WITH {S.GE}, {S.exact_metrics('ge')},
+lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM em GROUP BY client_id),
+m AS (SELECT ge.event_id, ge.client_id, [{', '.join(_MODE_CANDIDATES)}][1 + ge.user_id % 7] AS raw_mode, lim.l
+      FROM ge LEFT JOIN lim ON ge.client_id = lim.client_id),
+n AS (SELECT *, lower(regexp_replace(coalesce(nullif(raw_mode, ''), 'radar'), '^\\s+|\\s+$', '', 'g')) AS s FROM m),
+v AS (SELECT *, CASE WHEN s IN ('none', 'static', 'storage_only', 'radar') THEN s END AS mode FROM n)
+SELECT event_id, raw_mode, mode, mode IS NOT NULL AS valid,
+       CASE WHEN mode IN ('none', 'storage_only') THEN 10000 WHEN mode = 'static' THEN 1000
+            WHEN l IS NULL THEN 10000 ELSE greatest(50, l) END AS limit_per_minute,
+       CASE WHEN mode IN ('none', 'storage_only') THEN 'bypass_rate_limit' WHEN mode = 'static' THEN 'static_token_bucket'
+            ELSE 'radar_adaptive_token_bucket' END AS strategy,
+       CASE WHEN mode IN ('none', 'storage_only') THEN 'bypass' WHEN mode = 'static' THEN 'static_token_bucket'
+            ELSE 'radar_adaptive_token_bucket' END AS upload_strategy
+FROM v""")
+def q_mode_functions(spark, sf_dir):
+    """P10 mode normalisation, P16 effective limit, P17 strategy labels (mode text per user)."""
+    ge = load_ge(spark, sf_dir)
+    cur = limits.current_limits(limits.decide_limits(metrics.exact_metrics(ge)))
+    cands = F.array(F.lit(None).cast("string"), F.lit(""), F.lit(" RADAR "), F.lit("   "), F.lit("foo"),
+                    F.lit("Static"), F.lit("storage_only"))
+    ev = ge.select("event_id", "client_id", F.element_at(cands, (F.col("user_id") % 7 + 1).cast("int")).alias("raw_mode"))
+    ev = ev.join(cur.select("client_id", F.col("limit_per_minute").cast("string").alias("_stored")), "client_id", "left")
+    mode = TF.normalize_mode("raw_mode")
+    return ev.select("event_id", "raw_mode", mode.alias("mode"), mode.isNotNull().alias("valid"),
+                     PF.effective_limit(mode, "_stored").alias("limit_per_minute"),
+                     PF.strategy_label(mode).alias("strategy"),
+                     PF.strategy_label(mode, per_upload=True).alias("upload_strategy"))
+
+
+@register("payload_functions", f"""WITH {S.GE}
+SELECT event_id,
+       CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN json_extract_string(props, '$.k') END AS payload_k,
+       CASE WHEN event_type = '' THEN NULL WHEN json_valid(event_type) AND json_type(event_type) = 'OBJECT' THEN NULL
+            ELSE event_type END AS payload_value,
+       CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NULL
+                 OR isnan(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE))
+                 OR isinf(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) THEN 0.0
+            ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k_number,
+       CASE WHEN TRY_CAST(event_type AS DOUBLE) IS NULL THEN 0.0 ELSE TRY_CAST(event_type AS DOUBLE) END AS type_number,
+       value AS value_number
+FROM (SELECT ge.*, e.props FROM ge JOIN events e ON ge.event_id = e.event_id)""")
+def q_payload_functions(spark, sf_dir):
+    """P11 payload text -> map (object, or {{value: text}}), P13 safe numbers."""
+    from ..sources.tables import read_table as rt
+    ev = rt(spark, sf_dir, "events")
+    p1 = TF.parse_payload("props")
+    p2 = TF.parse_payload("event_type")
+    return ev.select("event_id", p1["k"].alias("payload_k"), p2["value"].alias("payload_value"),
+                     PF.to_number(F.get_json_object("props", "$.k")).alias("k_number"),
+                     PF.to_number("event_type").alias("type_number"),
+                     PF.to_number("value").alias("value_number"))
+
+
+@register("health_labels", f"""WITH {S.GE}, {S.exact_metrics('ge')}
+SELECT use_case_topic, client_id, duplicate_ratio,
+       CASE WHEN duplicate_ratio >= 0.5 THEN 'Replay risk' WHEN duplicate_ratio >= 0.15 THEN 'Watch' ELSE 'Healthy' END AS health,
+       CAST((duplicate_events * 2000 + raw_events) // (raw_events * 2) // 10 AS VARCHAR) || '.' ||
+       CAST((duplicate_events * 2000 + raw_events) // (raw_events * 2) % 10 AS VARCHAR) || '%' AS ratio_text
+FROM em""")
+def q_health_labels(spark, sf_dir):
+    """P18 health label and P19 percent text per (topic, client)."""
+    m = metrics.exact_metrics(load_ge(spark, sf_dir))
+    return m.select("use_case_topic", "client_id", "duplicate_ratio",
+                    PF.health_label("duplicate_ratio").alias("health"),
+                    PF.percent_text("duplicate_events", "raw_events").alias("ratio_text"))

@@ -28,7 +28,40 @@ US_PER_S = 1_000_000
 SESSION_GAP_US = 120 * US_PER_S
 
 
+def bucket_fold(us, lim, tok: float, last: int, fresh: bool):
+    """Fold one bucket over events in arrival order.
+
+    ``us``/``lim``: lists of event times (microseconds) and limits per minute.
+    ``fresh``: the bucket does not exist yet (starts full at the first event).
+    Returns (admitted list, tokens-after list, tokens, last). Negative elapsed
+    time (late rows in a stream) counts as zero."""
+    n = len(us)
+    adm = [False] * n
+    out = [0.0] * n
+    for i in range(n):
+        li = lim[i]
+        cap = li if li > 1 else 1
+        if fresh:
+            fresh = False
+            tok = float(cap)
+        else:
+            dt = us[i] - last
+            if dt < 0:
+                dt = 0
+            tok = tok if tok < cap else float(cap)
+            tok = tok + dt / 1e6 * (li / 60.0)
+            tok = tok if tok < cap else float(cap)
+        last = us[i]
+        if tok >= 1:
+            tok -= 1
+            adm[i] = True
+        out[i] = tok
+    return adm, out, tok, last
+
+
 def _fold_fn(key_cols, time_col, limit_col):
+    """mapInPandas body: rows arrive sorted by (key, time, order); state resets
+    at each key change and is carried across Arrow batches."""
     def fold(batches):
         prev = None
         tok = 0.0
@@ -42,21 +75,17 @@ def _fold_fn(key_cols, time_col, limit_col):
             keys = list(zip(*[pdf[c].tolist() for c in key_cols]))
             adm = [False] * n
             out = [0.0] * n
-            for i in range(n):
-                li = lim[i]
-                cap = li if li > 1 else 1
-                if keys[i] != prev:
-                    prev = keys[i]
-                    tok = float(cap)
-                else:
-                    tok = tok if tok < cap else float(cap)
-                    tok = tok + (us[i] - last) / 1e6 * (li / 60.0)
-                    tok = tok if tok < cap else float(cap)
-                last = us[i]
-                if tok >= 1:
-                    tok -= 1
-                    adm[i] = True
-                out[i] = tok
+            i = 0
+            while i < n:
+                j = i
+                k = keys[i]
+                while j < n and keys[j] == k:
+                    j += 1
+                a, o, tok, last = bucket_fold(us[i:j], lim[i:j], tok, last, k != prev)
+                adm[i:j] = a
+                out[i:j] = o
+                prev = k
+                i = j
             yield pdf.assign(admitted=adm, tokens=out)
     return fold
 

@@ -771,3 +771,196 @@ def q_health_labels(spark, sf_dir):
     return m.select("use_case_topic", "client_id", "duplicate_ratio",
                     PF.health_label("duplicate_ratio").alias("health"),
                     PF.percent_text("duplicate_events", "raw_events").alias("ratio_text"))
+
+
+# --------------------------------------------------------------------------- wire format, uploads, streams
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+from ..streaming import admission as SA  # noqa: E402
+from ..streaming import dedup as SD  # noqa: E402
+from ..streaming import pipeline as SP  # noqa: E402
+
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+_INGESTED_AT = "2024-02-01 00:00:00"
+
+
+def _wire_rows(spark, sf_dir) -> DataFrame:
+    """Gateway events as they go on the wire: ISO event time, payload map, the
+    use case left out on 'view' events and the topic left out of the body on
+    'error' events (the consumer falls back to the log's topic for both)."""
+    ge = load_ge(spark, sf_dir)
+    return ge.select(
+        F.col("source_topic").alias("log_topic"), "client_id", "event_type", "entity_id",
+        F.date_format("event_ts", _ISO).alias("event_time"), "payload",
+        F.when(F.col("event_type") != "view", F.col("use_case_id")).alias("use_case_id"),
+        F.when(F.col("event_type") != "error", F.col("source_topic")).alias("source_topic"),
+        F.lit("radar").alias("experiment_mode"))
+
+
+_WIRE_SQL = f"""WITH {S.GE}
+SELECT source_topic AS kafka_topic, client_id, event_type, entity_id,
+       strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS event_time,
+       source_topic, source_topic AS use_case_id, event_ts, dedup_key, false AS is_malformed
+FROM ge"""
+
+
+@register("wire_roundtrip", _WIRE_SQL)
+def q_wire_roundtrip(spark, sf_dir):
+    """S6 encode -> P1 decode -> P2-P6 enrich: the consumer's view of published events."""
+    msgs = enrich.encode_events(_wire_rows(spark, sf_dir), topic_col="log_topic")
+    ev = enrich.enrich_events(enrich.decode_events(msgs), ingested_at=_INGESTED_AT)
+    return ev.select("kafka_topic", "client_id", "event_type", "entity_id", "event_time", "source_topic",
+                     "use_case_id", ntz("event_ts"), "dedup_key", "is_malformed")
+
+
+def _publish(spark, sf_dir) -> str:
+    path = scratch_path(spark, "topics")
+    IO.write_events(_wire_rows(spark, sf_dir).withColumn("source_topic", F.col("log_topic")), fmt="files", path=path)
+    return path
+
+
+_STREAM_KEYS_SQL = f"""WITH {S.GE}
+SELECT DISTINCT dedup_key, source_topic, client_id, event_type, entity_id FROM ge"""
+
+
+@register("stream_dedup", _STREAM_KEYS_SQL)
+def q_stream_dedup(spark, sf_dir):
+    """C3 clean side: S1 subscribe (file log) -> P1-P6 -> T1 watermark -> T2 dedup -> S7 Parquet sink,
+    run to completion with an availableNow trigger; the clean table's keys."""
+    src = _publish(spark, sf_dir)
+    out, ck = scratch_path(spark, "clean"), scratch_path(spark, "ckpt")
+    q = SP.write_clean_events(SD.dedup_stream(SP.event_stream(spark, "files", path=src)), out, ck,
+                              trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(out).select("dedup_key", "source_topic", "client_id", "event_type", "entity_id")
+
+
+@register("stream_bounded_dedup", _STREAM_KEYS_SQL)
+def q_stream_bounded_dedup(spark, sf_dir):
+    """Dedup within the watermark horizon (one micro-batch here, so every key once)."""
+    src = _publish(spark, sf_dir)
+    out, ck = scratch_path(spark, "clean"), scratch_path(spark, "ckpt")
+    q = SP.write_clean_events(SD.dedup_stream_bounded(SP.event_stream(spark, "files", path=src)), out, ck,
+                              trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(out).select("dedup_key", "source_topic", "client_id", "event_type", "entity_id")
+
+
+@register("stream_metrics", f"""WITH {S.GE}
+SELECT source_topic AS use_case_topic, client_id, CAST(count(*) AS BIGINT) AS raw_events FROM ge
+GROUP BY source_topic, client_id""")
+def q_stream_metrics(spark, sf_dir):
+    """C3 metrics side: foreachBatch per-batch metrics (S8/T6) written by batch id, read back
+    and summed; raw counts are additive across micro-batches."""
+    src = _publish(spark, sf_dir)
+    out, ck = scratch_path(spark, "metrics"), scratch_path(spark, "ckpt")
+    q = SP.write_metrics(SP.event_stream(spark, "files", path=src), out, ck, trigger={"availableNow": True},
+                         batch_time=_INGESTED_AT)
+    q.awaitTermination()
+    m = IO.read_metrics(spark, out)
+    return m.groupBy("use_case_topic", "client_id").agg(F.sum("raw_events").cast("long").alias("raw_events"))
+
+
+@register("stream_admission", f"""WITH RECURSIVE {S.GE}, {S.token_bucket('ge', '50')}
+SELECT event_id, k AS client_id, admitted, tok AS tokens FROM tb""")
+def q_stream_admission(spark, sf_dir):
+    """T8 on a stream (transformWithStateInPandas, keyed state with TTL) over the gateway events."""
+    src = scratch_path(spark, "admit_src")
+    load_ge(spark, sf_dir).select("event_id", "client_id", "us", F.lit(50).alias("limit_per_minute")) \
+        .write.parquet(src)
+    stream = spark.readStream.schema("event_id long, client_id string, us long, limit_per_minute int").parquet(src)
+    out, ck = scratch_path(spark, "admitted"), scratch_path(spark, "ckpt")
+    q = (SA.admit_stream(stream, ttl_s=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "client_id", "admitted", "tokens")
+
+
+def _upload_metrics_sql(topic):
+    return f"""WITH {S.GE},
+u AS (SELECT ge.client_id, ge.event_type, ge.entity_id, '{topic}' AS source_topic,
+             sha256(concat_ws(':', '{topic}', ge.client_id, ge.event_type, ge.entity_id)) AS dedup_key,
+             TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k,
+             CASE WHEN ge.event_type = 'click' THEN NULL ELSE ge.event_ts END AS et
+      FROM ge JOIN events e ON ge.event_id = e.event_id),
+{S.exact_metrics('u')},
+x AS (SELECT client_id, CAST(sum(k) AS BIGINT) AS payload_k_sum, CAST(count(et) AS BIGINT) AS with_event_time
+      FROM u GROUP BY client_id)
+SELECT em.client_id, raw_events, unique_events, duplicate_events, duplicate_ratio, payload_k_sum, with_event_time
+FROM em JOIN x ON em.client_id = x.client_id"""
+
+
+def _upload_rows(spark, sf_dir) -> DataFrame:
+    ge = load_ge(spark, sf_dir)
+    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
+    return ge.join(ev, "event_id").select(
+        "client_id", "event_type", "entity_id",
+        F.when(F.col("event_type") != "click", F.date_format("event_ts", _ISO)).alias("event_time"),
+        F.col("props").alias("payload_text"), "batch_id")
+
+
+def _upload_metrics(events: DataFrame, name: str) -> DataFrame:
+    from ..operators.enrich import stamp_use_case
+    ev = stamp_use_case(events, name, "radar").withColumn("dedup_key", P.dedup_key())
+    m = metrics.exact_metrics(ev)
+    x = ev.groupBy("client_id").agg(
+        F.sum(F.col("payload")["k"].try_cast("long")).alias("payload_k_sum"),
+        F.count("event_time").alias("with_event_time"))
+    return m.join(x, "client_id").select("client_id", "raw_events", "unique_events", "duplicate_events",
+                                         "duplicate_ratio", "payload_k_sum", "with_event_time")
+
+
+@register("csv_upload", _upload_metrics_sql("usecase_csv_upload"))
+def q_csv_upload(spark, sf_dir):
+    """S3: CSV upload (quoted JSON payload cells, empty cells) read back and measured."""
+    path = scratch_path(spark, "csv")
+    _upload_rows(spark, sf_dir).select("client_id", "event_type", "entity_id",
+                                       F.coalesce("event_time", F.lit("")).alias("event_time"),
+                                       F.col("payload_text").alias("payload")) \
+        .write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return _upload_metrics(IO.read_events_csv(spark, path), "CSV Upload")
+
+
+@register("jsonl_upload", _upload_metrics_sql("usecase_jsonl_upload"))
+def q_jsonl_upload(spark, sf_dir):
+    """JSON-lines upload read back with FAILFAST and measured."""
+    path = scratch_path(spark, "jsonl")
+    rows = _upload_rows(spark, sf_dir)
+    rows.select(F.to_json(F.struct("client_id", "event_type", "entity_id", "event_time",
+                                   F.from_json("payload_text", "map<string,string>").alias("payload"))).alias("value")) \
+        .write.text(path)
+    return _upload_metrics(IO.read_events_jsonl(spark, path), "JSONL Upload")
+
+
+@register("json_array_upload", _upload_metrics_sql("usecase_json_array_upload"))
+def q_json_array_upload(spark, sf_dir):
+    """JSON-array upload files (one array per stand-in batch of at most 1000 events)."""
+    path = scratch_path(spark, "jsonarray")
+    rows = _upload_rows(spark, sf_dir)
+    obj = F.to_json(F.struct("client_id", "event_type", "entity_id", "event_time",
+                             F.from_json("payload_text", "map<string,string>").alias("payload")))
+    arrays = rows.groupBy("batch_id").agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list(obj)), F.lit("]")).alias("value"))
+    # one array per file: a multi-line JSON document is a whole file
+    arrays.repartition("batch_id").write.partitionBy("batch_id").text(path)
+    return _upload_metrics(IO.read_events_json_array(spark, path), "JSON Array Upload")
+
+
+@register("gateway_ingest", f"""WITH RECURSIVE {S.GE}, {S.exact_metrics('ge')},
+lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM em GROUP BY client_id),
+ev AS (SELECT ge.*, greatest(50, coalesce(lim.l, 10000)) AS limit_per_minute FROM ge LEFT JOIN lim ON ge.client_id = lim.client_id),
+{S.token_bucket('ev', 'limit_per_minute')}
+SELECT k AS client_id, 'usecase_replay_attack_demo' AS topic, CAST(count(*) FILTER (WHERE admitted) AS BIGINT) AS accepted,
+       CAST(count(*) FILTER (WHERE NOT admitted) AS BIGINT) AS rejected, min(lim) AS limit_per_minute
+FROM tb GROUP BY k""")
+def q_gateway_ingest(spark, sf_dir):
+    """One upload in adaptive mode with limits from the exact ratios: validate, default, stamp,
+    look up limits, bucket, split; accepted / rejected per client."""
+    ge = load_ge(spark, sf_dir)
+    cur = P.decide(metrics.exact_metrics(ge)).current
+    up = ge.select("event_id", "client_id", "event_type", "entity_id", "us")
+    res = P.ingest(up, "Replay Attack Demo", "radar", cur, now=_INGESTED_AT)
+    return res.events.groupBy("client_id", F.col("source_topic").alias("topic")).agg(
+        F.count_if("admitted").alias("accepted"), F.count_if(~F.col("admitted")).alias("rejected"),
+        F.min("limit_per_minute").alias("limit_per_minute"))

@@ -112,6 +112,8 @@ def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col:
     minute (the limit current at the event's time). ``time_col``: integer
     microseconds. ``order``: tie-breakers after time. ``mode``: None (bucket per
     client), a mode string, or a column name; bypass modes admit everything.
+    Every input column passes through Arrow to the fold: select what is needed
+    first and derive wide columns (e.g. the dedup key) afterwards.
     """
     lim = F.lit(int(limit)) if isinstance(limit, int) else (F.col(limit) if isinstance(limit, str) else limit)
     src = df.withColumn("_lim", lim.cast("int"))
@@ -136,7 +138,11 @@ def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col:
 
     out_schema = T.StructType(src.schema.fields + [
         T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
-    folded = (src.repartition(*[F.col(c) for c in part_cols])
+    # An explicit partition count: AQE would otherwise coalesce this exchange by
+    # bytes, and the fold is Python-CPU bound, so fewer, larger tasks only lose
+    # parallelism. The count follows spark.sql.shuffle.partitions (set per cluster).
+    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    folded = (src.repartition(nparts, *[F.col(c) for c in part_cols])
                  .sortWithinPartitions(*part_cols, time_col, *order)
                  .mapInPandas(_fold_fn(part_cols, time_col, "_lim"), out_schema))
     if bypass is not None:

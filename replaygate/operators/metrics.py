@@ -39,6 +39,17 @@ def exact_metrics(df: DataFrame, topic_col: str = "source_topic", client_col: st
     return _finish(agg)
 
 
+def exact_metrics_from_counts(per_key: DataFrame, count_col: str = "_n", topic_col: str = "source_topic",
+                              client_col: str = "client_id") -> DataFrame:
+    """A3 from a table already counted per (topic, client, key): raw = sum of
+    counts, unique = number of keys (rows with a positive count)."""
+    agg = per_key.groupBy(F.col(topic_col).alias(TOPIC), F.col(client_col).alias("client_id")).agg(
+        F.sum(count_col).cast("long").alias("raw_events"),
+        F.count(F.lit(1)).alias("unique_events"),
+    )
+    return _finish(agg)
+
+
 def batch_metrics(df: DataFrame, batch_col: str = "batch_id", topic_col: str = "source_topic",
                   client_col: str = "client_id", key_col: str = "dedup_key",
                   time_col: str | None = "event_ts") -> DataFrame:

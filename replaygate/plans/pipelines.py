@@ -19,6 +19,7 @@ from ..functions.text import mode_is_valid, normalize_mode, topic_name
 from ..operators import admission, joins, limits, metrics
 from ..operators.enrich import apply_gateway_defaults, stamp_use_case, validate_events
 from ..schema import DEFAULT_POLICY, MODES, Policy
+from ..session import materialize
 from ..sources.tables import replay_events
 
 
@@ -77,6 +78,8 @@ def ingest(events: DataFrame, use_case_name: str, mode: str | None = None, curre
 ROUND_1 = "usecase_round_1"
 ROUND_2 = "usecase_round_2"
 ORDER = ("event_id", "copy_no")
+# columns carried through the fold (the dedup key is derived after it)
+_FOLD_COLS = ("event_id", "copy_no", "client_id", "event_type", "entity_id", "source_topic", "us")
 
 
 @dataclass
@@ -95,9 +98,10 @@ def closed_loop(events_table: DataFrame, policy: Policy = DEFAULT_POLICY) -> Clo
     r1 = replay_events(events_table, ROUND_1)
     m1 = metrics.exact_metrics(r1)
     d = decide(m1, policy=policy)
-    r2 = replay_events(events_table, ROUND_2)
+    r2 = replay_events(events_table, ROUND_2).select(*_FOLD_COLS)
     r2 = limits.with_limits(r2, d.current, "radar", policy)
-    r2 = admission.token_bucket(r2, "limit_per_minute", order=ORDER)
+    # admission results feed the metrics, the comparison and the reports: written once
+    r2 = materialize(admission.token_bucket(r2, "limit_per_minute", order=ORDER).withColumn("dedup_key", dedup_key()))
     m2 = metrics.exact_metrics(r2.filter(F.col("admitted")))
     both = m1.unionByName(m2)
     return ClosedLoop(r1, m1, d, r2, m2, joins.compare_topics(both, ROUND_1, ROUND_2))
@@ -114,7 +118,14 @@ class ModeExperiment:
 
 
 def experiment_topic(mode_col) -> F.Column:
-    return topic_name(F.concat(F.lit("experiment "), mode_col))
+    """Topic per mode. The name depends on the mode only, so it is written as a
+    CASE over the known modes whose branches are constant-folded by Catalyst,
+    instead of running the topic-name regexes on every row."""
+    out = None
+    for m in MODES:
+        branch = topic_name(F.lit(f"experiment {m}"))
+        out = F.when(mode_col == F.lit(m), branch) if out is None else out.when(mode_col == F.lit(m), branch)
+    return out.otherwise(topic_name(F.concat(F.lit("experiment "), mode_col)))
 
 
 def mode_experiment(events_table: DataFrame, policy: Policy = DEFAULT_POLICY, saved_at=None) -> ModeExperiment:
@@ -123,19 +134,24 @@ def mode_experiment(events_table: DataFrame, policy: Policy = DEFAULT_POLICY, sa
     base = replay_events(events_table, "baseline")
     d = decide(metrics.exact_metrics(base), policy=policy)
     stored = d.current.select("client_id", F.col("limit_per_minute").cast("string").alias("_stored"))
-    ev = base.withColumn("experiment_mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
-    ev = ev.withColumn("source_topic", experiment_topic(F.col("experiment_mode"))) \
-           .withColumn("use_case_id", F.col("source_topic")).withColumn("dedup_key", dedup_key())
+    ev = base.select(*_FOLD_COLS).withColumn("experiment_mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    ev = ev.withColumn("source_topic", experiment_topic(F.col("experiment_mode")))
     ev = ev.join(stored, "client_id", "left") \
            .withColumn("limit_per_minute", effective_limit("experiment_mode", F.col("_stored"), policy).cast("int")) \
            .drop("_stored")
-    out = admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode")
-    m = metrics.exact_metrics(out.filter(F.col("admitted")))
+    out = materialize(admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode")
+                      .withColumn("dedup_key", dedup_key()))
+    # One aggregate at the (topic, mode, client, key) grain feeds both the run
+    # totals and the accepted-event metrics, so the fold above runs once (the
+    # shared exchange is reused by both consumers).
+    per_key = out.groupBy("source_topic", "experiment_mode", "client_id", "dedup_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("admitted")).alias("_a"))
+    m = metrics.exact_metrics_from_counts(per_key.filter(F.col("_a") > 0), count_col="_a")
     at = F.lit(saved_at).cast("timestamp") if saved_at is not None else F.lit(None).cast("timestamp")
-    runs = out.groupBy(F.col("source_topic").alias("topic"), "experiment_mode").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(F.col("admitted")).alias("accepted"),
-        F.count_if(~F.col("admitted")).alias("rejected"),
+    runs = per_key.groupBy(F.col("source_topic").alias("topic"), "experiment_mode").agg(
+        F.sum("_n").alias("total_events"),
+        F.sum("_a").alias("accepted"),
+        F.sum(F.col("_n") - F.col("_a")).alias("rejected"),
     ).withColumn("saved_at", at)
     res = joins.results_by_mode(joins.runs_with_metrics(runs, m))
     return ModeExperiment(out, m, runs, res)

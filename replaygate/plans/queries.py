@@ -964,3 +964,38 @@ def q_gateway_ingest(spark, sf_dir):
     return res.events.groupBy("client_id", F.col("source_topic").alias("topic")).agg(
         F.count_if("admitted").alias("accepted"), F.count_if(~F.col("admitted")).alias("rejected"),
         F.min("limit_per_minute").alias("limit_per_minute"))
+
+
+# --------------------------------------------------------------------------- stores
+
+@register("limits_store", f"""WITH {_BDEC},
+as_of_t AS (SELECT max(decided_at) AS t FROM bdec),
+live AS (SELECT * FROM bdec WHERE decided_at <= (SELECT t FROM as_of_t) AND valid_until > (SELECT t FROM as_of_t))
+SELECT client_id, arg_max(new_limit_per_minute, (decided_at, use_case_topic)) AS limit_per_minute,
+       arg_max(use_case_topic, (decided_at, use_case_topic)) AS use_case_topic,
+       arg_max(duplicate_ratio, (decided_at, use_case_topic)) AS duplicate_ratio,
+       max(decided_at) AS decided_at, arg_max(valid_until, (decided_at, use_case_topic)) AS valid_until
+FROM live GROUP BY client_id""")
+def q_limits_store(spark, sf_dir):
+    """S10 append decisions to the limit history, S11 read the limits live at the latest decision time."""
+    path = scratch_path(spark, "limits")
+    IO.write_limits(_batch_decisions(spark, sf_dir), path)
+    as_of = spark.read.parquet(path).select(F.max("decided_at")).scalar()
+    out = IO.read_limits(spark, path, as_of=as_of)
+    return out.select("client_id", "limit_per_minute", "use_case_topic", "duplicate_ratio", ntz("decided_at"),
+                      ntz("valid_until"))
+
+
+_T1, _T2, _AS_OF = "2024-02-01 00:00:00", "2024-02-01 01:00:00", "2024-02-01 02:00:00"
+
+
+@register("runs_store", _C5_SQL + f"""
+SELECT topic, experiment_mode, total_events, accepted * 2 AS accepted, rejected, TIMESTAMP '{_T2}' AS saved_at FROM runs""")
+def q_runs_store(spark, sf_dir):
+    """Runs appended twice (a re-run of every topic); the store keeps the latest live row per topic."""
+    path = scratch_path(spark, "runs")
+    runs = _exp(spark, sf_dir).runs
+    IO.write_runs(runs.withColumn("saved_at", F.lit(_T1).cast("timestamp")), path)
+    IO.write_runs(runs.withColumn("accepted", F.col("accepted") * 2).withColumn("saved_at", F.lit(_T2).cast("timestamp")),
+                  path)
+    return IO.read_runs(spark, path, as_of=_AS_OF).withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz"))

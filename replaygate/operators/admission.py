@@ -166,6 +166,17 @@ def admit(events: DataFrame, mode: str, limits: DataFrame | None = None, policy:
     return token_bucket(ev, "limit_per_minute", client_col=client_col, time_col=time_col, order=order)
 
 
+def ensure_group_limit(spark, k: int) -> None:
+    """Top-k windows are cut per partition before the shuffle (WindowGroupLimit)
+    only for k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by
+    default). Raise it to the policy's largest k so that a hot client's rows are
+    reduced map-side instead of being ranked whole in one task."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    cur = int(spark.conf.get(key, "1000"))
+    if 0 <= cur < k:
+        spark.conf.set(key, str(k))
+
+
 def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=("event_ts", "event_id"),
                 policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Zero elapsed time, a full bucket admits the first max(1, floor(limit)) events per client.
@@ -174,10 +185,12 @@ def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=(
     from a top-k window that Spark cuts per partition before the shuffle
     (WindowGroupLimit); events then compare against the threshold row."""
     lim = F.lit(int(limit)) if isinstance(limit, int) else (F.col(limit) if isinstance(limit, str) else limit)
+    bound = max(policy.max_limit, int(limit) if isinstance(limit, int) else 1, 1)
+    ensure_group_limit(events.sparkSession, bound)
     ev = events.withColumn("_k", F.greatest(F.lit(1), lim.cast("int")))
     w = Window.partitionBy(client_col).orderBy(*order)
     top = ev.select(client_col, "_k", *order).withColumn("_rn", F.row_number().over(w)) \
-        .filter((F.col("_rn") <= F.lit(max(policy.max_limit, 1))) & (F.col("_rn") <= F.col("_k")))
+        .filter((F.col("_rn") <= F.lit(bound)) & (F.col("_rn") <= F.col("_k")))
     thr = top.groupBy(client_col).agg(F.max(F.struct(*order)).alias("_thr"))
     out = ev.join(thr, client_col, "left")
     return out.withColumn("admitted", F.coalesce(F.struct(*order) <= F.col("_thr"), F.lit(False))).drop("_k", "_thr")
@@ -241,15 +254,27 @@ def upload_gauges(runs: DataFrame) -> DataFrame:
 
 
 def topic_log(accepted: DataFrame, partitions: int = 4, topic_col: str = "source_topic",
-              order=("us", "event_id")) -> DataFrame:
-    """Offsets a topic log would assign to published events: partition by a hash of
-    the order key (the producer sends no key), offset = position within
-    (topic, partition). The numbering window runs per (topic, partition)."""
+              order=("us", "event_id"), block_us: int = 60_000_000) -> DataFrame:
+    """Offsets a topic log would assign to published events: partition by a hash
+    of the order key (the producer sends no key), offset = position within
+    (topic, partition) in arrival order.
+
+    Numbered without a window over a whole partition: rows are grouped in time
+    blocks; block sizes are counted (aggregate), their running sums give each
+    block's base offset (a window over the small block table), and rows are
+    numbered only within their block."""
     from pyspark.sql import Window
+    time_col = order[0]
     part = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(partitions)).cast("int")
-    w = Window.partitionBy("topic", "partition").orderBy(*order)
-    return accepted.select(F.col(topic_col).alias("topic"), part.alias("partition"), *order) \
-        .withColumn("offset", F.row_number().over(w) - 1)
+    rows = accepted.select(F.col(topic_col).alias("topic"), part.alias("partition"), *order) \
+        .withColumn("_blk", idiv(time_col, block_us))
+    sizes = rows.groupBy("topic", "partition", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("topic", "partition").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
+    wr = Window.partitionBy("topic", "partition", "_blk").orderBy(*order)
+    return (rows.join(base, ["topic", "partition", "_blk"])
+                .withColumn("offset", F.col("_base") + F.row_number().over(wr) - 1)
+                .drop("_blk", "_base"))
 
 
 def offset_totals(log: DataFrame) -> DataFrame:

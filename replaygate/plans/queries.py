@@ -381,8 +381,8 @@ def q_evidence_report(spark, sf_dir):
 
 _C5_SQL = f"""WITH RECURSIVE {S.ge_replay('base', 'baseline')}, {S.exact_metrics('base', 'mb')},
 lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM mb GROUP BY client_id),
-modes AS (SELECT * FROM (VALUES (0, 'none', 'No Rate Limiting'), (1, 'static', 'Static Token Bucket'),
-                                (2, 'storage_only', 'Storage-only Dedup'), (3, 'radar', 'RADAR Adaptive'))
+modes AS (SELECT * FROM (VALUES (0, 'none', 'No rate limiting'), (1, 'static', 'Static token bucket'),
+                                (2, 'storage_only', 'Storage-only dedup'), (3, 'radar', 'Adaptive limits'))
           t(mode_order, experiment_mode, mode_label)),
 ev AS (
   SELECT b.event_id, b.copy_no, b.us, b.client_id, b.event_type, b.entity_id, m.experiment_mode,

@@ -1,4 +1,4 @@
-"""DuckDB reference SQL shared by the oracle queries (the driver's correctness check).
+"""DuckDB SQL shared by the oracle queries (the driver's correctness check).
 
 Every oracle reads the pre-registered ``events`` view and rebuilds the same
 derived views as ``replaygate.sources.tables`` in plain SQL.

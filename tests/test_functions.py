@@ -68,5 +68,5 @@ def test_payload_and_numbers(spark):
 
 
 def test_use_case_from_path(spark):
-    got = one(spark, use_case_from_path("p"), [("/up/demo_radar.csv",), ("/up/.csv",), ("a.b.json",)], "p string")
-    assert got == ["demo_radar", "Uploaded Use Case", "a.b"]
+    got = one(spark, use_case_from_path("p"), [("/up/demo_upload.csv",), ("/up/.csv",), ("a.b.json",)], "p string")
+    assert got == ["demo_upload", "Uploaded Use Case", "a.b"]

@@ -30,17 +30,27 @@ def event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = Non
     return enrich_events(decode_events(raw))
 
 
-def write_clean_events(deduped: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                       files_per_batch: int | None = None) -> StreamingQuery:
-    """Append clean events to Parquet. ``files_per_batch`` coalesces each
-    micro-batch's output (the stateful shuffle otherwise writes one small file
-    per state partition)."""
-    out = deduped.coalesce(files_per_batch) if files_per_batch else deduped
-    w = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+def write_clean_events(deduped: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append clean events to Parquet, exactly once through the sink's
+    commit log. Each micro-batch writes up to one file per state partition;
+    ``compact_table`` rewrites the accumulated small files offline."""
+    w = (deduped.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
          .outputMode("append"))
     return (w.trigger(**trigger) if trigger else w).start()
 
 
+def compact_table(spark: SparkSession, path: str, out: str, target_file_bytes: int = 128 * 1024 * 1024) -> int:
+    """Rewrite a Parquet table (e.g. the clean-events sink) into files of about
+    ``target_file_bytes``. The size comes from the file system's summary (metadata
+    only); the rewrite is one distributed job. Returns the file count used."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(jpath).getLength()
+    n = max(1, -(-int(size) // int(target_file_bytes)))
+    spark.read.parquet(path).repartition(n).write.mode("overwrite").parquet(out)
+    return n
+
+
 def metrics_batch_writer(path: str, batch_time=None):
     """foreachBatch body. Metrics of the micro-batch by (topic, client),
     stamped with the batch time and written to ``batch_id=<id>`` with overwrite."""

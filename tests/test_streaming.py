@@ -101,6 +101,9 @@ def test_pipeline_restart_and_idempotent_metrics(spark, tmp_path):
         p.clean.awaitTermination()
         p.metrics.awaitTermination()
     out = spark.read.parquet(clean)
+    n_files = len(out.inputFiles())
+    assert SP.compact_table(spark, clean, os.path.join(tmp_path, "compacted")) == 1 < n_files
+    assert spark.read.parquet(os.path.join(tmp_path, "compacted")).count() == out.count()
     assert out.count() == out.select("dedup_key").distinct().count() == ge.select(
         F.sha2(F.concat_ws(":", "source_topic", "client_id", "event_type", "entity_id"), 256)).distinct().count()
     m = IO.read_metrics(spark, met)

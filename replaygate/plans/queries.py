@@ -310,7 +310,7 @@ def q_closed_loop_admission(spark, sf_dir):
 
 
 @register("blocked_events", _C4_SQL + """
-SELECT event_id, copy_no, k AS client_id, tok AS tokens FROM tb WHERE NOT admitted""")
+SELECT event_id, CAST(copy_no AS INTEGER) AS copy_no, k AS client_id, tok AS tokens FROM tb WHERE NOT admitted""")
 def q_blocked_events(spark, sf_dir):
     """the blocked side of the round-2 split (with the bucket level at the time)."""
     _, blocked = admission.split_admitted(_loop(spark, sf_dir).round2)
@@ -465,7 +465,7 @@ def q_ingest_summary(spark, sf_dir):
 
 
 @register("first_rejections", _C5_SQL + """
-SELECT topic, rn, client_id, entity_id FROM (
+SELECT topic, CAST(rn AS INTEGER) AS rn, client_id, entity_id FROM (
   SELECT source_topic AS topic, client_id, entity_id,
          row_number() OVER (PARTITION BY source_topic ORDER BY us, event_id, copy_no) AS rn
   FROM outv WHERE NOT admitted) WHERE rn <= 20""")

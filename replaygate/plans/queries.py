@@ -636,7 +636,8 @@ def q_gauge_series(spark, sf_dir):
 w AS (SELECT admitted, epoch_us(event_ts) - epoch_us(event_ts) % 5000000 - j * 5000000 AS s
       FROM tb, (SELECT unnest(range(0, 6)) AS j))
 SELECT make_timestamp(s) AS window_start, make_timestamp(s + 30000000) AS window_end,
-       count(*) FILTER (WHERE admitted) / 30.0 AS accepted_per_s, count(*) FILTER (WHERE NOT admitted) / 30.0 AS blocked_per_s
+       CAST(count(*) FILTER (WHERE admitted) AS DOUBLE) / CAST(30 AS DOUBLE) AS accepted_per_s,
+       CAST(count(*) FILTER (WHERE NOT admitted) AS DOUBLE) / CAST(30 AS DOUBLE) AS blocked_per_s
 FROM w GROUP BY s""")
 def q_admission_rate(spark, sf_dir):
     """Accepted / blocked per second over a trailing 30 s window every 5 s."""

@@ -15,6 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -36,7 +38,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return (0, "")
-        return (1, float(f"{v:.9g}"))
+        return (1, v if EXACT else float(f"{v:.9g}"))
     if hasattr(v, "isoformat"):
         return (2, str(v).replace("T", " "))
     if isinstance(v, bool):

@@ -59,13 +59,17 @@ def batch_metrics(df: DataFrame, batch_col: str = "batch_id", topic_col: str = "
     clock at which a live batch is written); without ``time_col`` it is NULL.
     """
     aggs = [F.count(F.lit(1)).alias("raw_events"), F.count_distinct(F.col(key_col)).alias("unique_events")]
+    if time_col is not None:
+        aggs.append(F.max(time_col).alias("_tmax"))
     per_group = df.groupBy(F.col(batch_col).alias("batch_id"), F.col(topic_col).alias(TOPIC),
                            F.col(client_col).alias("client_id")).agg(*aggs)
     out = _finish(per_group)
     if time_col is None:
         return out.withColumn("batch_time", F.lit(None).cast("timestamp"))
-    times = df.groupBy(F.col(batch_col).alias("batch_id")).agg(F.max(time_col).alias("batch_time"))
-    return out.join(times, "batch_id", "left")
+    # one scan: the batch time is the max over the batch's metric rows (a window
+    # over aggregated rows, at most one per (topic, client) in the batch)
+    from pyspark.sql import Window
+    return out.withColumn("batch_time", F.max("_tmax").over(Window.partitionBy("batch_id"))).drop("_tmax")
 
 
 def recent(metrics: DataFrame, as_of=None, minutes: int = DEFAULT_POLICY.window_minutes,

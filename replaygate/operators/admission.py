@@ -90,17 +90,24 @@ def _fold_fn(key_cols, time_col, limit_col):
     return fold
 
 
-def _sessions(df: DataFrame, key_cols, time_col: str, gap_us: int) -> DataFrame:
+def _sessions(df: DataFrame, key_cols, time_col: str, gap_us: int, limit_col: str = "_lim") -> DataFrame:
     """(key, slot) -> session start slot. One row per key and active slot, so
-    the running max below sorts slots, not events."""
-    slotted = df.select(*key_cols, idiv(time_col, gap_us).alias("_slot"), time_col)
-    slots = slotted.groupBy(*key_cols, "_slot").agg(F.min(time_col).alias("_smin"), F.max(time_col).alias("_smax"))
+    the running max below sorts slots, not events.
+
+    A slot's first event starts a session when the key's previous event is at
+    least ``gap_us`` earlier and the limit is at least 1 per minute for every
+    event of the slot (a gap refills a bucket only when its rate is positive)."""
+    slotted = df.select(*key_cols, idiv(time_col, gap_us).alias("_slot"), time_col, limit_col)
+    slots = slotted.groupBy(*key_cols, "_slot").agg(F.min(time_col).alias("_smin"), F.max(time_col).alias("_smax"),
+                                                    F.min(limit_col).alias("_lmin"))
     prev = slots.select(*key_cols, (F.col("_slot") + 1).alias("_slot"), F.col("_smax").alias("_pmax"))
     starts = slots.join(prev, [*key_cols, "_slot"], "left").withColumn(
-        "_is_start", F.col("_pmax").isNull() | (F.col("_smin") - F.col("_pmax") >= F.lit(gap_us)))
+        "_is_start", (F.col("_lmin") >= 1)
+        & (F.col("_pmax").isNull() | (F.col("_smin") - F.col("_pmax") >= F.lit(gap_us))))
     w = Window.partitionBy(*key_cols).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.select(*key_cols, "_slot",
-                         F.max(F.when(F.col("_is_start"), F.col("_slot"))).over(w).alias("_session"))
+    # slots before the key's first valid start share session -1 (the bucket's real beginning)
+    return starts.select(*key_cols, "_slot", F.coalesce(
+        F.max(F.when(F.col("_is_start"), F.col("_slot"))).over(w), F.lit(-1).cast("long")).alias("_session"))
 
 
 def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col: str = "us",

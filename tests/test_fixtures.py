@@ -128,6 +128,17 @@ def test_session_split_is_exact_on_real_gaps(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_session_split_with_zero_limit(spark):
+    # limit 0: the bucket never refills, so a long gap must not start a fresh bucket
+    ev = read_table(spark, SF01, "events").select(
+        "event_id", F.concat(F.lit("t"), F.col("event_type")).alias("client_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.lit(2)).alias("lim"))
+    a = admission.token_bucket(ev, "lim", split_sessions=False).select("event_id", "admitted", "tokens")
+    b = admission.token_bucket(ev, "lim").select("event_id", "admitted", "tokens")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_closed_loop_goldens_sf001(spark):
     lp = P.closed_loop(read_table(spark, SF01, "events"))
     c = lp.comparison.first()

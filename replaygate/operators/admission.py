@@ -28,11 +28,12 @@ US_PER_S = 1_000_000
 SESSION_GAP_US = 120 * US_PER_S
 
 
-def bucket_fold(us, lim, tok: float, last: int, fresh: bool):
+def bucket_fold(us, lim, tok: float, last: int, fresh: bool, ttl_us: int = DEFAULT_POLICY.bucket_ttl_s * US_PER_S):
     """Fold one bucket over events in arrival order.
 
     ``us``/``lim``: lists of event times (microseconds) and limits per minute.
     ``fresh``: the bucket does not exist yet (starts full at the first event).
+    A bucket idle for ``ttl_us`` or longer has expired and starts full again.
     Returns (admitted list, tokens-after list, tokens, last). Negative elapsed
     time (late rows in a stream) counts as zero."""
     n = len(us)
@@ -41,6 +42,8 @@ def bucket_fold(us, lim, tok: float, last: int, fresh: bool):
     for i in range(n):
         li = lim[i]
         cap = li if li > 1 else 1
+        if not fresh and us[i] - last >= ttl_us:
+            fresh = True
         if fresh:
             fresh = False
             tok = float(cap)
@@ -90,24 +93,24 @@ def _fold_fn(key_cols, time_col, limit_col):
     return fold
 
 
-def _sessions(df: DataFrame, key_cols, time_col: str, gap_us: int, limit_col: str = "_lim") -> DataFrame:
+def _sessions(df: DataFrame, key_cols, time_col: str, gap_us: int, limit_col: str = "_lim",
+              ttl_us: int = DEFAULT_POLICY.bucket_ttl_s * US_PER_S) -> DataFrame:
     """(key, slot) -> session start slot. One row per key and active slot, so
     the running max below sorts slots, not events.
 
     A slot's first event starts a session when the key's previous event is at
     least ``gap_us`` earlier and the limit is at least 1 per minute for every
-    event of the slot (a gap refills a bucket only when its rate is positive)."""
+    event of the slot (a gap refills a bucket only when its rate is positive),
+    or when the gap reaches the bucket TTL (the bucket expired)."""
     slotted = df.select(*key_cols, idiv(time_col, gap_us).alias("_slot"), time_col, limit_col)
     slots = slotted.groupBy(*key_cols, "_slot").agg(F.min(time_col).alias("_smin"), F.max(time_col).alias("_smax"),
                                                     F.min(limit_col).alias("_lmin"))
-    prev = slots.select(*key_cols, (F.col("_slot") + 1).alias("_slot"), F.col("_smax").alias("_pmax"))
-    starts = slots.join(prev, [*key_cols, "_slot"], "left").withColumn(
-        "_is_start", (F.col("_lmin") >= 1)
-        & (F.col("_pmax").isNull() | (F.col("_smin") - F.col("_pmax") >= F.lit(gap_us))))
-    w = Window.partitionBy(*key_cols).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    # slots before the key's first valid start share session -1 (the bucket's real beginning)
-    return starts.select(*key_cols, "_slot", F.coalesce(
-        F.max(F.when(F.col("_is_start"), F.col("_slot"))).over(w), F.lit(-1).cast("long")).alias("_session"))
+    w = Window.partitionBy(*key_cols).orderBy("_slot")
+    gap = F.col("_smin") - F.lag("_smax").over(w)  # previous event of the key (NULL: its first slot)
+    is_start = gap.isNull() | ((F.col("_lmin") >= 1) & (gap >= F.lit(gap_us))) | (gap >= F.lit(ttl_us))
+    starts = slots.select(*key_cols, "_slot", is_start.alias("_is_start"))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return starts.select(*key_cols, "_slot", F.max(F.when(F.col("_is_start"), F.col("_slot"))).over(run).alias("_session"))
 
 
 def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col: str = "us",

@@ -116,3 +116,20 @@ def test_pipeline_restart_and_idempotent_metrics(spark, tmp_path):
     writer(batch, 0)
     m2 = IO.read_metrics(spark, met)
     assert m2.filter("batch_id = 0").agg(F.sum("raw_events")).first()[0] == 1000
+
+
+def test_subscription_pattern_and_bounded_read(spark, tmp_path):
+    topics = os.path.join(tmp_path, "topics")
+    rows = [(t, f"e{i}", "x", f"k{i % 3}") for t in ("usecase_a", "raw_events", "other", "xusecase_b")
+            for i in range(5)]
+    df = spark.createDataFrame(rows, "source_topic string, client_id string, event_type string, entity_id string")
+    IO.write_events(df, fmt="files", path=topics)
+    s = SP.event_stream(spark, "files", path=topics)
+    out, ck = os.path.join(tmp_path, "o"), os.path.join(tmp_path, "ck")
+    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()
+    _run_available(q)
+    got = {r.kafka_topic for r in spark.read.parquet(out).select("kafka_topic").distinct().collect()}
+    assert got == {"usecase_a", "raw_events"}
+    assert IO.read_topic(spark, "usecase_a", fmt="files", path=topics).count() == 5
+    assert IO.read_topic(spark, "usecase_a", fmt="files", path=topics, n=3).count() == 3

@@ -1,7 +1,7 @@
 """Streaming token bucket (T8 stream form, T9 TTL) with transformWithStateInPandas.
 
-State per client: (tokens, last) in a value state with a one-hour TTL (an idle
-bucket expires, which is invisible: any gap of 60 s refills it anyway). Within
+State per client: (tokens, last) in a value state; an idle bucket expires
+after an hour of event time inside the fold (T9). Within
 a micro-batch a client's rows are sorted by (time, order) before the fold; the
 fold is the same function as the batch path, so a stream split into batches
 in time order admits exactly what the batch plan admits.
@@ -50,14 +50,15 @@ class TokenBucketProcessor(StatefulProcessor):
 
 
 def admit_stream(df: DataFrame, limit_col: str = "limit_per_minute", client_col: str = "client_id",
-                 time_col: str = "us", order=("event_id",), ttl_s: int | None = DEFAULT_POLICY.bucket_ttl_s) -> DataFrame:
+                 time_col: str = "us", order=("event_id",), ttl_s: int | None = None) -> DataFrame:
     """T8 on a stream: adds ``admitted`` and ``tokens``; bucket per ``client_col``.
 
-    ``ttl_s``: idle buckets expire after this long (T9; processing-time mode, for
-    continuously triggered queries). ``None`` keeps buckets without expiry and
-    runs without a time mode, which bounded ``availableNow`` runs need (a
-    processing-time TTL keeps scheduling eviction batches). Expiry never changes
-    a decision: a 60 s gap refills any bucket."""
+    T9 (bucket expiry after an hour idle) is applied by the fold on event time,
+    so decisions never depend on when batches run. ``ttl_s`` additionally evicts
+    idle state by processing time (timeMode ProcessingTime). It is off by
+    default: state is one small row per client, and on this Spark build a
+    processing-time TTL keeps scheduling eviction batches, so ``availableNow``
+    and ``processAllAvailable`` do not return."""
     spark = df.sparkSession
     prov = spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
     if "RocksDB" not in prov:

@@ -105,3 +105,14 @@ def test_stream_counters_and_rates(spark, tmp_path):
     full = [r for r in spark.sql("SELECT * FROM rate").collect()
             if r.window_start >= T0 and r.window_end <= T0 + dt.timedelta(seconds=60)]
     assert full and all(abs(r.accepted_per_s * 30 - 20) < 1e-9 for r in full)
+
+
+def test_ingest_summary_with_rejections(spark):
+    rows = [(i, "c%d" % (i % 2), "e%d" % i, "usecase_x", i, i % 4 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id int, client_id string, entity_id string, source_topic string, us long, "
+                                     "admitted boolean")
+    r = admission.ingest_summary(df).first()
+    assert (r.topic, r.total_events, r.accepted, r.rejected) == ("usecase_x", 60, 15, 45)
+    want = [("c%d" % (i % 2), "e%d" % i) for i in range(60) if i % 4 != 0][:20]
+    assert [(x.client_id, x.entity_id) for x in r.rejections] == want
+

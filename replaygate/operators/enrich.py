@@ -65,13 +65,20 @@ def stamp_use_case(df: DataFrame, use_case_name=None, mode=None, single_event: b
     return out.withColumn("use_case_id", name).withColumn("source_topic", topic_name(name))
 
 
-def validate_events(df: DataFrame, required=("client_id", "event_type", "entity_id")):
-    """(valid rows, rejected rows with a ``reasons`` array)."""
+def validate_events(df: DataFrame, required=("client_id", "event_type", "entity_id"), whole_upload: bool = False):
+    """(valid rows, rejected rows with a ``reasons`` array).
+
+    ``whole_upload``: reject everything when any row is invalid, as a request
+    validator does (one scalar count decides; no rows go to the driver)."""
     reasons = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]),
                        lambda x: x.isNotNull())
     tagged = df.withColumn("_reasons", reasons)
     ok = tagged.filter(F.size("_reasons") == 0).drop("_reasons")
     bad = tagged.filter(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")
+    if whole_upload:
+        n_bad = bad.select(F.count(F.lit(1))).scalar()
+        ok = ok.filter(n_bad == 0)
+        bad = tagged.filter(n_bad > 0).withColumnRenamed("_reasons", "reasons")
     return ok, bad
 
 

@@ -74,8 +74,12 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and os.path.isdir(argv[1]) else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not os.path.isdir(a)]
     import __spark_entry__ as E
-    from replaygate.session import build_session
-    spark = build_session("local[8]")
+    if os.environ.get("ORACLE_VANILLA") == "1":  # a default session, as the driver may use
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        from replaygate.session import build_session
+        spark = build_session("local[8]")
     qs, oracle = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

@@ -77,6 +77,10 @@ def test_validate_defaults_stamp(spark):
     assert ok.count() == 1
     reasons = sorted(tuple(r.reasons) for r in bad.collect())
     assert reasons == [("missing client_id",), ("missing event_type", "missing entity_id")]
+    ok_all, bad_all = validate_events(df, whole_upload=True)
+    assert ok_all.count() == 0 and bad_all.count() == 3
+    ok_clean, _ = validate_events(df.filter("client_id IS NOT NULL AND entity_id IS NOT NULL"), whole_upload=True)
+    assert ok_clean.count() == 1
     d = apply_gateway_defaults(ok, now="2024-02-01 10:00:00").first()
     assert d.event_time == "2024-02-01T10:00:00.000000+00:00"
     s = stamp_use_case(ok, "  Replay Attack Demo ", " STATIC ").first()

@@ -18,7 +18,7 @@ from ..functions.policy import effective_limit, strategy_label
 from ..functions.text import mode_is_valid, normalize_mode, topic_name
 from ..operators import admission, joins, limits, metrics
 from ..operators.enrich import apply_gateway_defaults, stamp_use_case, validate_events
-from ..schema import DEFAULT_POLICY, MODES, Policy
+from ..schema import BYPASS_MODES, DEFAULT_POLICY, MODES, Policy
 from ..session import materialize
 from ..sources.tables import replay_events
 
@@ -134,13 +134,24 @@ def mode_experiment(events_table: DataFrame, policy: Policy = DEFAULT_POLICY, sa
     base = replay_events(events_table, "baseline")
     d = decide(metrics.exact_metrics(base), policy=policy)
     stored = d.current.select("client_id", F.col("limit_per_minute").cast("string").alias("_stored"))
-    ev = base.select(*_FOLD_COLS).withColumn("experiment_mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
-    ev = ev.withColumn("source_topic", experiment_topic(F.col("experiment_mode")))
-    ev = ev.join(stored, "client_id", "left") \
-           .withColumn("limit_per_minute", effective_limit("experiment_mode", F.col("_stored"), policy).cast("int")) \
-           .drop("_stored")
-    out = materialize(admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode")
-                      .withColumn("dedup_key", dedup_key()))
+    core = base.select(*_FOLD_COLS)
+
+    def copies(modes):
+        c = core.withColumn("experiment_mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+        return c.withColumn("source_topic", experiment_topic(F.col("experiment_mode")))
+
+    limited = [m for m in MODES if m not in BYPASS_MODES]
+    ev = copies(limited).join(stored, "client_id", "left") \
+        .withColumn("limit_per_minute", effective_limit("experiment_mode", F.col("_stored"), policy).cast("int")) \
+        .drop("_stored")
+    # only the rate-limited copies go through the fold and are written once;
+    # the bypass copies admit everything and stay a lazy projection of the input
+    folded = materialize(admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode")
+                         .withColumn("dedup_key", dedup_key()))
+    bypass = copies([m for m in MODES if m in BYPASS_MODES]).withColumns({
+        "limit_per_minute": F.lit(policy.default_limit).cast("int"),
+        "admitted": F.lit(True), "tokens": F.lit(None).cast("double")}).withColumn("dedup_key", dedup_key())
+    out = folded.unionByName(bypass)
     # One aggregate at the (topic, mode, client, key) grain feeds both the run
     # totals and the accepted-event metrics, so the fold above runs once (the
     # shared exchange is reused by both consumers).

@@ -120,3 +120,30 @@ def test_ingest_summary_with_rejections(spark):
     want = [("c%d" % (i % 2), "e%d" % i) for i in range(60) if i % 4 != 0][:20]
     assert [(x.client_id, x.entity_id) for x in r.rejections] == want
 
+
+
+def test_metrics_store_filters_reach_the_scan(spark, tmp_path):
+    import contextlib
+    import io as _io
+
+    from replaygate.sources import io as IO
+    rows = [(T0 + dt.timedelta(minutes=10 * b), "t", "c%d" % i, 3, 2, 1, 1 / 3, b) for b in range(6) for i in range(3)]
+    m = spark.createDataFrame(rows, "batch_time timestamp, use_case_topic string, client_id string, raw_events long, "
+                                    "unique_events long, duplicate_events long, duplicate_ratio double, batch_id long")
+    path = str(tmp_path / "metrics")
+    IO.write_metrics_table(m, path)
+    q = metrics.client_metrics(IO.read_metrics(spark, path), as_of="2024-01-01 00:50:00", minutes=30, ordered=False) \
+        .filter(F.col("client_id") == "c1")
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain("formatted")
+    plan = buf.getvalue()
+    assert "PushedFilters" in plan and "batch_time" in plan.split("PushedFilters")[1].splitlines()[0]
+    assert "EqualTo(client_id,c1)" in plan
+    assert [(r.raw_events, r.unique_events) for r in q.collect()] == [(12, 8)]  # batches at 20..50 min
+    pruned = IO.read_metrics(spark, path).filter(F.col("batch_id") >= 4)
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        pruned.explain("formatted")
+    assert "PartitionFilters" in buf.getvalue() and "batch_id" in buf.getvalue().split("PartitionFilters")[1].splitlines()[0]
+    assert pruned.count() == 6

@@ -46,13 +46,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     fault-tolerant folder there). Only when it is unset, as in local tests, a
     scratch folder is created and registered.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:  # local runs only: spark.checkpoint.dir is a startup setting on a cluster
         root = tempfile.mkdtemp(prefix="replaygate-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)  # DataFrame.checkpoint() writes under the context's folder
     return root.rstrip("/")
 
 

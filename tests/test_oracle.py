@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 from oracle_check import compare, duck
+from replaygate.plans.queries import ORACLE, QUERIES
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = sorted(set(E.queries()) - set(E.oracle_sql()))
+    missing = sorted(set(QUERIES) - set(ORACLE))
     assert missing == []
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, packing, token_count
+from . import bpe_codec, language_id, packing, quality_rules, token_count
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
     "op3_pack_sequences": packing.query,
     "op4_bpe_codec": bpe_codec.query,
     "op7_token_counts": token_count.query,
+    "op9_language_id": language_id.query,
 }
 
 ORACLE: dict[str, str] = {}

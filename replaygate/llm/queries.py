@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_id, packing, quality_rules, token_count
+from . import bpe_codec, language_id, packing, quality_rules, token_count, warc
 
 QUERIES = {
+    "op1_warc_revisits": warc.query,
     "op2_quality_rules": quality_rules.query,
     "op3_pack_sequences": packing.query,
     "op4_bpe_codec": bpe_codec.query,
@@ -12,4 +13,6 @@ QUERIES = {
     "op9_language_id": language_id.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_revisits": warc.ORACLE,
+}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, packing, quality_rules, token_count, warc
+from . import bpe_codec, hyperminhash, language_id, packing, quality_rules, token_count, warc, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
     "op2_quality_rules": quality_rules.query,
     "op3_pack_sequences": packing.query,
     "op4_bpe_codec": bpe_codec.query,
+    "op5_winnowing": winnowing.query,
     "op6_near_duplicates": hyperminhash.query,
     "op7_token_counts": token_count.query,
     "op9_language_id": language_id.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, packing, quality_rules, token_count, warc, winnowing
+from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, quality_rules, token_count, warc, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -13,8 +13,10 @@ QUERIES = {
     "op6_near_duplicates": hyperminhash.query,
     "op7_token_counts": token_count.query,
     "op9_language_id": language_id.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc_revisits": warc.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }

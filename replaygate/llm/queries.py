@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, quality_rules, token_count, warc, winnowing
+from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, quality_rules, suffix_dedup, token_count, warc, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_winnowing": winnowing.query,
     "op6_near_duplicates": hyperminhash.query,
     "op7_token_counts": token_count.query,
+    "op8_repeated_passages": suffix_dedup.query,
     "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
 }

@@ -181,10 +181,10 @@ def repeated_suffixes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return repeated, head
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row's whole text with its key: a 64-bit hash and the length in bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("size"))
+    return df.select(F.col(id_col).alias("id"), *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)), text.alias("text"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("size"))
 
 
 def _occurrence(t: int, size: int, k: int) -> int:
@@ -309,16 +309,18 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, spans array<struct<a, b>>, kept binary, kept_sha256) for each row.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(id, keep..., n_bytes, spans array<struct<a, b>>, kept binary, kept_sha256) for each row.
 
     `spans` are the maximal removed byte ranges of the UTF-8 text, `kept` what
-    remains, which may begin or end inside a character. A null text counts as
-    empty. Repeated rows are elsewhere to each other. Other columns are not read;
-    an empty table gives an empty result.
+    remains, which may begin or end inside a character; `as_text` gives it as a
+    string without such parts of characters. A null text counts as empty. Repeated rows are elsewhere to each other. Columns not in `keep` are
+    not read; an empty table gives an empty result.
     """
     spans = repeated_spans(df, id_col, text_col)
-    joined = _texts(df, id_col, text_col).join(spans, ["t", "size"], "left").select("id", "text", "spans")
+    names = ["id", *(f"keep_{i}" for i in range(len(keep)))]
+    rows = _texts(df, id_col, text_col, keep)
+    joined = rows.join(spans, ["t", "size"], "left").select(*names, "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -332,12 +334,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         left.append(data[at:a])
                         at = b
                     rest = b"".join([*left, data[at:]])
-                    size.append(len(data)), ranges.append([{"a": a, "b": b} for a, b in gone]), kept.append(rest), sha.append(hashlib.sha256(rest).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                                                  pa.array(kept, pa.binary()), pa.array(sha, pa.string())], names=["id", "n_bytes", "spans", "kept", "kept_sha256"])
+                    size.append(len(data)), ranges.append([{"a": a, "b": b} for a, b in gone]), kept.append(rest.decode(errors="ignore") if as_text else rest), sha.append(hashlib.sha256(rest).hexdigest())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(size, pa.int64()), pa.array(ranges, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                                                  pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sha, pa.string())], names=[*names, "n_bytes", "spans", "kept", "kept_sha256"])
 
-    out = joined.mapInArrow(run, f"id {joined.schema['id'].dataType.simpleString()}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    own = ", ".join(f"{n} {joined.schema[n].dataType.simpleString()}" for n in names)
+    out = joined.mapInArrow(run, f"{own}, n_bytes long, spans array<struct<a:long,b:long>>, kept {'string' if as_text else 'binary'}, kept_sha256 string")
+    return out.withColumnsRenamed({"id": id_col} | {f"keep_{i}": k for i, k in enumerate(keep)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

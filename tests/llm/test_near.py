@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from replaygate.llm import hyperminhash as H
+from replaygate.llm import words
 from replaygate.llm.components import components
 
 SF01 = "/root/testdata/sf0.01"
@@ -74,6 +76,15 @@ def test_table_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_parts_of_a_batch_give_the_same_sets(monkeypatch):
+    texts = [f"Été ÀB {i} word " * (i % 9) + "É" * (i % 5) + f" end {i}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    monkeypatch.setattr(words, "SLICE_BYTES", 500)
+    got = [s for part in words.slices(batch, "text") for s in H.shingle_sets(part.column("text"))]
+    assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
+    assert all((x == y).all() for x, y in zip(got, H.shingle_sets(batch.column("text"))))
+
+
 def test_repeated_rows_and_null_ids(spark):
     got = H.near_duplicates(frame(spark, [(4, "a b c"), (4, "a b c"), (None, "a b c"), (None, "zz"), (7, None)])).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(

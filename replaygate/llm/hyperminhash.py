@@ -9,9 +9,11 @@ two sketches agrees with a probability close to the Jaccard similarity.
 
 Bands of registers propose candidates, the collision-corrected estimate over all
 registers thins them out, and the full sets decide. Links are first sought
-between each band's smallest member and the others (linear in the band's size);
-then, in bands that still hold several groups, between members of different
-groups, block against block, so that no link between groups is lost.
+between each band's smallest member and the others (linear in the band's size).
+Bands that still hold several groups are compared block against block: likely
+pairs of different groups are joined to families, and each family's full sets are
+compared block against block, so that no link between groups is lost. Both steps
+hand on only links that join something new, so their output stays linear too.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ BAND_ROWS = 3
 #: The estimate over 128 registers has a standard deviation below 0.045; a pair
 #: is dropped unverified only if it lies 5 of them below the threshold.
 ESTIMATE_SLACK = 0.225
-BLOCK = 512
+#: Members, and shingles, in a block that is compared with another at once.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -187,10 +190,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts of classes in `pairs` are read again."""
-    pairs = stored(pairs, f"{name}-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(node, shingles) of the given nodes; only the texts of those classes are read again."""
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "first_id", "digest"), f"{name}-wanted")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.join(wanted.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
@@ -201,34 +202,101 @@ def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, te
                 sets = [s for s in shingle_sets(part.column("text")) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    sets = src.mapInArrow(run, "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles")
-    sets = stored(sets, f"{name}-sets")
+    sets = src.mapInArrow(run, "digest binary, shingles array<long>").join(wanted.select("digest", "node"), "digest")
+    return stored(sets.dropDuplicates(["node"]).select("node", "shingles"), f"{name}-sets")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    pairs = stored(pairs, "star-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(nodes, classes, df, id_col, text_col, "star")
     joined = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
               .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return joined.filter(100 * both >= percent * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different groups inside each band, block against block."""
+def _in_block_pairs(members: DataFrame, key: str, size) -> DataFrame:
+    """`members` dealt to blocks of their `key`, `size` of them, and copied to every
+    pair of blocks (lo <= hi): each two members of a key meet in one pair."""
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), size))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    return spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).groupBy(key, "lo", "hi")
+
+
+def _joining(left: np.ndarray, right: np.ndarray, group: dict[int, int]) -> list[int]:
+    """Which of the pairs (left[i], right[i]) join two trees of `group`, taken in order."""
+    def find(x):
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+    out = []
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            group[a] = b
+            out.append(i)
+    return out
+
+
+def _likely_joins(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) likely pairs of different groups inside each band, as many as join the band's members."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
-        first = table.column("block").to_numpy() == key[1].as_py()
+        node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n_shingles", "block"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        left, right = np.flatnonzero(first), (np.flatnonzero(~first) if key[1] != key[2] else np.flatnonzero(first))
-        a_out, b_out = [], []
-        for i in left.tolist():
-            js = right[(label[right] != label[i]) & (node[right] != node[i])]
-            if key[1] == key[2]:
-                js = js[node[js] > node[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+        lo, hi = key[1].as_py(), key[2].as_py()
+        right, trees, a_out, b_out = np.flatnonzero(block == hi), {}, [], []
+        for i in np.flatnonzero(block == lo).tolist():
+            js = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if len(js):
-                ok = js[estimate((sketch[js] == sketch[i]).sum(axis=1), n[js], np.full(len(js), n[i])) >= percent / 100 - ESTIMATE_SLACK]
-                a_out += np.minimum(node[ok], node[i]).tolist()
-                b_out += np.maximum(node[ok], node[i]).tolist()
+                js = js[estimate((sketch[js] == sketch[i]).sum(axis=1), n[js], n[i : i + 1]) >= percent / 100 - ESTIMATE_SLACK]
+                js = js[_joining(np.full(len(js), i), js, trees)]
+                a_out += [node[i]] * len(js)
+                b_out += node[js].tolist()
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
+    return _in_block_pairs(members, "key", blocks).applyInArrow(run, "a long, b long").distinct()
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """[left, right] numbers of common elements; only elements of several sets are counted."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    rows, columns = owner[shared[column]], number[column[shared[column]]]
+    out = np.zeros((len(left), len(right)), np.int64)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for at in range(0, int(shared.sum()), 4096):
+        part = slice(*np.searchsorted(columns, [at, at + 4096]))
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[rows[part], columns[part] - at] = 1
+        out += (table[left] @ table[right].T).astype(np.int64)
+    return out
+
+
+def _family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Verified (a, b) links between different groups inside each family, as many as join them."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        sets = [np.asarray(s.values) for s in table.column("shingles")]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        a_out, b_out = [], []
+        if len(left) and len(right):
+            both = _common(sets, left, right)
+            near = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
+            i, j = np.nonzero(near)
+            keep = _joining(label[left[i]], label[right[j]], {})
+            a_out, b_out = node[left[i[keep]]], node[right[j[keep]]]
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return members.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    dealt = members.join(stored(sizes, "families"), "family")
+    return _in_block_pairs(dealt, "family", F.col("blocks")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -248,21 +316,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = stored(bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
     in_band = stored(bands.join(heads, "key"), "in-band")
     stars = in_band.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verify(_likely(stars, classes, percent), classes, df, id_col, text_col, percent, "stars"), "links")
+    links = stored(_verify(_likely(stars, classes, percent), classes, df, id_col, text_col, percent), "links")
     labels = components(links)
 
     # bands whose members other than the head still lie in several groups
     grouped = in_band.filter("n > 2 and node <> head").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     grouped = stored(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
-    open_ = grouped.join(stored(mixed, "mixed"), "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    members = spread.withColumn("block", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("block"))).join(classes.select("node", "sketch", "n_shingles"), "node")
-    more = _verify(_cross_pairs(members.select("key", "lo", "hi", "block", "node", "label", "n_shingles", "sketch"), percent), classes, df, id_col, text_col, percent, "cross")
-    more = stored(more, "more-links")
-    if not more.isEmpty():
+    mixed = stored(grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
+    members = grouped.join(mixed, "key").join(classes.select("node", "sketch", "n_shingles"), "node")
+    joins = stored(_likely_joins(members, percent), "likely-joins")
+    if not joins.isEmpty():
+        family = components(joins, "families").select("node", F.col("label").alias("family"))
+        sets = _sets_of(family.select("node"), classes, df, id_col, text_col, "family")
+        relatives = family.join(labels, "node", "left").join(sets, "node").select("family", "node", F.coalesce("label", "node").alias("label"), "shingles", F.size("shingles").alias("n_shingles"))
+        more = stored(_family_links(stored(relatives, "relatives"), percent), "more-links")
         labels = components(links.union(more), "all-components")
 
     of = classes.join(labels, "node", "left").select("digest", "first_id", F.coalesce("label", "node").alias("label"))

@@ -57,8 +57,9 @@ def health_label(ratio) -> Column:
 
 
 def to_number(col) -> Column:
-    """Numeric value or 0 for non-numeric, NaN or infinite input."""
-    v = _c(col).try_cast("double")
+    """Numeric value or 0 for non-numeric, NaN or infinite input; a type suffix as in '5d' is not numeric."""
+    text = _c(col).cast("string")
+    v = F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(text).try_cast("double"))
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(0.0)).otherwise(v)
 
 

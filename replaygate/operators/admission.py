@@ -132,15 +132,21 @@ def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col:
         mcol = F.lit(mode) if isinstance(mode, str) and mode not in df.columns else F.col(mode)
         src = src.withColumn("_mode", mcol)
         key_cols = ["_mode", client_col]
-        bypass = src.filter(F.col("_mode").isin(*BYPASS_MODES)) \
+        free = F.coalesce(F.col("_mode").isin(*BYPASS_MODES), F.lit(False))  # a NULL mode is no bypass
+        bypass = src.filter(free) \
             .withColumn("admitted", F.lit(True)).withColumn("tokens", F.lit(None).cast("double"))
-        src = src.filter(~F.col("_mode").isin(*BYPASS_MODES))
+        src = src.filter(~free)
     else:
         bypass = None
 
     if split_sessions:
         sess = _sessions(src, key_cols, time_col, gap_us)
-        src = src.withColumn("_slot", idiv(time_col, gap_us)).join(sess, [*key_cols, "_slot"], "left")
+        src = src.withColumn("_slot", idiv(time_col, gap_us))
+        sess = sess.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*key_cols, "_slot"])], "_session")
+        on = F.lit(True)
+        for i, c in enumerate([*key_cols, "_slot"]):
+            on = on & F.col(c).eqNullSafe(F.col(f"_of_{i}"))  # a NULL client is a client of its own
+        src = src.join(sess, on, "left").drop(*[f"_of_{i}" for i in range(len(key_cols) + 1)])
         part_cols = [*key_cols, "_session"]
     else:
         src = src.withColumn("_slot", F.lit(0).cast("long")).withColumn("_session", F.lit(0).cast("long"))
@@ -176,34 +182,39 @@ def admit(events: DataFrame, mode: str, limits: DataFrame | None = None, policy:
     return token_bucket(ev, "limit_per_minute", client_col=client_col, time_col=time_col, order=order)
 
 
-def ensure_group_limit(spark, k: int) -> None:
-    """Top-k windows are cut per partition before the shuffle (WindowGroupLimit)
-    only for k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by
-    default). Raise it to the policy's largest k so that a hot client's rows are
-    reduced map-side instead of being ranked whole in one task."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    cur = int(spark.conf.get(key, "1000"))
-    if 0 <= cur < k:
-        spark.conf.set(key, str(k))
+def _time_block(df: DataFrame, col: str, block_s: int):
+    """Numbered blocks that follow the order of ``col``: time blocks for times and
+    microseconds, one block for a column of another type. NULL sorts first."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        block = idiv(F.unix_micros(F.col(col).cast("timestamp")), block_s * US_PER_S)
+    elif isinstance(kind, (T.LongType, T.IntegerType)):
+        block = F.floor(F.col(col) / F.lit(block_s * US_PER_S)).cast("long")
+    else:
+        return F.lit(0).cast("long")
+    return F.coalesce(block, F.lit(-(1 << 62)).cast("long"))
 
 
-def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=("event_ts", "event_id"),
-                policy: Policy = DEFAULT_POLICY) -> DataFrame:
+def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=("event_ts", "event_id"), block_s: int = 60) -> DataFrame:
     """Zero elapsed time, a full bucket admits the first max(1, floor(limit)) events per client.
 
-    The limit is bounded by the policy maximum, so the per-client threshold comes
-    from a top-k window that Spark cuts per partition before the shuffle
-    (WindowGroupLimit); events then compare against the threshold row."""
+    Events are counted per (client, time block); a prefix sum over that block
+    table tells for every block whether all, none or some of its events are among
+    the first k. Only events of a block of the last kind are ranked, inside it, so
+    a hot client is never sorted whole and the limit has no bound. A NULL client
+    is a client of its own."""
     lim = F.lit(int(limit)) if isinstance(limit, int) else (F.col(limit) if isinstance(limit, str) else limit)
-    bound = max(policy.max_limit, int(limit) if isinstance(limit, int) else 1, 1)
-    ensure_group_limit(events.sparkSession, bound)
-    ev = events.withColumn("_k", F.greatest(F.lit(1), lim.cast("int")))
-    w = Window.partitionBy(client_col).orderBy(*order)
-    top = ev.select(client_col, "_k", *order).withColumn("_rn", F.row_number().over(w)) \
-        .filter((F.col("_rn") <= F.lit(bound)) & (F.col("_rn") <= F.col("_k")))
-    thr = top.groupBy(client_col).agg(F.max(F.struct(*order)).alias("_thr"))
-    out = ev.join(thr, client_col, "left")
-    return out.withColumn("admitted", F.coalesce(F.struct(*order) <= F.col("_thr"), F.lit(False))).drop("_k", "_thr")
+    ev = events.withColumn("_k", F.greatest(F.lit(1), lim.cast("long"))).withColumn("_block", _time_block(events, order[0], block_s))
+    per_block = ev.groupBy(client_col, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_kmin"), F.max("_k").alias("_kmax"))
+    upto = Window.partitionBy(client_col).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    blocks = per_block.select(F.col(client_col).alias("_c"), F.col("_block").alias("_b"), "_n", "_kmin", "_kmax", before.alias("_before"))
+    out = ev.join(blocks, F.col(client_col).eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
+    every, none = F.col("_before") + F.col("_n") <= F.col("_kmin"), F.col("_before") >= F.col("_kmax")
+    sure = out.filter(every | none).withColumn("admitted", every)
+    w = Window.partitionBy(client_col, "_block").orderBy(*order)
+    rest = out.filter(~(every | none)).withColumn("admitted", F.row_number().over(w) + F.col("_before") <= F.col("_k"))
+    return sure.unionByName(rest).drop("_k", "_block", "_c", "_b", "_n", "_kmin", "_kmax", "_before")
 
 
 def split_admitted(df: DataFrame):

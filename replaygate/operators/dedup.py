@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,20 @@ def duplicate_events(df: DataFrame, key: str = "dedup_key", order=("event_ts", "
                      id_cols=("event_id",)) -> DataFrame:
     """Replay records, i.e. every row that is not its key's survivor.
 
-    Anti join on (key, id): the hash partitioning uses both columns, so rows of
-    a hot key spread over all partitions."""
+    Joined on (key, id): the hash partitioning uses both columns, so rows of a hot
+    key spread over all partitions. Replays may carry their original's id; of the
+    rows that share the survivor's key and id one is the survivor, and the others
+    are numbered and kept as replays."""
     keep = dedup_keep_first(df.select(key, *order, *[c for c in id_cols if c not in order]), key, order)
     on = [key, *id_cols]
-    return df.join(keep.select(*on), on, "left_anti")
+    keep = keep.select(*[F.col(c).alias(f"_keep_{c}") for c in on], F.lit(True).alias("_kept"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_keep_{c}"))
+    marked = df.join(keep, same, "left").drop(*[f"_keep_{c}" for c in on])
+    w = Window.partitionBy(*on).orderBy(*order)
+    again = marked.filter("_kept").withColumn("_rn", F.row_number().over(w)).filter("_rn > 1").drop("_rn")
+    return marked.filter("_kept IS NULL").unionByName(again).drop("_kept")
 
 
 def late_events(df: DataFrame, delay: str = "10 minutes", batch_col: str = "batch_id",
@@ -50,7 +59,6 @@ def late_events(df: DataFrame, delay: str = "10 minutes", batch_col: str = "batc
     the running maximum runs over it, and events join it on the batch number.
     """
     per_batch = df.groupBy(batch_col).agg(F.max(time_col).alias("_bmax"))
-    from pyspark.sql import Window
     w = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
     marks = per_batch.select(batch_col, (F.max("_bmax").over(w) - F.expr(f"INTERVAL {delay}")).alias("watermark"))
     out = df.join(marks, batch_col, "left")

@@ -6,17 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import RAW_TOPIC, SUBSCRIBE_PATTERN
+from ..schema import SUBSCRIBE_PATTERN
 from .admission import split_admitted  # noqa: F401  (F6)
 from .limits import throttled  # noqa: F401  (F5)
-from .metrics import TOPIC, recent  # noqa: F401  (F1)
+from .metrics import TOPIC, is_topic, recent  # noqa: F401  (F1)
 
 
 def for_topic(df: DataFrame, topic: str, col: str = TOPIC) -> DataFrame:
     """one topic, or everything for 'all'; a missing topic reads as raw_events."""
-    if topic == "all":
-        return df
-    return df.filter(F.coalesce(F.col(col), F.lit(RAW_TOPIC)) == F.lit(topic))
+    return df if topic == "all" else df.filter(is_topic(topic, col))
 
 
 def for_topics(df: DataFrame, topics, col: str = TOPIC) -> DataFrame:

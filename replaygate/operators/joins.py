@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import dup_ratio, effective_limit
-from ..schema import BASELINE_PATTERN, DEFAULT_POLICY, MODE_LABELS, MODES, PROTECTED_PATTERN, Policy
+from ..schema import BASELINE_PATTERN, DEFAULT_POLICY, MODES, PROTECTED_PATTERN, Policy
 from .metrics import TOPIC, topic_totals
 
 
@@ -25,8 +25,7 @@ def runs_with_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def modes_frame(spark) -> DataFrame:
     """The four experiment modes in display order (a 4-row dimension)."""
-    return spark.createDataFrame([(i, m, MODE_LABELS[m]) for i, m in enumerate(MODES)],
-                                 "mode_order int, experiment_mode string, mode_label string")
+    return spark.createDataFrame(list(enumerate(MODES)), "mode_order int, experiment_mode string")
 
 
 def results_by_mode(runs_metrics: DataFrame) -> DataFrame:

@@ -104,6 +104,13 @@ def topic_of(col: str = TOPIC) -> Column:
     return F.coalesce(F.col(col), F.lit(RAW_TOPIC))
 
 
+def is_topic(topic: str, col: str = TOPIC) -> Column:
+    """Whether a row's topic is ``topic``: plain equality, which scans push down;
+    only for raw_events a missing topic counts too."""
+    same = F.col(col) == F.lit(topic)
+    return same | F.col(col).isNull() if topic == RAW_TOPIC else same
+
+
 def topic_totals(metrics: DataFrame) -> DataFrame:
     """A4: messages, clean events, waste and ratio per topic."""
     out = metrics.groupBy(topic_of().alias(TOPIC)).agg(
@@ -116,7 +123,7 @@ def topic_totals(metrics: DataFrame) -> DataFrame:
 
 def summary(metrics: DataFrame, topic: str = "all") -> DataFrame:
     """A5: grand totals and active clients (a missing client id counts as one client)."""
-    m = metrics if topic == "all" else metrics.filter(topic_of() == F.lit(topic))
+    m = metrics if topic == "all" else metrics.filter(is_topic(topic))
     out = m.agg(
         F.coalesce(F.sum("raw_events"), F.lit(0)).cast("long").alias("raw_events"),
         F.coalesce(F.sum("unique_events"), F.lit(0)).cast("long").alias("unique_events"),
@@ -155,7 +162,7 @@ def ratio_round(dup, raw, digits: int = 2) -> Column:
 
 def topic_clients(metrics: DataFrame, topic: str) -> DataFrame:
     """One topic's clients, ratio to 2 places, most duplicates first."""
-    m = metrics.filter(topic_of() == F.lit(topic))
+    m = metrics.filter(is_topic(topic))
     out = m.groupBy("client_id").agg(
         F.sum("raw_events").alias("raw"),
         F.sum("unique_events").alias("unique"),

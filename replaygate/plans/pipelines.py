@@ -34,7 +34,9 @@ class Decisions:
 
 def decide(client_metrics: DataFrame, decided_at=None, policy: Policy = DEFAULT_POLICY) -> Decisions:
     """Metrics -> ratio -> limit -> decision rows, current limits, throttle counters.
-    No metrics -> no decisions (old limits stay until their TTL)."""
+    No metrics -> no decisions (old limits stay until their TTL). Without
+    ``decided_at`` the decisions are made now."""
+    decided_at = F.current_timestamp() if decided_at is None else decided_at
     dec = limits.decide_limits(client_metrics, decided_at, policy)
     return Decisions(dec, limits.current_limits(dec), limits.throttle_count(dec, policy))
 
@@ -55,6 +57,7 @@ def ingest(events: DataFrame, use_case_name: str, mode: str | None = None, curre
 
     ``events`` needs client_id, event_type, entity_id and the ``time_col``
     (integer microseconds of arrival) and ``order`` columns."""
+    mode = valid_mode_or_fail(mode)  # a bad mode fails the request; it must not lose its events
     ok, bad = validate_events(events)
     ev = apply_gateway_defaults(ok, now)
     ev = stamp_use_case(ev, use_case_name, mode)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admission, dedup, limits, metrics
-from ..sources.tables import load_ge
+from ..sources.tables import load_ge, load_ge_replay
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +215,26 @@ def q_late_events(spark, sf_dir):
     return dedup.late_events(ge).select("event_id", "batch_id", ntz("event_ts"), ntz("watermark"))
 
 
+@register("replay_records", f"""WITH {S.ge_replay('r', 'usecase_replay')},
+n AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY event_ts, event_id) AS rn FROM r)
+SELECT client_id, event_id, CAST(count(*) AS BIGINT) AS replays FROM n WHERE rn > 1 GROUP BY client_id, event_id""")
+def q_replay_records(spark, sf_dir):
+    """J9 where replays carry their original's id: replay records per client and event."""
+    r = load_ge_replay(spark, sf_dir, "usecase_replay").select("event_id", "dedup_key", "client_id", "event_ts")
+    return dedup.duplicate_events(r).groupBy("client_id", "event_id").agg(F.count(F.lit(1)).alias("replays"))
+
+
+@register("late_events_interleaved", f"""WITH {S.GE},
+b AS (SELECT event_id, event_id % 7 AS batch_id, event_ts FROM ge),
+m AS (SELECT batch_id, max(max(event_ts)) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+             - INTERVAL 10 DAYS AS watermark FROM b GROUP BY batch_id)
+SELECT event_id, batch_id, event_ts, watermark FROM b JOIN m USING (batch_id) WHERE event_ts < watermark""")
+def q_late_events_interleaved(spark, sf_dir):
+    """T4 (batch form) on batches that interleave in time: every later batch has rows behind the watermark."""
+    ge = load_ge(spark, sf_dir).select("event_id", (F.col("event_id") % 7).alias("batch_id"), "event_ts")
+    return dedup.late_events(ge, "10 days").select("event_id", "batch_id", ntz("event_ts"), ntz("watermark"))
+
+
 # --------------------------------------------------------------------------- admission
 
 @register("token_bucket", f"""WITH RECURSIVE {S.GE}, {S.token_bucket('ge', '50')}
@@ -242,6 +262,18 @@ def q_burst_admission(spark, sf_dir):
     return admission.admit_burst(ev, "limit_per_minute").select("event_id", "client_id", "limit_per_minute", "admitted")
 
 
+@register("burst_admission_wide", f"""WITH {S.ge_replay('r', 'usecase_replay')},
+n AS (SELECT 'c' || (user_id % 2) AS client_id, event_id, copy_no,
+             row_number() OVER (PARTITION BY user_id % 2 ORDER BY us, event_id, copy_no) AS rn FROM r)
+SELECT client_id, event_id, copy_no, rn <= 15000 AS admitted FROM n""")
+def q_burst_admission_wide(spark, sf_dir):
+    """W1 with a limit above every tier, on two clients that hold half of the events each."""
+    r = load_ge_replay(spark, sf_dir, "usecase_replay")
+    r = r.select(F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string")).alias("client_id"), "event_id", "copy_no", "us")
+    out = admission.admit_burst(r, 15000, order=("us", "event_id", "copy_no"), block_s=1)
+    return out.select("client_id", "event_id", "copy_no", "admitted")
+
+
 # --------------------------------------------------------------------------- closed loop (C4) and its parts
 
 from . import pipelines as P  # noqa: E402
@@ -381,9 +413,7 @@ def q_evidence_report(spark, sf_dir):
 
 _C5_SQL = f"""WITH RECURSIVE {S.ge_replay('base', 'baseline')}, {S.exact_metrics('base', 'mb')},
 lim AS (SELECT client_id, max_by({S.tier('duplicate_ratio')}, use_case_topic) AS l FROM mb GROUP BY client_id),
-modes AS (SELECT * FROM (VALUES (0, 'none', 'No rate limiting'), (1, 'static', 'Static token bucket'),
-                                (2, 'storage_only', 'Storage-only dedup'), (3, 'radar', 'Adaptive limits'))
-          t(mode_order, experiment_mode, mode_label)),
+modes AS (SELECT * FROM (VALUES (0, 'none'), (1, 'static'), (2, 'storage_only'), (3, 'radar')) t(mode_order, experiment_mode)),
 ev AS (
   SELECT b.event_id, b.copy_no, b.us, b.client_id, b.event_type, b.entity_id, m.experiment_mode,
          'usecase_experiment_' || m.experiment_mode AS source_topic,
@@ -419,7 +449,7 @@ def _exp(spark, sf_dir):
 
 
 @register("mode_experiment", _C5_SQL + """
-SELECT m.mode_order, m.experiment_mode, m.mode_label, rm.topic, rm.total_events, rm.accepted, rm.rejected,
+SELECT m.mode_order, m.experiment_mode, rm.topic, rm.total_events, rm.accepted, rm.rejected,
        CAST(NULL AS TIMESTAMP) AS saved_at, rm.kafka_messages, rm.clean_events, rm.duplicate_waste,
        """ + S.ratio("rm.duplicate_waste", "rm.kafka_messages") + """ AS duplicate_ratio,
        CAST(coalesce(c.n, 0) AS BIGINT) AS runs

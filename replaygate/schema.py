@@ -27,12 +27,6 @@ from pyspark.sql import types as T
 
 MODES = ("none", "static", "storage_only", "radar")
 BYPASS_MODES = ("none", "storage_only")
-MODE_LABELS = {
-    "none": "No rate limiting",
-    "static": "Static token bucket",
-    "storage_only": "Storage-only dedup",
-    "radar": "Adaptive limits",
-}
 RAW_TOPIC = "raw_events"
 TOPIC_PREFIX = "usecase_"
 TOPIC_FALLBACK = "upload"

@@ -43,12 +43,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and materialised intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared,
-    fault-tolerant folder there). Only when it is unset, as in local tests, a
-    scratch folder is created and registered.
+    fault-tolerant folder there). Only when it is unset in a local session, as in
+    tests, a scratch folder is created and registered; elsewhere that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:  # local runs only: spark.checkpoint.dir is a startup setting on a cluster
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         root = tempfile.mkdtemp(prefix="replaygate-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)  # DataFrame.checkpoint() writes under the context's folder

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import parse_payload
 from ..operators.enrich import encode_events
@@ -70,18 +71,29 @@ def write_events(df: DataFrame, fmt: str = "kafka", path: str | None = None, ser
 
 # --------------------------------------------------------------------------- uploads
 
+CSV_MAX_COLUMNS = 64
+
+
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: CSV upload. Header row, '"' quotes with '""' escapes, cells trimmed,
-    blank lines skipped; a missing or empty cell reads as ''. Only the five
-    event fields are kept; payload text becomes a map (P11), an empty
-    event_time becomes NULL."""
-    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("nullValue", "\u0000").option("emptyValue", "").option("mode", "PERMISSIVE")
-           .csv(path))
+    """S3: CSV upload. Each file's own header row names its columns, in any order;
+    '"' quotes with '""' escapes, every cell trimmed, blank lines skipped; a missing
+    or empty cell reads as ''. Only the five event fields are kept; payload text
+    becomes a map (P11), an empty event_time becomes NULL.
+
+    Cells are read by position together with the file they come from. A file's
+    header is the first row of its first split; it is looked up per file."""
+    cells = [f"_{i}" for i in range(CSV_MAX_COLUMNS)]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", False).option("quote", '"').option("escape", '"')
+           .option("nullValue", "\u0000").option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
+    rows = raw.select(F.array(*[F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^\\ufeff", "")) for c in cells]).alias("cells"),
+                      F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    heads = rows.filter("start = 0").groupBy("file").agg(F.min("row").alias("head"), F.min_by("cells", "row").alias("names"))
+    body = rows.join(heads, "file").filter("row <> head")
+
     def cell(c):
-        return F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("")
-    return raw.select(
+        at = F.array_position("names", F.lit(c)).cast("int")
+        return F.when(at > 0, F.get("cells", at - 1)).otherwise(F.lit(""))
+    return body.select(
         cell("client_id").alias("client_id"), cell("event_type").alias("event_type"),
         cell("entity_id").alias("entity_id"),
         F.nullif(cell("event_time"), F.lit("")).alias("event_time"),
@@ -98,15 +110,18 @@ def read_events_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST") ->
     schema = _UPLOAD_SCHEMA
     r = spark.read.option("mode", mode)
     if mode == "PERMISSIVE":
-        from pyspark.sql import types as T
         schema = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
         r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
     return r.schema(schema).json(path)
 
 
 def read_events_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one JSON array of events (top level must be an array)."""
-    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(_UPLOAD_SCHEMA).json(path)
+    """A file holding one JSON array of events. Anything else at the top level,
+    and any bad element, fails the load."""
+    text = spark.read.text(path, wholetext=True)
+    array = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.raise_error(F.lit("the top level of a JSON upload must be an array")))
+    parsed = F.from_json(array, T.ArrayType(_UPLOAD_SCHEMA), {"mode": "FAILFAST"})
+    return text.select(F.explode(parsed).alias("event")).select("event.*")
 
 
 # --------------------------------------------------------------------------- tables

@@ -9,6 +9,7 @@ sample of labelled rows; every row is then scored over its whole text.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .words import BoundedCache, coded_words, documents, slices
+from .words import BoundedCache, coded_words, documents, slices, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled rows learned from, at most, for each language.
@@ -147,7 +148,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(languages, probability[piece, language]) learned from rows with text, id and label."""
     path = vocabulary or _path()
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = sample_ids(labelled, id_col, lang_col, sample_rows).withColumnRenamed("id", "sampled")
+    ids = stored(sample_ids(labelled, id_col, lang_col, sample_rows).withColumnRenamed("id", "sampled"), "sampled-ids")
     rows = labelled.join(ids, F.col(id_col) == F.col("sampled"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
@@ -174,6 +175,12 @@ def _path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@lru_cache(maxsize=1)
+def _known_words(model: str) -> BoundedCache:
+    """Scores of words under one model, kept by a Python worker between tasks."""
+    return BoundedCache(300_000)
+
+
 def predict(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: str | None = None) -> DataFrame:
     """(id, keep..., lang_pred, score): the likeliest language of each whole text and
     its posterior under equal priors. `und` with score 0 where the text is null or
@@ -186,9 +193,10 @@ def predict(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "do
     kept = [F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)]
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
     model = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(prob))
+    name = uuid.uuid4().hex
 
     def run(batches):
-        table, cache = model.value, BoundedCache(300_000)
+        table, cache = model.value, _known_words(name)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")

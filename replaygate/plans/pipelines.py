@@ -1,6 +1,8 @@
 """Composite pipelines a user calls.
 
-Each returns DataFrames (lazy plans); nothing is collected to the driver. The
+Each returns DataFrames; nothing is collected to the driver. `closed_loop` and
+`mode_experiment` write the admission fold's output once while they build their
+plans, since several of their results read it; the rest is lazy. The
 limit table produced by a decision step is small per client but is never
 broadcast by hint: AQE picks a broadcast join at run time only when the
 measured size is under the threshold, and a shuffle join otherwise.
@@ -95,6 +97,11 @@ class ClosedLoop:
     comparison: DataFrame    # J5
 
 
+def round1_decisions(events_table: DataFrame, policy: Policy = DEFAULT_POLICY) -> Decisions:
+    """C2 on round 1 alone: no admission fold runs."""
+    return decide(metrics.exact_metrics(replay_events(events_table, ROUND_1)), policy=policy)
+
+
 def closed_loop(events_table: DataFrame, policy: Policy = DEFAULT_POLICY) -> ClosedLoop:
     """C4: round 1 admits everything; exact ratios decide per-client limits;
     round 2 (same input) goes through the adaptive bucket; compare the rounds."""

@@ -315,6 +315,10 @@ def _loop(spark, sf_dir):
     return P.closed_loop(read_table(spark, sf_dir, "events"))
 
 
+def _round1_decisions(spark, sf_dir):
+    return P.round1_decisions(read_table(spark, sf_dir, "events")).decisions
+
+
 @register("closed_loop", _C4_SQL + "," + _J5_SELECT.format(b="usecase_round_1", p="usecase_round_2"))
 def q_closed_loop(spark, sf_dir):
     """C4: round 1 open, limits from exact ratios, round 2 through the adaptive bucket, J5 comparison."""
@@ -325,8 +329,7 @@ def q_closed_loop(spark, sf_dir):
 SELECT client_id, use_case_topic, duplicate_ratio, {S.tier('duplicate_ratio')} AS new_limit_per_minute FROM m1""")
 def q_closed_loop_limits(spark, sf_dir):
     """C2 on round 1: one decision per client (tiers from exact ratios)."""
-    return _loop(spark, sf_dir).decisions.decisions.select("client_id", "use_case_topic", "duplicate_ratio",
-                                                           "new_limit_per_minute")
+    return _round1_decisions(spark, sf_dir).select("client_id", "use_case_topic", "duplicate_ratio", "new_limit_per_minute")
 
 
 @register("closed_loop_admission", _C4_SQL + """
@@ -354,7 +357,7 @@ d AS (SELECT client_id, use_case_topic, duplicate_ratio, {S.tier('duplicate_rati
 SELECT client_id, use_case_topic, new_limit_per_minute FROM d WHERE new_limit_per_minute < 10000""")
 def q_throttled_clients(spark, sf_dir):
     """decisions below the default limit."""
-    return limits.throttled(_loop(spark, sf_dir).decisions.decisions).select(
+    return limits.throttled(_round1_decisions(spark, sf_dir)).select(
         "client_id", "use_case_topic", "new_limit_per_minute")
 
 
@@ -363,7 +366,7 @@ SELECT use_case_topic, CAST(count(*) FILTER (WHERE {S.tier('duplicate_ratio')} <
 FROM m1 GROUP BY use_case_topic""")
 def q_throttle_count(spark, sf_dir):
     """Throttling decisions per topic."""
-    return limits.throttle_count(_loop(spark, sf_dir).decisions.decisions, by=("use_case_topic",))
+    return limits.throttle_count(_round1_decisions(spark, sf_dir), by=("use_case_topic",))
 
 
 @register("guess_comparison", _C4_SQL + """,
@@ -923,9 +926,7 @@ FROM em JOIN x ON em.client_id = x.client_id"""
 
 
 def _upload_rows(spark, sf_dir) -> DataFrame:
-    ge = load_ge(spark, sf_dir)
-    ev = read_table(spark, sf_dir, "events").select("event_id", "props")
-    return ge.join(ev, "event_id").select(
+    return load_ge(spark, sf_dir, with_props=True).select(
         "client_id", "event_type", "entity_id",
         F.when(F.col("event_type") != "click", F.date_format("event_ts", _ISO)).alias("event_time"),
         F.col("props").alias("payload_text"), "batch_id")

@@ -67,8 +67,9 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def materialize(df):
-    """Write an intermediate that several consumers read to the shared
-    checkpoint folder and cut its lineage (reliable, survives executor loss;
-    never a local checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate that several consumers read as Parquet below the
+    shared folder and read it back. That cuts its lineage and survives lost
+    executors, and each consumer scans only the columns it needs."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,8 +49,8 @@ def _base(events: DataFrame) -> DataFrame:
     )
 
 
-def gateway_events(events: DataFrame) -> DataFrame:
-    """The ``ge`` view over the ``events`` table."""
+def gateway_events(events: DataFrame, with_props: bool = False) -> DataFrame:
+    """The ``ge`` view over the ``events`` table, on request with the raw ``props``."""
     b = _base(events)
     out = b.select(
         "event_id", "user_id", "client_id", "event_type",
@@ -58,12 +58,13 @@ def gateway_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("usecase_"), F.col("event_type")).alias("source_topic"),
         "event_ts", "us", "batch_id", "value",
         F.from_json(F.col("props"), "map<string,string>").alias("payload"),
+        *(["props"] if with_props else []),
     )
     return out.withColumn("use_case_id", F.col("source_topic")).withColumn("dedup_key", dedup_key())
 
 
-def load_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gateway_events(read_table(spark, sf_dir, "events"))
+def load_ge(spark: SparkSession, sf_dir: str, with_props: bool = False) -> DataFrame:
+    return gateway_events(read_table(spark, sf_dir, "events"), with_props)
 
 
 def replay_events(events: DataFrame, topic: str) -> DataFrame:

@@ -38,6 +38,8 @@ HOT = 32
 VERIFY_CELLS = 4_000_000
 #: Rows of line variants handed over at once.
 VARIANT_ROWS = 200_000
+#: Bits of the map that keeps most unwanted lines out of a shuffle: 2 MB, 24 bits of a digest.
+BITMAP_BITS = 1 << 24
 
 
 def segments(length: int, edits: int = MAX_EDITS) -> list[tuple[int, int]]:
@@ -141,15 +143,30 @@ def line_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_hash long, line_no int, digest binary, keys array<long>")
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """BITMAP_BITS bits, one set for the first bits of each wanted digest. Its size
+    is fixed, whatever the number of digests; it only spares rows a shuffle."""
+    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    for r in words:
+        out[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
+    return out
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(line, content) of the distinct lines in `wanted` (line, digest), read from the documents again."""
     src = _lines_of(df, id_col, text_col).select("text")
+    bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches):
+        bits = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little")
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = {x for text in pc.fill_null(part.column("text"), "").to_pylist() for x in text.split("\n") if len(x) >= MIN_CHARS}
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in lines], pa.binary()), pa.array(list(lines), pa.string())], names=["digest", "content"])
+                found = [(d, x) for d, x in ((_digest(x), x) for x in lines) if bits[int.from_bytes(d[:3], "big")]]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([x for _, x in found], pa.string())], names=["digest", "content"])
 
     found = src.mapInArrow(run, "digest binary, content string").join(wanted, "digest")
     return stored(found.dropDuplicates(["line"]).select("line", "content"), "line-texts")

@@ -8,8 +8,9 @@ from a full one, found by a fixed permutation per bucket, so that any bucket of
 two sketches agrees with a probability close to the Jaccard similarity.
 
 Bands of registers propose candidates, the collision-corrected estimate over all
-registers thins them out, and the full sets decide. Links are first sought
-between each band's smallest member and the others (linear in the band's size).
+registers thins them out, and the full sets decide. Links are first sought with
+bands' smallest members: each class meets that of its fullest band, then those of
+its other bands that it is not yet joined with (linear in the bands' sizes).
 Bands that still hold several groups are compared block against block: likely
 pairs of different groups are joined to families, and each family's full sets are
 compared block against block, so that no link between groups is lost. Both steps
@@ -315,8 +316,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = _bands(classes)
     heads = stored(bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
     in_band = stored(bands.join(heads, "key"), "in-band")
-    stars = in_band.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verify(_likely(stars, classes, percent), classes, df, id_col, text_col, percent), "links")
+    # first each node against the head of its fullest band, then against the heads it is still apart from
+    stars = in_band.filter("node <> head").select("key", "n", F.col("head").alias("a"), F.col("node").alias("b"))
+    fullest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "key")).alias("a")).select("a", "b")
+    links = stored(_verify(_likely(fullest, classes, percent), classes, df, id_col, text_col, percent), "first-links")
+    labels = components(links, "first-components")
+    apart = stars.join(labels.toDF("a", "a_label"), "a", "left").join(labels.toDF("b", "b_label"), "b", "left")
+    apart = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b").distinct()
+    links = stored(links.union(_verify(_likely(apart, classes, percent), classes, df, id_col, text_col, percent)), "links")
     labels = components(links)
 
     # bands whose members other than the head still lie in several groups

@@ -3,7 +3,8 @@
 Lines of at least MIN_CHARS characters are compared over the whole table. A line
 is removed where it stands if the same line, or one within MAX_EDITS = 1 edits
 (insertion, deletion, substitution of a character), stands earlier: in a document
-with a smaller id, or higher up in the same one. Shorter lines are left alone.
+with a smaller id, or higher up in the same one. Shorter lines are left alone, or, with `short_repeats`,
+non-blank ones are removed where the same line stands earlier.
 
 Two lines within one edit share one of the shorter's two segments, at a place
 that the lengths fix, so every distinct line is entered under its own segments
@@ -32,6 +33,8 @@ from .words import documents, slices, stored
 
 MAX_EDITS = 1
 MIN_CHARS = 24
+#: Characters of which a blank line consists.
+BLANK = " \t\n\v\f\r"
 #: Distinct lines under a key that are compared pair by pair.
 HOT = 32
 #: Characters of line pairs verified at once in a task.
@@ -119,9 +122,10 @@ def _digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def line_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, line_no, digest, keys, entered): one row per long enough line;
-    the first `entered` keys are its own segments, the others it looks under only."""
+def line_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
+    """(id, text_hash, line_no, digest, keys): one row per long enough line; the
+    first keys are its own segments, the others it looks under only. With
+    `short_repeats` also one row, without keys, per shorter line that is not blank."""
     src = _lines_of(df, id_col, text_col)
 
     def run(batches):
@@ -130,9 +134,9 @@ def line_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 owner, number, digest, keys, known = [], [], [], [], {}
                 for i, text in enumerate(pc.fill_null(part.column("text"), "").to_pylist()):
                     for k, line in enumerate(text.split("\n")):
-                        if len(line) >= MIN_CHARS:
+                        if len(line) >= MIN_CHARS or (short_repeats and line.strip(BLANK)):
                             if line not in known:
-                                entered, looked = line_keys(line)
+                                entered, looked = line_keys(line) if len(line) >= MIN_CHARS else ([], [])
                                 known[line] = (_digest(line), entered + looked)
                             d, ks = known[line]
                             owner.append(i), number.append(k), digest.append(d), keys.append(ks)
@@ -243,14 +247,15 @@ def _hot_links(hot: DataFrame, firsts: DataFrame) -> DataFrame:
     return swapped.union(dropped).filter("a <> b").distinct()
 
 
-def decide_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decide_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """(id, text_hash, removed array<int>, n_near) for each document that loses lines.
 
     `removed` holds line numbers from 0, `n_near` how many of them stand for a
     line that no equal line precedes. Rows with the same id and text get the same
-    result; a null id counts as larger than any other.
+    result; a null id counts as larger than any other. `short_repeats` takes exact
+    repeats of non-blank lines under MIN_CHARS characters as well.
     """
-    lines = stored(line_occurrences(df, id_col, text_col), "lines")
+    lines = stored(line_occurrences(df, id_col, text_col, short_repeats), "lines")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "line_no")
     distinct = lines.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     distinct = stored(distinct.withColumn("line", F.monotonically_increasing_id()), "distinct-lines")
@@ -279,7 +284,7 @@ def decide_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return gone.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("removed"), F.count_distinct(F.when(F.col("only_near"), F.col("line_no"))).alias("n_near"))
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """`df` with the text's repeated lines left out, and n_lines, n_removed, n_near
     in columns named __lines, __removed and __near.
 
@@ -287,7 +292,7 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty. Other columns, whatever their names, pass through; an empty table
     gives an empty one.
     """
-    gone = stored(decide_lines(df, id_col, text_col), "removed-lines").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__list"), F.col("n_near").alias("__near"))
+    gone = stored(decide_lines(df, id_col, text_col, short_repeats), "removed-lines").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__list"), F.col("n_near").alias("__near"))
     text = F.col(text_col).cast("string")
     joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
     lines = F.split(text, "\n", -1)
@@ -299,7 +304,9 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those removed, those of them with no equal line before, and the digest of what is left."""
+    """Per document: its lines, those removed, those of them with no equal line before, and the digest of what is left.
+
+    By the definition of ORACLE: lines under MIN_CHARS characters stay."""
     docs = drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return docs.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__near").alias("n_near"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -113,3 +113,22 @@ def test_small_and_repeated_tables(spark):
     line = "a line of more than enough characters"
     got = L.drop_lines(spark.createDataFrame([(5, line), (5, line), (6, line), (None, line)], schema)).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", line), ("5", line), ("6", ""), ("None", "")])
+
+
+def test_short_lines_that_repeat_go(spark):
+    long = "a line of more than enough characters"
+    rows = [(1, f"one\n\n{long}\n  "), (2, "two\none\n\n  \none"), (3, f"tw0\nTwo\n{long}\ntwo"), (None, "one\ntwo\nthree"), (4, None)]
+    got = {r.doc_id: r for r in L.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_repeats=True).collect()}
+    assert {d: r.text for d, r in got.items()} == {1: rows[0][1], 2: "two\n\n  ", 3: "tw0\nTwo", None: "three", 4: None}
+    assert [got[d]["__removed"] for d in (1, 2, 3, None)] == [0, 2, 2, 2] and all(r["__near"] == 0 for r in got.values())
+
+
+def test_short_repeats_change_nothing_else(spark):
+    rows = [(d, t and t.replace("tiny", f"t{i}")) for i, (d, t) in enumerate(rows_of(random.Random(22))) if t is None or t.count("tiny") < 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {r.doc_id: (r.text, r["__near"]) for r in L.drop_lines(df).collect()}
+    short = {r.doc_id: (r.text, r["__near"]) for r in L.drop_lines(df, short_repeats=True).collect()}
+
+    def long(found):
+        return {d: ([x for x in (t or "").split("\n") if len(x) >= L.MIN_CHARS], near) for d, (t, near) in found.items()}
+    assert long(alone) == long(short)

@@ -110,3 +110,10 @@ def test_empty_table(spark):
     for name, stage in P.STAGES:
         docs = stored(stage(spark, docs, ""), "stage")
     assert docs.count() == 0
+
+
+def test_line_stage_drops_short_repeats(spark):
+    rows = [(1, "All rights reserved.\nbody one"), (2, "body two\nAll rights reserved."), (3, "All rights reserved."), (4, "\n\nbody four")]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], 29), 2: ("body two", 8), 4: (rows[3][1], 11)}

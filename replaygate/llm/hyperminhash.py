@@ -147,19 +147,20 @@ def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, digest, sketch) of each row; digest identifies the set, both are null for an empty one."""
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, n_shingles, digest, sketch) of each row; digest identifies the set, both are null for an empty one."""
+    row = F.col(row_col) if row_col else F.lit(None)
+    src = df.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["id", "n_shingles", "digest", "sketch"])
+                    part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["id", "row", "n_shingles", "digest", "sketch"])
 
-    return src.mapInArrow(run, "id long, n_shingles long, digest binary, sketch binary")
+    return src.mapInArrow(run, "id long, row long, n_shingles long, digest binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -191,11 +192,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(run, "a long, b long")
 
 
-def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key_col: str, text_col: str, name: str) -> DataFrame:
     """(node, shingles) of the given nodes; only the texts of those classes are read again."""
-    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "first_id", "digest"), f"{name}-wanted")
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.join(wanted.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "first_key", "digest"), f"{name}-wanted")
+    src = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    src = src.join(wanted.select("first_key").distinct(), F.col("key").eqNullSafe(F.col("first_key")), "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -207,11 +208,11 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, t
     return stored(sets.dropDuplicates(["node"]).select("node", "shingles"), f"{name}-sets")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, key_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = stored(pairs, "star-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(nodes, classes, df, id_col, text_col, "star")
+    sets = _sets_of(nodes, classes, df, key_col, text_col, "star")
     joined = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
               .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -300,7 +301,7 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
     return _in_block_pairs(dealt, "family", F.col("blocks")).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT, row_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of `df`.
 
     A row without words or text is linked with nothing: component_id is its own
@@ -308,10 +309,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is the smallest id reachable, and kept tells whether that is the row's own.
     A null id gets its group's smallest id, or null if none has an id. An empty
     table gives an empty result.
+
+    `row_col` names a column of distinct longs, the same whenever `df` is read; it
+    is passed through, and kept is then true for exactly one row of a component,
+    the one with the smallest id (a null id is larger than any other) and of
+    those the smallest row, and for each row without words or text.
     """
-    rows = stored(sketch_documents(df, id_col, text_col), "sketches")
-    found = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    rows = stored(sketch_documents(df, id_col, text_col, row_col), "sketches")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    found = rows.filter("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    found = found.withColumn("first_key", F.col("first.row" if row_col else "first.id"))
     classes = stored(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    key_col = row_col or id_col
 
     bands = _bands(classes)
     heads = stored(bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
@@ -319,11 +328,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # first each node against the head of its fullest band, then against the heads it is still apart from
     stars = in_band.filter("node <> head").select("key", "n", F.col("head").alias("a"), F.col("node").alias("b"))
     fullest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "key")).alias("a")).select("a", "b")
-    links = stored(_verify(_likely(fullest, classes, percent), classes, df, id_col, text_col, percent), "first-links")
+    links = stored(_verify(_likely(fullest, classes, percent), classes, df, key_col, text_col, percent), "first-links")
     labels = components(links, "first-components")
     apart = stars.join(labels.toDF("a", "a_label"), "a", "left").join(labels.toDF("b", "b_label"), "b", "left")
     apart = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b").distinct()
-    links = stored(links.union(_verify(_likely(apart, classes, percent), classes, df, id_col, text_col, percent)), "links")
+    links = stored(links.union(_verify(_likely(apart, classes, percent), classes, df, key_col, text_col, percent)), "links")
     labels = components(links)
 
     # bands whose members other than the head still lie in several groups
@@ -334,16 +343,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joins = stored(_likely_joins(members, percent), "likely-joins")
     if not joins.isEmpty():
         family = components(joins, "families").select("node", F.col("label").alias("family"))
-        sets = _sets_of(family.select("node"), classes, df, id_col, text_col, "family")
+        sets = _sets_of(family.select("node"), classes, df, key_col, text_col, "family")
         relatives = family.join(labels, "node", "left").join(sets, "node").select("family", "node", F.coalesce("label", "node").alias("label"), "shingles", F.size("shingles").alias("n_shingles"))
         more = stored(_family_links(stored(relatives, "relatives"), percent), "more-links")
         labels = components(links.union(more), "all-components")
 
-    of = classes.join(labels, "node", "left").select("digest", "first_id", F.coalesce("label", "node").alias("label"))
+    of = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
     of = stored(of, "class-labels")
-    smallest = stored(of.groupBy("label").agg(F.min("first_id").alias("component_id")), "smallest")
-    member = stored(of.join(smallest, "label").select("digest", "component_id"), "members")
+    smallest = stored(of.groupBy("label").agg(F.min("first").alias("least")), "smallest")
+    member = stored(of.join(smallest, "label").select("digest", F.col("least.id").alias("component_id"), F.col("least.row").alias("least_row")), "members")
     out = rows.join(member, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    if row_col:
+        return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("row") == F.col("least_row"), F.lit(True)).alias("kept"), F.col("row").alias(row_col))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -117,3 +117,21 @@ def test_line_stage_drops_short_repeats(spark):
     docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in P.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {1: (rows[0][1], 29), 2: ("body two", 8), 4: (rows[3][1], 11)}
+
+
+def test_near_stage_decides_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(5))
+    near = a + " more"
+    rows = [(1, a), (7, near), (7, b),              # an id shared by a near copy and by unique text
+            (8, c), (8, d), (8, d),                 # two texts to keep under one id, one of them twice
+            (None, e), (None, e + " x"), (None, e), # a group without any id
+            (None, b), (None, "alone of its kind"), (None, None), (None, " "), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, len(t) if t else None) for i, t in rows], "doc_id long, text string, n_chars long").repartition(4)
+    got = P.drop_near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    group = [x for x in got if x[0] is None and (x[1] or "").startswith(e)]
+    assert len(group) == 1
+    want = [(1, a), (7, b), (8, c), (8, d), *group, (None, "alone of its kind"), (None, None), (None, " "), (9, None), (9, None)]
+    assert got == sorted(want, key=str)

@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing (operator 5), in DataFrame functions only.
 
 A text's tokens are its words, words longer than TOKEN_CHARS cut into parts of
-that length. Each run of GRAM tokens is hashed; of every WINDOW consecutive
+that length or, with `fine`, into single characters: a passage inside a long run
+without white space then has the same tokens wherever it stands. Each run of GRAM tokens is hashed; of every WINDOW consecutive
 hashes the smallest is chosen, the rightmost among equal ones, and kept with its
 position. Two texts that share GRAM + WINDOW - 1 tokens in a row therefore share
 a fingerprint, and no shorter run than GRAM tokens ever matches.
@@ -28,14 +29,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def choices(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+#: Words of up to TOKEN_CHARS characters, longer ones cut into parts; and the same, longer ones cut into characters.
+_PARTS = rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"
+_FINE = rf"(?<![^\x20\x09-\x0D]){_PARTS}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
+
+
+def choices(text: Column, gram: int = GRAM, window: int = WINDOW, fine: bool = False) -> Column:
     """Chosen grams in text order, each a long: hash bits above PLACE_BITS place bits.
 
     A text of fewer tokens than a gram is one gram; one of fewer grams than a
-    window is one window; a null text or one without a word has no choice. Place
+    window is one window; a null text or one without a word has no choice. `fine`
+    makes every character of a word over TOKEN_CHARS characters a token. Place
     bits count modulo 2**PLACE_BITS tokens.
     """
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_FINE if fine else _PARTS), F.lit(0))
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
 
     def placed(h: Column, i: Column) -> Column:
@@ -81,9 +88,9 @@ def likeness(a: Column, b: Column) -> Column:
     return let(hashes(a), lambda x: let(hashes(b), lambda y: share(x, y)))
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
     """(id, fingerprint) of each row's whole text, one output row per input row."""
-    return df.select(F.col(id_col), fingerprint(choices(F.col(text_col).cast("string"))).alias("fingerprint"))
+    return df.select(F.col(id_col), fingerprint(choices(F.col(text_col).cast("string"), fine=fine)).alias("fingerprint"))
 
 
 def in_id_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,7 +129,7 @@ def in_id_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("seat", F.explode(seats)).select("id", "text", "place", "seat.bucket", "seat.guest")
 
 
-def compare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fine: bool = False) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The edited text has its last quarter replaced by as many code points from the
@@ -131,13 +138,13 @@ def compare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text. A null text counts as empty; a table of one row is followed by itself.
     """
     dealt = in_id_order(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    dealt = dealt.repartition("bucket").withColumn("chosen", choices(F.col("text")))
+    dealt = dealt.repartition("bucket").withColumn("chosen", choices(F.col("text"), fine=fine))
     order = W.partitionBy("bucket").orderBy("guest", "place", F.xxhash64("text"), "text")
     seen = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_chosen", F.lead("chosen").over(order)).filter(~F.col("guest"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     seen = seen.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)))
-    seen = seen.withColumn("edited_chosen", choices(F.col("edited")))
+    seen = seen.withColumn("edited_chosen", choices(F.col("edited"), fine=fine))
     return seen.select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint_text(F.col("chosen")).alias("fingerprint"),
         fingerprint_text(F.col("edited_chosen")).alias("edited_fingerprint"), likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"),
@@ -145,4 +152,4 @@ def compare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_documents(documents(spark, sf_dir))
+    return compare_documents(documents(spark, sf_dir), fine=True)

@@ -97,3 +97,21 @@ def test_small_and_repeated_tables(spark):
     assert len(N.compare_documents(frame(spark, [(1, "x y"), (1, "x y"), (2, None), (None, "z")])).collect()) == 4
     plan = N.compare_documents(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|RDD", plan.replace("Scan ExistingRDD", "").replace("LogicalRDD", ""))
+
+
+def fine_tokens(text):
+    return [t for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for t in ([w] if len(w) <= 16 else w)]
+
+
+def test_passages_inside_long_runs_share_a_choice(spark, tmp_path, texts):
+    rng = random.Random(6)
+    run, one = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000)), "function(a,b){return a+b}👍🏽"
+    rows = list(enumerate([run, "x" + run, rng.choice(texts) + " abc" + run[700:712] + one, "q" * 17 + run[690:720], "w" * 16 + " " + "w" * 17 + "\n" + one, *texts]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in N.query(spark, str(tmp_path)).collect()}
+    assert got[0].near_next > 0.99
+    found = {d: {x.split(":")[1] for x in r.fingerprint.split(",") if x} for d, r in got.items()}
+    assert found[0] & found[1] and found[0] & found[2] and found[1] & found[3]
+    for d, t in rows:  # fine tokens, put apart, are the tokens of a plain scan
+        want = ",".join(f"{p}:{h & ((1 << 40) - 1):x}" for p, h in brute(" ".join(fine_tokens(t))))
+        assert got[d].fingerprint == want

@@ -71,7 +71,11 @@ def write_events(df: DataFrame, fmt: str = "kafka", path: str | None = None, ser
 
 # --------------------------------------------------------------------------- uploads
 
-CSV_MAX_COLUMNS = 64
+def _header_cells(spark: SparkSession, path: str) -> int:
+    """As many cells as the widest header can have: its commas, quoted ones too, and one."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.filter("start = 0 and value rlike '[^ \\t\\r]'").groupBy("file").agg(F.min_by("value", "row").alias("head"))
+    return heads.agg(F.max(F.size(F.split("head", ",", -1)))).first()[0] or 1
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +85,9 @@ def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     becomes a map (P11), an empty event_time becomes NULL.
 
     Cells are read by position together with the file they come from. A file's
-    header is the first row of its first split; it is looked up per file."""
-    cells = [f"_{i}" for i in range(CSV_MAX_COLUMNS)]
+    header is the first row of its first split; it is looked up per file. As many
+    cells are read as the widest header has."""
+    cells = [f"_{i}" for i in range(_header_cells(spark, path))]
     raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", False).option("quote", '"').option("escape", '"')
            .option("nullValue", "\u0000").option("emptyValue", "").option("mode", "PERMISSIVE").csv(path))
     rows = raw.select(F.array(*[F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^\\ufeff", "")) for c in cells]).alias("cells"),

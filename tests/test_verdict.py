@@ -69,3 +69,11 @@ def test_topic_predicates_are_pushed(spark, tmp_path):
     plan = filters.for_topic(df, "x")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(use_case_topic,x)" in plan
     assert filters.for_topic(df, "raw_events").count() == 1 and metrics.is_topic("x") is not None
+
+
+def test_csv_fields_beyond_many_columns_are_read(spark, tmp_path):
+    more = [f"x{i}" for i in range(90)]
+    (tmp_path / "wide.csv").write_text("\n" + ",".join(["client_id", '"a,b"', *more, "entity_id", "event_type"]) + "\n" + ",".join(["c1", "q", *more, "E1", "order"]) + "\n")
+    (tmp_path / "narrow.csv").write_text("entity_id,client_id,event_type\nE2,c2,order\n")
+    got = sorted((r.client_id, r.event_type, r.entity_id) for r in io.read_events_csv(spark, str(tmp_path)).collect())
+    assert got == [("c1", "order", "E1"), ("c2", "order", "E2")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, quality_rules, suffix_dedup, token_count, warc, winnowing
+from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, prefix_trie, quality_rules, suffix_dedup, token_count, warc, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_repeated_passages": suffix_dedup.query,
     "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc_revisits": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, prefix_trie, quality_rules, suffix_dedup, token_count, warc, winnowing
+from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, prefix_trie, quality_rules, suffix_dedup, token_count, warc, whitening, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeated_passages": suffix_dedup.query,
     "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_whitening": whitening.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, hyperminhash, language_id, line_dedup, packing, prefix_trie, quality_rules, suffix_dedup, token_count, warc, whitening, winnowing
+from . import bpe_codec, html_extraction, hyperminhash, language_id, line_dedup, packing, prefix_trie, quality_rules, suffix_dedup, token_count, warc, whitening, winnowing
 
 QUERIES = {
     "op1_warc_revisits": warc.query,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
     "op11_whitening": whitening.query,
+    "op12_html_extraction": html_extraction.query,
     "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc_revisits": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_html_extraction": html_extraction.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }

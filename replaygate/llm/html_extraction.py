@@ -34,6 +34,9 @@ SILENT = "script style noscript template svg math head iframe object canvas audi
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 #: Elements without an end tag.
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+#: Elements that end an open one of their kind.
+ONE_AT_A_TIME = "p li a td th tr dt dd".split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 
 # Words in tag names, classes, ids and roles that tell what a part of a page is for.
 GOOD = "article main content post entry hentry story body text articlebody maincontent".split()
@@ -45,6 +48,7 @@ BAD = ("nav navigation navbar menu submenu breadcrumb breadcrumbs header masthea
 #: Of BAD, what only opens an article when it stands inside one.
 OPENING = "header masthead top".split()
 _GOOD, _BAD, _SILENT, _INLINE, _VOID = frozenset(GOOD), frozenset(BAD), frozenset(SILENT), frozenset(INLINE), frozenset(VOID)
+_ONE_AT_A_TIME, _HEADINGS = frozenset(ONE_AT_A_TIME), frozenset(HEADINGS)
 _BAD_INSIDE = _BAD - frozenset(OPENING)
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -72,31 +76,34 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
     """Flat blocks of a page in order: (text, link characters, inside a good part,
     bad parts inside the innermost good one, bad parts around it, heading, list item)."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, good, bad, silent
-    text, links, in_link, silent = [], 0, 0, 0
-    at, end = 0, len(page)
+    # Open elements with what holds inside them: name, good, bad inside it, bad, heading, list item, silent, link.
+    stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0, 0)]
+    opened: dict[str, int] = {}
+    text, links = [], 0
+    at, end, last = 0, len(page), page.rfind(">")
 
     def flush():
         nonlocal text, links
         joined = " ".join("".join(text).split())
         if joined:
-            good = [i for i, e in enumerate(stack) if e[1]]
-            inner = stack[good[-1] + 1 :] if good else stack
-            names = {e[0] for e in stack}
-            out.append((joined, links, int(bool(good)), sum(e[2] for e in inner), sum(e[2] for e in stack),
-                        int(not names.isdisjoint(("h1", "h2", "h3", "h4", "h5", "h6"))), int("li" in names)))
+            out.append((joined, links, *stack[-1][1:6]))
         text, links = [], 0
 
     def add(piece: str):
         nonlocal links
-        if piece and not silent:
+        if piece and not stack[-1][6]:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if in_link:
+            if stack[-1][7]:
                 links += len("".join(piece.split()))
 
+    def close(upto: int):
+        for e in stack[upto:]:
+            opened[e[0]] -= 1
+        del stack[upto:]
+
     while at < end:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if found is None:
             add(page[at:])
             break
@@ -109,35 +116,27 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
         if name not in _INLINE:
             flush()
         if found[1] or found[4]:
-            places = [i for i, e in enumerate(stack) if e[0] == name]
-            if places:
-                for e in stack[places[-1] :]:
-                    silent -= e[3]
-                    in_link -= e[0] == "a"
-                del stack[places[-1] :]
+            if opened.get(name):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
         if name in _VOID or attrs.endswith("/"):
             continue
-        if name in ("p", "li", "a", "td", "th", "tr", "dt", "dd", "option"):  # these end an open one of their kind
-            for i in range(len(stack) - 1, -1, -1):
+        if _RAW.fullmatch(name):  # its content holds no tags
+            stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else end
+            continue
+        if name in _ONE_AT_A_TIME and opened.get(name):  # it ends an open one of its kind
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    for e in stack[i:]:
-                        silent -= e[3]
-                        in_link -= e[0] == "a"
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in _INLINE and stack[i][0] != "p":
                     break
-        good, bad = _purpose(name, attrs, any(e[1] for e in stack))
-        hush = name in _SILENT or bool(attrs and _HIDDEN.search(attrs))
-        stack.append((name, good, bad, hush))
-        silent += hush
-        in_link += name == "a"
-        if _RAW.fullmatch(name):  # its content holds no tags
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            stack.pop()
-            silent -= hush
-            at = close.end() if close else end
+        _, in_good, bad_inside, bad_anywhere, heading, item, silent, link = stack[-1]
+        good, bad = _purpose(name, attrs, bool(in_good))
+        stack.append((name, 1 if good else in_good, 0 if good else bad_inside + bad, bad_anywhere + bad, int(heading or name in _HEADINGS), int(item or name == "li"),
+                      silent or name in _SILENT or bool(attrs and _HIDDEN.search(attrs)), link or name == "a"))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 

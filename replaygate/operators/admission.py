@@ -1,17 +1,6 @@
 """Token-bucket admission (T8), burst admission (W1), admitted/blocked split and counters.
 
-The bucket is an order-dependent fold per (mode, client): start full
-(capacity = max(1, limit)); per event in arrival order clip tokens to the
-current capacity, refill by elapsed * limit / 60 up to capacity, admit when at
-least one token is left and take it. Bypass modes admit everything.
-
-Batch plan: the only serial part is the fold itself. Each client's timeline is
-cut into *sessions* at gaps of two minutes or more (after such a gap every
-bucket is full again whatever came before, so the cut is exact); sessions are
-hash-partitioned, sorted within partitions and folded by ``mapInPandas`` with
-O(1) state carried across Arrow batches. A client that is busy only in bursts
-therefore spreads over many tasks; a client that never pauses for two minutes
-is one serial fold by definition.
+The bucket itself, its exact arithmetic and the chunked plan are in ``bucket``.
 """
 
 from __future__ import annotations
@@ -22,149 +11,48 @@ from pyspark.sql import types as T
 
 from ..functions.policy import effective_limit, idiv
 from ..schema import BYPASS_MODES, DEFAULT_POLICY, MAX_REJECTIONS, Policy
-
-US_PER_S = 1_000_000
-# A gap of this many microseconds refills any bucket (>= 60 s needed; margin for rounding).
-SESSION_GAP_US = 120 * US_PER_S
-
-
-def bucket_fold(us, lim, tok: float, last: int, fresh: bool, ttl_us: int = DEFAULT_POLICY.bucket_ttl_s * US_PER_S):
-    """Fold one bucket over events in arrival order.
-
-    ``us``/``lim``: lists of event times (microseconds) and limits per minute.
-    ``fresh``: the bucket does not exist yet (starts full at the first event).
-    A bucket idle for ``ttl_us`` or longer has expired and starts full again.
-    Returns (admitted list, tokens-after list, tokens, last). Negative elapsed
-    time (late rows in a stream) counts as zero."""
-    n = len(us)
-    adm = [False] * n
-    out = [0.0] * n
-    for i in range(n):
-        li = lim[i]
-        cap = li if li > 1 else 1
-        if not fresh and us[i] - last >= ttl_us:
-            fresh = True
-        if fresh:
-            fresh = False
-            tok = float(cap)
-        else:
-            dt = us[i] - last
-            if dt < 0:
-                dt = 0
-            tok = tok if tok < cap else float(cap)
-            tok = tok + dt / 1e6 * (li / 60.0)
-            tok = tok if tok < cap else float(cap)
-        last = us[i]
-        if tok >= 1:
-            tok -= 1
-            adm[i] = True
-        out[i] = tok
-    return adm, out, tok, last
-
-
-def _fold_fn(key_cols, time_col, limit_col):
-    """mapInPandas body: rows arrive sorted by (key, time, order); state resets
-    at each key change and is carried across Arrow batches."""
-    def fold(batches):
-        prev = None
-        tok = 0.0
-        last = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            us = pdf[time_col].tolist()
-            lim = pdf[limit_col].tolist()
-            keys = list(zip(*[pdf[c].tolist() for c in key_cols]))
-            adm = [False] * n
-            out = [0.0] * n
-            i = 0
-            while i < n:
-                j = i
-                k = keys[i]
-                while j < n and keys[j] == k:
-                    j += 1
-                a, o, tok, last = bucket_fold(us[i:j], lim[i:j], tok, last, k != prev)
-                adm[i:j] = a
-                out[i:j] = o
-                prev = k
-                i = j
-            yield pdf.assign(admitted=adm, tokens=out)
-    return fold
-
-
-def _sessions(df: DataFrame, key_cols, time_col: str, gap_us: int, limit_col: str = "_lim",
-              ttl_us: int = DEFAULT_POLICY.bucket_ttl_s * US_PER_S) -> DataFrame:
-    """(key, slot) -> session start slot. One row per key and active slot, so
-    the running max below sorts slots, not events.
-
-    A slot's first event starts a session when the key's previous event is at
-    least ``gap_us`` earlier and the limit is at least 1 per minute for every
-    event of the slot (a gap refills a bucket only when its rate is positive),
-    or when the gap reaches the bucket TTL (the bucket expired)."""
-    slotted = df.select(*key_cols, idiv(time_col, gap_us).alias("_slot"), time_col, limit_col)
-    slots = slotted.groupBy(*key_cols, "_slot").agg(F.min(time_col).alias("_smin"), F.max(time_col).alias("_smax"),
-                                                    F.min(limit_col).alias("_lmin"))
-    w = Window.partitionBy(*key_cols).orderBy("_slot")
-    gap = F.col("_smin") - F.lag("_smax").over(w)  # previous event of the key (NULL: its first slot)
-    is_start = gap.isNull() | ((F.col("_lmin") >= 1) & (gap >= F.lit(gap_us))) | (gap >= F.lit(ttl_us))
-    starts = slots.select(*key_cols, "_slot", is_start.alias("_is_start"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return starts.select(*key_cols, "_slot", F.max(F.when(F.col("_is_start"), F.col("_slot"))).over(run).alias("_session"))
-
+from . import bucket
+from .bucket import US_PER_S
 
 def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col: str = "us",
-                 order=("event_id",), mode=None, split_sessions: bool = True,
-                 gap_us: int = SESSION_GAP_US) -> DataFrame:
+                 order=("event_id",), mode=None, split_sessions: bool = True, steady: bool | None = None,
+                 initial: DataFrame | None = None) -> DataFrame:
     """Adds ``admitted`` (boolean) and ``tokens`` (tokens left after the event).
 
     ``limit``: an int, or a column name / Column holding each event's limit per
     minute (the limit current at the event's time). ``time_col``: integer
     microseconds. ``order``: tie-breakers after time. ``mode``: None (bucket per
     client), a mode string, or a column name; bypass modes admit everything.
-    Every input column passes through Arrow to the fold: select what is needed
-    first and derive wide columns (e.g. the dedup key) afterwards.
+    ``steady``: True where a bucket's limit never changes, which saves a window;
+    known for an int. ``initial``: stored buckets (C6: the key columns, tokens,
+    last_refill) that the first events of their clients go on from. Without a time
+    an event counts as of time 0, without a limit it has the default one.
+    ``split_sessions=False`` folds each client serially instead of in chunks.
     """
     lim = F.lit(int(limit)) if isinstance(limit, int) else (F.col(limit) if isinstance(limit, str) else limit)
-    src = df.withColumn("_lim", lim.cast("int"))
+    steady = isinstance(limit, int) if steady is None else steady
+    src = df.withColumn("_lim", F.coalesce(lim.cast("int"), F.lit(DEFAULT_POLICY.default_limit))).withColumn("_us", F.coalesce(F.col(time_col), F.lit(0)).cast("long"))
     key_cols = [client_col]
+    bypass = None
     if mode is not None:
         mcol = F.lit(mode) if isinstance(mode, str) and mode not in df.columns else F.col(mode)
         src = src.withColumn("_mode", mcol)
         key_cols = ["_mode", client_col]
         free = F.coalesce(F.col("_mode").isin(*BYPASS_MODES), F.lit(False))  # a NULL mode is no bypass
-        bypass = src.filter(free) \
-            .withColumn("admitted", F.lit(True)).withColumn("tokens", F.lit(None).cast("double"))
+        bypass = src.filter(free).withColumn("admitted", F.lit(True)).withColumn("tokens", F.lit(None).cast("double"))
         src = src.filter(~free)
-    else:
-        bypass = None
-
+        if initial is not None:
+            initial = initial.withColumn("_mode", F.col(mode) if isinstance(mode, str) and mode in initial.columns else mcol)
     if split_sessions:
-        sess = _sessions(src, key_cols, time_col, gap_us)
-        src = src.withColumn("_slot", idiv(time_col, gap_us))
-        sess = sess.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*key_cols, "_slot"])], "_session")
-        on = F.lit(True)
-        for i, c in enumerate([*key_cols, "_slot"]):
-            on = on & F.col(c).eqNullSafe(F.col(f"_of_{i}"))  # a NULL client is a client of its own
-        src = src.join(sess, on, "left").drop(*[f"_of_{i}" for i in range(len(key_cols) + 1)])
-        part_cols = [*key_cols, "_session"]
+        folded = bucket.fold_in_chunks(src, key_cols, "_us", order, steady, initial)
+    elif initial is not None:
+        raise ValueError("stored buckets go with the chunked fold")
     else:
-        src = src.withColumn("_slot", F.lit(0).cast("long")).withColumn("_session", F.lit(0).cast("long"))
-        part_cols = list(key_cols)
-
-    out_schema = T.StructType(src.schema.fields + [
-        T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
-    # An explicit partition count: AQE would otherwise coalesce this exchange by
-    # bytes, and the fold is Python-CPU bound, so fewer, larger tasks only lose
-    # parallelism. The count follows spark.sql.shuffle.partitions (set per cluster).
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    folded = (src.repartition(nparts, *[F.col(c) for c in part_cols])
-                 .sortWithinPartitions(*part_cols, time_col, *order)
-                 .mapInPandas(_fold_fn(part_cols, time_col, "_lim"), out_schema))
+        folded = bucket.fold_serially(src, key_cols, "_us", order)
+    folded = folded.withColumn("tokens", bucket.to_tokens()).drop("_level")
     if bypass is not None:
-        bypass = bypass.withColumn("_slot", F.lit(None).cast("long")).withColumn("_session", F.lit(None).cast("long"))
         folded = folded.unionByName(bypass)
-    return folded.drop("_lim", "_slot", "_session", "_mode")
+    return folded.drop("_lim", "_us", "_mode")
 
 
 def admit(events: DataFrame, mode: str, limits: DataFrame | None = None, policy: Policy = DEFAULT_POLICY,

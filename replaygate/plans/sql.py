@@ -78,27 +78,29 @@ bm AS (
 
 def token_bucket(src: str, lim: str, name: str = "tb", key: str = "client_id", order: str = "us, event_id",
                  extra: str = "") -> str:
-    """Recursive-CTE token bucket: the same arithmetic as the batch fold.
+    """Recursive-CTE token bucket in whole numbers of 1/60,000,000 token, event by event.
     ``src`` must have client_id, us, event_id and the columns named in ``lim``/``extra``."""
     extra_sel = (", " + extra) if extra else ""
     extra_e = (", " + ", ".join("e." + c.strip() for c in extra.split(","))) if extra else ""
+    take = "t >= 60000000 AS admitted, CASE WHEN t >= 60000000 THEN t - 60000000 ELSE t END AS level"
     return f"""
 {name}_ev AS (
   SELECT {key} AS k, us, event_id, CAST({lim} AS INTEGER) AS lim{extra_sel},
+         CAST(greatest(CAST({lim} AS INTEGER), 1) AS BIGINT) * 60000000 AS cap,
          row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn
   FROM {src}
 ),
-{name} AS (
-  SELECT k, rn, us, event_id, lim{extra_sel}, t >= 1 AS admitted, CASE WHEN t >= 1 THEN t - 1 ELSE t END AS tok
-  FROM (SELECT *, CAST(greatest(lim, 1) AS DOUBLE) AS t FROM {name}_ev WHERE rn = 1) a
+{name}_level AS (
+  SELECT k, rn, us, event_id, lim{extra_sel}, {take}
+  FROM (SELECT *, cap AS t FROM {name}_ev WHERE rn = 1) a
   UNION ALL
-  SELECT k, rn, us, event_id, lim{extra_sel}, t >= 1 AS admitted, CASE WHEN t >= 1 THEN t - 1 ELSE t END AS tok
+  SELECT k, rn, us, event_id, lim{extra_sel}, {take}
   FROM (
     SELECT e.k, e.rn, e.us, e.event_id, e.lim{extra_e},
-           least(CAST(greatest(e.lim, 1) AS DOUBLE),
-                 least({name}.tok, CAST(greatest(e.lim, 1) AS DOUBLE))
-                 + CAST(e.us - {name}.us AS DOUBLE) / CAST(1000000 AS DOUBLE)
-                   * (CAST(e.lim AS DOUBLE) / CAST(60 AS DOUBLE))) AS t
-    FROM {name} JOIN {name}_ev e ON e.k = {name}.k AND e.rn = {name}.rn + 1
+           least(e.cap, least({name}_level.level, e.cap) + (e.us - {name}_level.us) * e.lim) AS t
+    FROM {name}_level JOIN {name}_ev e ON e.k = {name}_level.k AND e.rn = {name}_level.rn + 1
   ) b
+),
+{name} AS (
+  SELECT k, rn, us, event_id, lim{extra_sel}, admitted, CAST(level AS DOUBLE) / CAST(60000000 AS DOUBLE) AS tok FROM {name}_level
 )"""

@@ -162,30 +162,6 @@ def upload_gauges(runs: DataFrame) -> DataFrame:
     )
 
 
-def topic_log(accepted: DataFrame, partitions: int = 4, topic_col: str = "source_topic",
-              order=("us", "event_id"), block_us: int = 60_000_000) -> DataFrame:
-    """Offsets a topic log would assign to published events: partition by a hash
-    of the order key (the producer sends no key), offset = position within
-    (topic, partition) in arrival order.
-
-    Numbered without a window over a whole partition: rows are grouped in time
-    blocks; block sizes are counted (aggregate), their running sums give each
-    block's base offset (a window over the small block table), and rows are
-    numbered only within their block."""
-    from pyspark.sql import Window
-    time_col = order[0]
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(partitions)).cast("int")
-    rows = accepted.select(F.col(topic_col).alias("topic"), part.alias("partition"), *order) \
-        .withColumn("_blk", idiv(time_col, block_us))
-    sizes = rows.groupBy("topic", "partition", "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("topic", "partition").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    wr = Window.partitionBy("topic", "partition", "_blk").orderBy(*order)
-    return (rows.join(base, ["topic", "partition", "_blk"])
-                .withColumn("offset", F.col("_base") + F.row_number().over(wr) - 1)
-                .drop("_blk", "_base"))
-
-
 def offset_totals(log: DataFrame) -> DataFrame:
     """Messages per topic from partition offsets: sum over partitions of max - min + 1."""
     per = log.groupBy("topic", "partition").agg((F.max("offset") - F.min("offset") + 1).alias("n"))

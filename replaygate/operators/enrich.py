@@ -82,8 +82,9 @@ def validate_events(df: DataFrame, required=("client_id", "event_type", "entity_
     return ok, bad
 
 
-def encode_events(df: DataFrame, topic_col: str = "source_topic") -> DataFrame:
-    """S6 payload: (topic, value) with the event as JSON, NULL fields written out, no key."""
+def encode_events(df: DataFrame, topic_col: str = "source_topic", keep=()) -> DataFrame:
+    """S6 payload: (topic, value) with the event as JSON, NULL fields written out, no
+    key; the columns ``keep`` go along."""
     fields = [F.col(c) if c in df.columns else F.lit(None).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in WIRE_FIELDS]
     return df.select(F.col(topic_col).alias("topic"),
-                     F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+                     F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"), *keep)

@@ -111,7 +111,7 @@ def closed_loop(events_table: DataFrame, policy: Policy = DEFAULT_POLICY) -> Clo
     r2 = replay_events(events_table, ROUND_2).select(*_FOLD_COLS)
     r2 = limits.with_limits(r2, d.current, "radar", policy)
     # admission results feed the metrics, the comparison and the reports: written once
-    r2 = materialize(admission.token_bucket(r2, "limit_per_minute", order=ORDER).withColumn("dedup_key", dedup_key()))
+    r2 = materialize(admission.token_bucket(r2, "limit_per_minute", order=ORDER, steady=True).withColumn("dedup_key", dedup_key()))
     m2 = metrics.exact_metrics(r2.filter(F.col("admitted")))
     both = m1.unionByName(m2)
     return ClosedLoop(r1, m1, d, r2, m2, joins.compare_topics(both, ROUND_1, ROUND_2))
@@ -156,7 +156,7 @@ def mode_experiment(events_table: DataFrame, policy: Policy = DEFAULT_POLICY, sa
         .drop("_stored")
     # only the rate-limited copies go through the fold and are written once;
     # the bypass copies admit everything and stay a lazy projection of the input
-    folded = materialize(admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode")
+    folded = materialize(admission.token_bucket(ev, "limit_per_minute", order=ORDER, mode="experiment_mode", steady=True)
                          .withColumn("dedup_key", dedup_key()))
     bypass = copies([m for m in MODES if m in BYPASS_MODES]).withColumns({
         "limit_per_minute": F.lit(policy.default_limit).cast("int"),
@@ -191,23 +191,35 @@ def bucket_state(admitted: DataFrame, client_col: str = "client_id", time_col: s
     return b.withColumn("bucket_capacity", F.greatest(F.lit(1), F.col("limit_per_minute")))
 
 
+def buckets_after(admitted: DataFrame, before: DataFrame | None = None, **columns) -> DataFrame:
+    """The bucket of each (mode, client) after some events: that of its last event,
+    else the stored one. Rows for ``sources.store.bucket_store``."""
+    now = bucket_state(admitted, **columns)
+    if before is None:
+        return now
+    stored = before.select(*now.columns).withColumn("_now", F.lit(0))
+    both = now.withColumn("_now", F.lit(1)).unionByName(stored)
+    latest = both.groupBy("experiment_mode", "client_id").agg(F.max_by(F.struct(*[c for c in now.columns if c not in ("experiment_mode", "client_id")]), "_now").alias("_b"))
+    return latest.select("experiment_mode", "client_id", "_b.*").select(*now.columns)
+
+
 def client_rate_status(current_limits: DataFrame, buckets: DataFrame, mode: str = "radar",
                        policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Per client: mode, configured / adaptive / static limits, and both buckets' last state."""
-    radar = buckets.filter(F.col("experiment_mode") == "radar").select(
-        "client_id", F.col("tokens").alias("radar_tokens"), F.col("last_refill").alias("radar_last_refill"))
-    static = buckets.filter(F.col("experiment_mode") == "static").select(
-        "client_id", F.col("tokens").alias("static_tokens"), F.col("last_refill").alias("static_last_refill"))
+    """Per client: mode, configured / adaptive / static limits, and both buckets as
+    they are stored: tokens, last refill, limit, capacity."""
+    fields = ("tokens", "last_refill", "limit_per_minute", "bucket_capacity")
+    names = {"limit_per_minute": "bucket_limit"}
+    sides = {m: buckets.filter(F.col("experiment_mode") == m).select("client_id", *[F.col(c).alias(f"{m}_{names.get(c, c)}") for c in fields])
+             for m in ("radar", "static")}
     lim = current_limits.select("client_id", F.col("limit_per_minute").cast("string").alias("_stored"))
-    clients = radar.select("client_id").unionByName(static.select("client_id")) \
-        .unionByName(lim.select("client_id")).distinct()
-    out = clients.join(lim, "client_id", "left").join(radar, "client_id", "left").join(static, "client_id", "left")
+    clients = buckets.filter(F.col("experiment_mode").isin("radar", "static")).select("client_id").unionByName(lim.select("client_id")).distinct()
+    out = clients.join(lim, "client_id", "left").join(sides["radar"], "client_id", "left").join(sides["static"], "client_id", "left")
     return out.select(
         "client_id", F.lit(mode).alias("experiment_mode"),
         effective_limit(F.lit(mode), F.col("_stored"), policy).alias("configured_limit_per_minute"),
         effective_limit(F.lit("radar"), F.col("_stored"), policy).alias("radar_limit_per_minute"),
         F.lit(policy.static_limit).alias("static_limit_per_minute"),
-        "radar_tokens", "radar_last_refill", "static_tokens", "static_last_refill")
+        *[F.col(f"{m}_{names.get(c, c)}") for m in ("radar", "static") for c in fields])
 
 
 # --------------------------------------------------------------------------- C7

@@ -516,12 +516,13 @@ def q_upload_gauges(spark, sf_dir):
 
 
 @register("client_rate_status", _C5_SQL + """,
-last AS (SELECT experiment_mode, client_id, arg_max(tok, rn) AS tokens, max(us) AS last_refill FROM tb
+last AS (SELECT experiment_mode, client_id, arg_max(tok, rn) AS tokens, max(us) AS last_refill, arg_max(lim, rn) AS l FROM tb
          GROUP BY experiment_mode, client_id),
 cl AS (SELECT client_id FROM last UNION SELECT client_id FROM lim)
 SELECT cl.client_id, 'radar' AS experiment_mode, greatest(50, coalesce(lim.l, 10000)) AS configured_limit_per_minute,
        greatest(50, coalesce(lim.l, 10000)) AS radar_limit_per_minute, 1000 AS static_limit_per_minute,
-       r.tokens AS radar_tokens, r.last_refill AS radar_last_refill, s.tokens AS static_tokens, s.last_refill AS static_last_refill
+       r.tokens AS radar_tokens, r.last_refill AS radar_last_refill, r.l AS radar_bucket_limit, greatest(1, r.l) AS radar_bucket_capacity,
+       s.tokens AS static_tokens, s.last_refill AS static_last_refill, s.l AS static_bucket_limit, greatest(1, s.l) AS static_bucket_capacity
 FROM cl LEFT JOIN lim ON cl.client_id = lim.client_id
 LEFT JOIN last r ON r.client_id = cl.client_id AND r.experiment_mode = 'radar'
 LEFT JOIN last s ON s.client_id = cl.client_id AND s.experiment_mode = 'static'""")
@@ -557,7 +558,9 @@ def q_metrics_snapshot(spark, sf_dir):
 
 
 @register("client_scorecard", _C5_SQL + """,
-dec AS (SELECT client_id, use_case_topic AS topic, duplicate_ratio, """ + S.tier("duplicate_ratio") + """ AS adaptive_limit FROM mb),
+dec AS (SELECT client_id, use_case_topic AS topic, duplicate_ratio, """ + S.tier("duplicate_ratio") + """ AS adaptive_limit FROM ma
+        WHERE use_case_topic <> 'usecase_experiment_static'
+        UNION ALL SELECT client_id, use_case_topic, duplicate_ratio, """ + S.tier("duplicate_ratio") + """ FROM mb),
 cnt AS (SELECT client_id, source_topic AS topic, count(*) FILTER (WHERE admitted) AS accepted,
                count(*) FILTER (WHERE NOT admitted) AS blocked FROM outv GROUP BY client_id, source_topic)
 SELECT coalesce(cnt.client_id, dec.client_id) AS client_id, coalesce(cnt.topic, dec.topic) AS topic,
@@ -565,28 +568,79 @@ SELECT coalesce(cnt.client_id, dec.client_id) AS client_id, coalesce(cnt.topic,
        duplicate_ratio, adaptive_limit
 FROM cnt FULL OUTER JOIN dec ON cnt.client_id = dec.client_id AND cnt.topic = dec.topic""")
 def q_client_scorecard(spark, sf_dir):
-    """Per (client, topic) accepted / blocked with the decision's ratio and limit."""
+    """Per (client, topic) accepted / blocked with the decision's ratio and limit; rows
+    of both sides (three of the experiment's topics), of one side only (the static topic
+    has no decision, the baseline no counters)."""
     e = _exp(spark, sf_dir)
     base = P.replay_events(read_table(spark, sf_dir, "events"), "baseline")
-    dec = P.decide(metrics.exact_metrics(base)).decisions
-    return joins.client_scorecard(admission.admission_counters(e.events), dec)
+    decided = e.metrics.filter(F.col("use_case_topic") != "usecase_experiment_static").unionByName(metrics.exact_metrics(base))
+    return joins.client_scorecard(admission.admission_counters(e.events), P.decide(decided).decisions)
+
+
+# A13 / J7 / S2 read a log that write_log wrote. The static topic's messages of user
+# ids divisible by 10 get lost, the adaptive topic's are published twice; one topic
+# is never published and another has no run.
+_LOG_SQL = _C5_SQL + """,
+sent AS (
+  SELECT source_topic AS topic, client_id, entity_id, us, event_id, copy_no, 0 AS again FROM acc
+  WHERE source_topic <> 'usecase_experiment_storage_only'
+    AND NOT (source_topic = 'usecase_experiment_static' AND CAST(substr(client_id, 2) AS INTEGER) % 10 = 0)
+  UNION ALL SELECT source_topic, client_id, entity_id, us, event_id, copy_no, 1 FROM acc
+  WHERE source_topic = 'usecase_experiment_radar' AND CAST(substr(client_id, 2) AS INTEGER) % 10 = 0
+  UNION ALL SELECT 'raw_events', client_id, entity_id, us, event_id, copy_no, 0 FROM base WHERE event_type = 'click'
+),
+logged AS (SELECT *, event_id % 4 AS part,
+                  row_number() OVER (PARTITION BY topic, event_id % 4 ORDER BY again, us, event_id, copy_no) - 1 AS pos FROM sent)"""
 
 
-@register("offset_totals", _C5_SQL + """
-SELECT source_topic AS topic, CAST(count(*) AS BIGINT) AS messages FROM acc GROUP BY source_topic""")
+def _publish_log(spark, sf_dir):
+    """(runs, path of the log); the second publication is appended in a write of its own."""
+    e = _exp(spark, sf_dir)
+    path = scratch_path(spark, "log")
+    accepted = e.events.filter("admitted")
+    tenth = F.substring("client_id", 2, 20).cast("int") % 10 == 0
+    topic = F.col("source_topic")
+    raw = P.replay_events(read_table(spark, sf_dir, "events"), "raw_events").filter("event_type = 'click'")
+    cols = ["client_id", "event_type", "entity_id", "source_topic", "us", "event_id", "copy_no"]
+    first = accepted.filter(~((topic == "usecase_experiment_storage_only") | ((topic == "usecase_experiment_static") & tenth)))
+    for part in (first.select(*cols).unionByName(raw.select(*cols)), accepted.filter((topic == "usecase_experiment_radar") & tenth).select(*cols)):
+        IO.write_log(part, path, order=("us", "event_id", "copy_no"), partition=F.col("event_id") % 4)
+    return e.runs, path
+
+
+@register("offset_totals", _LOG_SQL + """
+SELECT topic, CAST(sum(n) AS BIGINT) AS messages, count(*) AS partitions
+FROM (SELECT topic, part, max(pos) - min(pos) + 1 AS n FROM logged GROUP BY topic, part) GROUP BY topic""")
 def q_offset_totals(spark, sf_dir):
-    """Messages per topic from the offsets of the published (accepted) events."""
-    acc = _exp(spark, sf_dir).events.filter(F.col("admitted"))
-    return admission.offset_totals(admission.topic_log(acc, order=("us", "event_id", "copy_no"))).select("topic", "messages")
+    """Messages and partitions per topic from the offsets of the written log."""
+    return admission.offset_totals(IO.read_log(spark, _publish_log(spark, sf_dir)[1]))
 
 
-@register("reconcile_offsets", _C5_SQL + """
-SELECT topic, accepted, accepted AS messages, CAST(0 AS BIGINT) AS delta FROM runs""")
+@register("reconcile_offsets", _LOG_SQL + """,
+m AS (SELECT topic, count(*) AS messages FROM logged GROUP BY topic)
+SELECT coalesce(runs.topic, m.topic) AS topic, accepted, messages, coalesce(messages, 0) - coalesce(accepted, 0) AS delta
+FROM runs FULL OUTER JOIN m ON runs.topic = m.topic""")
 def q_reconcile_offsets(spark, sf_dir):
-    """Accepted count per upload against the log's offsets (delta 0 when nothing was lost)."""
-    e = _exp(spark, sf_dir)
-    log = admission.topic_log(e.events.filter(F.col("admitted")), order=("us", "event_id", "copy_no"))
-    return joins.reconcile_offsets(e.runs, admission.offset_totals(log))
+    """Accepted count per upload against the log: lost, repeated, unpublished and foreign messages."""
+    runs, path = _publish_log(spark, sf_dir)
+    return joins.reconcile_offsets(runs, admission.offset_totals(IO.read_log(spark, path)))
+
+
+@register("topic_head", _LOG_SQL + """
+SELECT part AS "partition", pos AS "offset", client_id, entity_id FROM logged WHERE topic = 'usecase_experiment_radar'
+ORDER BY part, pos LIMIT 2500""")
+def q_topic_head(spark, sf_dir):
+    """The first 2500 messages of a topic, in (partition, offset) order."""
+    head = IO.read_topic(spark, "usecase_experiment_radar", fmt="log", path=_publish_log(spark, sf_dir)[1], n=2500)
+    return enrich.decode_events(head).select("partition", "offset", "client_id", "entity_id")
+
+
+@register("topic_offsets", _LOG_SQL + """
+SELECT topic, part AS "partition", pos AS "offset", client_id, entity_id FROM logged""")
+def q_topic_offsets(spark, sf_dir):
+    """S6 and S2 whole: every message of the log at its partition and offset."""
+    log = IO.read_log(spark, _publish_log(spark, sf_dir)[1])
+    return enrich.decode_events(log).select(F.col("kafka_topic").alias("topic"), "partition", "offset", "client_id", "entity_id")
 
 
 # --------------------------------------------------------------------------- limits, lookups, windows, filters

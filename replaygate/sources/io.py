@@ -2,14 +2,16 @@
 
 Topic logs are read and written through a ``fmt`` switch: ``kafka`` uses the
 Kafka connector when its package is on the classpath; ``files`` uses a folder
-per topic (``<path>/topic=<name>/``) of JSON-text messages, which is what the
-tests and the registered queries use. Tables (metrics, limits, runs) are
+per topic (``<path>/topic=<name>/``) of JSON-text messages, which the streams read;
+``log`` is a Parquet log with partitions and offsets
+(``<path>/topic=<name>/partition=<p>/``): an offset is a message's row position in
+its file plus the rows of the partition's earlier files. Tables (metrics, limits, runs) are
 Parquet; Delta/Iceberg can be swapped in through ``fmt`` where installed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,19 +46,21 @@ def read_event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None
 def read_topic(spark: SparkSession, topic: str, fmt: str = "kafka", path: str | None = None,
                servers: str | None = None, n: int | None = None) -> DataFrame:
     """Bounded read of one topic from the beginning; the first ``n`` messages
-    when given (taking n is the feature, as in a console consumer)."""
+    in (partition, offset) order when given (taking n is the feature, as in a console
+    consumer). A folder of text files has no order, so ``n`` is refused there."""
     if fmt == "kafka":
         df = (spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
               .option("startingOffsets", "earliest").load()
               .select("topic", "partition", "offset", F.col("value").cast("string").alias("value")))
         order = ["partition", "offset"]
+    elif fmt == "log":
+        df, order = read_log(spark, path, topic), ["partition", "offset"]
     else:
         df = spark.read.schema(_FILE_SCHEMA).text(path).filter(F.col("topic") == F.lit(topic)) \
             .select("topic", "value")
-        order = []
-    if n is not None:
-        df = (df.orderBy(*order) if order else df).limit(int(n))
-    return df
+        if n is not None:
+            raise ValueError("messages in text files have no order: read a log")
+    return df.orderBy(*order).limit(int(n)) if n is not None else df
 
 
 def write_events(df: DataFrame, fmt: str = "kafka", path: str | None = None, servers: str | None = None,
@@ -69,6 +73,34 @@ def write_events(df: DataFrame, fmt: str = "kafka", path: str | None = None, ser
         msgs.write.mode(mode).partitionBy("topic").text(path)
 
 
+_LOG_SCHEMA = "value string, topic string, partition int"
+
+
+def write_log(df: DataFrame, path: str, partitions: int = 4, order=("us", "event_id"), partition=None, topic_col: str = "source_topic") -> None:
+    """S6 into a log: append events as JSON messages, each partition in ``order``.
+    Without a ``partition`` expression messages are dealt by a hash of ``order``, as
+    a producer without keys does. A partition is written by one task; the number of
+    partitions bounds how much that is."""
+    part = F.pmod(F.xxhash64(*order), F.lit(partitions)).cast("int") if partition is None else partition.cast("int")
+    msgs = encode_events(df, topic_col, keep=tuple(order)).withColumn("partition", part)
+    (msgs.repartition("topic", "partition").sortWithinPartitions("topic", "partition", *order)
+         .select("value", "topic", "partition").write.mode("append").partitionBy("topic", "partition").parquet(path))
+
+
+def read_log(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
+    """(topic, partition, offset, value) of a log. Files of a partition follow each
+    other in the order they were written; only the table of files is summed over."""
+    rows = spark.read.schema(_LOG_SCHEMA).parquet(path).select(
+        "topic", "partition", "value", F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_modification_time").alias("written"))
+    if topic is not None:
+        rows = rows.filter(F.col("topic") == topic)
+    files = rows.groupBy("topic", "partition", "written", "file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("topic", "partition").orderBy("written", "file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("topic", "partition", "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(bases, ["topic", "partition", "file"]).select("topic", "partition", (F.col("base") + F.col("row")).alias("offset"), "value")
+
+
 # --------------------------------------------------------------------------- uploads
 
 def _header_cells(spark: SparkSession, path: str) -> int:
@@ -139,6 +171,25 @@ def write_metrics_table(metrics: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def write_metrics_by_date(metrics: DataFrame, path: str) -> None:
+    """Metric rows in (metrics_date, batch_id) partitions of their batch
+    time. Writing a batch again replaces its partition."""
+    cols = [f.name for f in METRICS_SCHEMA.fields]
+    (metrics.select(*cols, F.to_date("batch_time").alias("metrics_date")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("metrics_date", "batch_id").parquet(path))
+
+
+def read_metrics_by_date(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """Metric rows with ``since`` <= batch_time <= ``until``; the dates of the
+    bounds prune partitions before any file is opened."""
+    rows = spark.read.schema(T.StructType(METRICS_SCHEMA.fields + [T.StructField("metrics_date", T.DateType())])).parquet(path)
+    for bound, op in ((since, "__ge__"), (until, "__le__")):
+        if bound is not None:
+            at = F.lit(bound).cast("timestamp")
+            rows = rows.filter(getattr(F.col("metrics_date"), op)(F.to_date(at))).filter(getattr(F.col("batch_time"), op)(at))
+    return rows.drop("metrics_date")
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Scan the metrics store (filters on batch_time / batch_id prune files and row groups)."""
     return spark.read.schema(METRICS_SCHEMA).parquet(path)

@@ -1085,3 +1085,6 @@ def q_runs_store(spark, sf_dir):
     IO.write_runs(runs.withColumn("accepted", F.col("accepted") * 2).withColumn("saved_at", F.lit(_T2).cast("timestamp")),
                   path)
     return IO.read_runs(spark, path, as_of=_AS_OF).withColumn("saved_at", F.col("saved_at").cast("timestamp_ntz"))
+
+
+from . import state_queries  # noqa: E402, F401  (registers its own)

@@ -102,7 +102,7 @@ class BucketProcessor(StatefulProcessor):
         if self.live and known:
             self.decisions.put(known)
         if len(pdf):
-            out = pdf.assign(admitted=admitted, tokens=pd.array(tokens, dtype="Float64").astype(object).fillna(float("nan")).astype(float) if None in tokens else tokens)
+            out = pdf.assign(admitted=admitted, tokens=pd.Series(tokens, dtype="float64"))
             if self.live:
                 out[self.limit_col] = limits
             yield out[[*self.out_cols, "admitted", "tokens"]]

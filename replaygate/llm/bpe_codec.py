@@ -9,12 +9,15 @@ the first token's merge tree and y on the left edge of the second's have a merge
 (x, y) ranked before x's own merge and not after y's own (of equal pairs the
 leftmost merges first). A sequence is the merge result iff all its tokens encode
 to themselves and every adjacent pair stays apart.
+
+A failing pre-token is merged by the library's own merging, which takes n log n
+steps for one of n characters.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .words import BoundedCache, coded_words, documents, slices
+from .words import RaggedCache, coded_words, documents, held_in_worker, letting_go, ragged_take, row_sums, slices
 
 
 class Codec:
@@ -30,10 +33,8 @@ class Codec:
 
     def __init__(self, path: str):
         v = self.vocab = wordbpe.load(path)
-        self.words = BoundedCache(300_000)
-        self.pretokens = BoundedCache(300_000)
-        self.pairs: dict[int, bool] = {}
-        self.merged_exactly = 0
+        self.pretokens = RaggedCache()
+        self.proposed = self.merged_exactly = 0
         tokens = [(s, i) for s, i in v.ids.items()]
         rows = [self._symbols_of(s) for s, _ in tokens]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -105,8 +106,10 @@ class Codec:
                 return None
         return out
 
-    def encode_pretokens(self, pretokens: list[str]) -> list[tuple[int, ...]]:
-        guess = [self.propose(p) for p in pretokens]
+    def encode_pretokens(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, sizes): proposals that pass the check, exact merging for the rest."""
+        special = self.vocab.special_id
+        guess = [self.propose(p) if p[0] != "\n" else [special(p)] for p in pretokens]
         sizes = np.array([len(g) if g else 0 for g in guess], np.int64)
         flat = np.fromiter((t for g in guess if g for t in g), np.int64, int(sizes.sum()))
         bad = sizes == 0
@@ -116,48 +119,32 @@ class Codec:
             keys, back = np.unique(flat[inside] * self.vocab.size + flat[inside + 1], return_inverse=True)
             ok = self.apart(keys // self.vocab.size, keys % self.vocab.size)[back]
             bad[owner[inside[~ok]]] = True
-        wrong = np.flatnonzero(bad)
-        if len(wrong):
-            self.merged_exactly += len(wrong)
-            rows = [self.vocab.symbols(pretokens[i]) for i in wrong]
-            size = np.fromiter(map(len, rows), np.int64, len(rows))
-            data, size = wordbpe.merge_synchronously(self.vocab, np.fromiter((s for r in rows for s in r), np.int64, int(size.sum())), size)
-            for i, ids in zip(wrong.tolist(), np.split(data, np.cumsum(size)[:-1])):
-                guess[i] = ids.tolist()
-        return [tuple(g) for g in guess]
-
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word as the library gives them."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
-        local = {}
-        if fresh:
-            parts = [self.vocab.parts(w) for w in fresh]
-            new = [p for p in dict.fromkeys(p for ps in parts for p, special in ps if special < 0) if p not in self.pretokens]
-            known = dict(zip(new, self.encode_pretokens(new)))
-            get = self.pretokens.get
-            for w, ps in zip(fresh, parts):
-                local[w] = tuple(i for p, special in ps for i in ((known.get(p) or get(p)) if special < 0 else (special,)))
-            self.pretokens.add(known.keys(), known.values())
-        out = [local[w] if w in local else self.words[w] for w in words]
-        self.words.add(local.keys(), local.values())
-        return out
+        wrong = np.flatnonzero(bad).tolist()
+        self.proposed += len(pretokens)
+        self.merged_exactly += len(wrong)
+        tokenize = self.vocab.library.model.tokenize
+        for i in wrong:
+            guess[i] = [t.id for t in tokenize(pretokens[i])]
+        sizes = np.fromiter(map(len, guess), np.int64, len(guess))
+        return np.fromiter(itertools.chain.from_iterable(guess), np.uint32, int(sizes.sum())), sizes
+
+    def encode_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, offsets, codes, word offsets): the ids of the distinct
+        pre-tokens, and the pre-tokens of each word."""
+        off, codes, distinct = self.vocab.pretokenize(words)
+        flat, at = self.pretokens.get(distinct, self.encode_pretokens)
+        return flat, at, codes, off
 
     def encode(self, text: str | None) -> list[int]:
         off, codes, words = coded_words(pa.array([text], pa.string()))
-        ids = self.encode_words(words.to_pylist())
-        return [i for c in codes.tolist() for i in ids[c]]
+        flat, at, pre, word_off = self.encode_words(words)
+        return ragged_take(flat, at, ragged_take(pre, word_off, codes)[0])[0].tolist()
 
     def decode(self, ids) -> str:
         """The vocabulary has no decoder rule: its strings joined by spaces; unknown ids are skipped."""
         return " ".join(self.vocab.strings[i] for i in ids if i in self.vocab.strings)
 
 
-@lru_cache(maxsize=2)
-def codec_of(path: str) -> Codec:
-    """One codec per Python worker and vocabulary, kept between tasks."""
-    return Codec(path)
-
-
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, ids array<int>) of each row's whole text; a null or empty text has no ids.
     One output row per input row, whatever its id; other columns are not read."""
@@ -165,13 +152,15 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        codec = codec_of(path)
-        for batch in batches:
+        codec = held_in_worker(f"codec {path}", lambda: Codec(path))
+        for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 off, codes, words = coded_words(part.column("text"))
-                ids = codec.encode_words(words.to_pylist())
-                rows = [[i for c in codes[a:b].tolist() for i in ids[c]] for a, b in zip(off, off[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "ids"])
+                flat, at, pre, word_off = codec.encode_words(words)
+                pre, pre_at = ragged_take(pre, word_off, codes)
+                ids, ids_at = ragged_take(flat, at, pre)
+                rows = pa.ListArray.from_arrays(pa.array(ids_at[pre_at[off]], pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), rows], names=["id", "ids"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -183,24 +172,21 @@ def codec_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        codec = codec_of(path)
-        for batch in batches:
+        codec = held_in_worker(f"codec {path}", lambda: Codec(path))
+        for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 off, codes, words = coded_words(part.column("text"))
-                ids = codec.encode_words(words.to_pylist())
-                count = np.array([len(x) for x in ids], np.int64)
-                shown = np.array([" ".join(map(str, x)) for x in ids], object)
-                text = np.array([codec.decode(x) for x in ids], object)
-                # a word of characters that the pre-tokenizer drops has no ids and adds no space
-                n, enc, dec = [], [], []
-                for a, b in zip(off, off[1:]):
-                    at = codes[a:b]
-                    size = count[at]
-                    if not size.all():
-                        at = at[size > 0]
-                    n.append(int(size.sum()))
-                    enc.append(hashlib.sha256(" ".join(shown[at]).encode()).hexdigest())
-                    dec.append(hashlib.sha256(" ".join(text[at]).encode()).hexdigest())
+                flat, at, pre, word_off = codec.encode_words(words)
+                pre, pre_at = ragged_take(pre, word_off, codes)
+                bounds, count = pre_at[off], np.diff(at)
+                # ids and strings of each distinct pre-token, joined once
+                ids, cuts = flat.tolist(), at.tolist()
+                shown = np.array([" ".join(map(str, ids[a:b])) for a, b in zip(cuts, cuts[1:])], object)
+                text = np.array([codec.decode(ids[a:b]) for a, b in zip(cuts, cuts[1:])], object)
+                n, enc, dec = row_sums(count[pre], bounds), [], []
+                for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+                    enc.append(hashlib.sha256(" ".join(shown[pre[a:b]]).encode()).hexdigest())
+                    dec.append(hashlib.sha256(" ".join(text[pre[a:b]]).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())],
                                                  names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

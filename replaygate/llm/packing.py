@@ -10,7 +10,6 @@ of pieces, so their count grows with the input and none waits for another.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .words import BoundedCache, coded_words, documents, next_power, ragged_take, slices, stored
+from .words import RaggedCache, coded_words, documents, held_in_worker, letting_go, next_power, ragged_take, slices, stored
 
 CAPACITY = 2048
 END_ID = 1
@@ -31,32 +30,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.vocab = wordbpe.load(path)
-        self.words = BoundedCache()
-        self.pretokens = BoundedCache()
+        self.pretokens = RaggedCache()
 
-    def _pretoken(self, p: str) -> tuple[int, ...]:
-        ids = self.pretokens.get(p)
-        if ids is None:
-            ids = tuple([t.id for t in self.vocab.library.model.tokenize(p)])
-            self.pretokens.add((p,), (ids,))
-        return ids
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of the words."""
-        get, fresh, rows = self.words.get, {}, []
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = fresh[w] = tuple([i for p, special in self.vocab.parts(w) for i in (self._pretoken(p) if special < 0 else (special,))])
-            rows.append(ids)
-        self.words.add(fresh.keys(), fresh.values())
-        off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-        return np.fromiter((i for r in rows for i in r), np.uint32, int(off[-1])), off
-
-
-@lru_cache(maxsize=2)
-def encoder_of(path: str) -> WordEncoder:
-    return WordEncoder(path)
+        off, codes, distinct = self.vocab.pretokenize(words)
+        flat, at = self.pretokens.get(distinct, self.vocab.library_ids)
+        ids, at = ragged_take(flat, at, codes)
+        return ids, at[off]
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
@@ -70,11 +51,11 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
-        encoder = encoder_of(path)
-        for batch in batches:
+        encoder = held_in_worker(f"encoder {path}", lambda: WordEncoder(path))
+        for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 off, codes, words = coded_words(part.column("text"))
-                flat, word_off = encoder.encode(words.to_pylist())
+                flat, word_off = encoder.encode(words)
                 ids, at = ragged_take(flat, word_off, codes)
                 doc_at = at[off]
                 owner, start, size, crc, total = [], [], [], [], []

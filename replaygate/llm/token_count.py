@@ -6,8 +6,6 @@ its lowest-ranked pair in the same round, and the surviving symbols are counted.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .words import BoundedCache, coded_words, documents, row_sums, slices
+from .words import RaggedCache, coded_words, documents, held_in_worker, letting_go, row_sums, slices
 
 TOKEN_LIMIT = 2048
 
@@ -25,58 +23,41 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.vocab = wordbpe.load(path)
-        self.words = BoundedCache()
-        self.pretokens = BoundedCache()
-
-    def count_pretokens(self, pretokens: list[str]) -> dict[str, int]:
-        fresh = [p for p in dict.fromkeys(pretokens) if p not in self.pretokens]
-        known = {p: self.pretokens[p] for p in pretokens if p in self.pretokens}
-        if fresh:
-            rows = [self.vocab.symbols(p) for p in fresh]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            flat = np.fromiter((s for r in rows for s in r), np.int64, int(sizes.sum()))
-            _, left = wordbpe.merge_synchronously(self.vocab, flat, sizes)
-            found = dict(zip(fresh, left.tolist()))
-            self.pretokens.add(found.keys(), found.values())
-            known |= found
-        return known
-
-    def count_words(self, words: list[str]) -> np.ndarray:
-        fresh = [w for w in words if w not in self.words]
-        local = {}
-        if fresh:
-            parts = [self.vocab.parts(w) for w in fresh]
-            of = self.count_pretokens([p for ps in parts for p, special in ps if special < 0])
-            local = {w: sum(of[p] if special < 0 else 1 for p, special in ps) for w, ps in zip(fresh, parts)}
-        counts = np.array([local[w] if w in local else self.words[w] for w in words], np.int64)
-        self.words.add(local.keys(), local.values())
-        return counts
+        self.pretokens = RaggedCache()
+
+    def _count(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ones = np.ones(len(pretokens), np.int64)
+        plain = np.array([self.vocab.special_id(p) < 0 for p in pretokens], bool)
+        rows = [self.vocab.symbols(p) for p, own in zip(pretokens, plain.tolist()) if own]
+        counts = ones.copy()
+        if rows:
+            counts[plain] = wordbpe.merge_all(self.vocab, rows)[1]
+        return counts, ones
+
+    def count_words(self, words) -> np.ndarray:
+        off, codes, distinct = self.vocab.pretokenize(words)
+        return row_sums(self.pretokens.get(distinct, self._count)[0][codes], off)
 
     def count_texts(self, texts: pa.Array) -> np.ndarray:
         off, codes, words = coded_words(texts)
         if not len(words):
             return np.zeros(len(texts), np.int64)
-        return row_sums(self.count_words(words.to_pylist())[codes], off)
-
-
-@lru_cache(maxsize=2)
-def counter_of(path: str) -> TokenCounter:
-    """One counter per Python worker and vocabulary, kept between tasks."""
-    return TokenCounter(path)
+        return row_sums(self.count_words(words)[codes], off)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens) for each row of `df`, over its whole text.
 
     A null or empty text has 0 bytes and 0 tokens; null and repeated ids pass
-    through, one output row per input row. Other columns are not read.
+    through, one output row per input row. Other columns are not read. A word of any
+    length takes time in proportion to it, but for sorting.
     """
     path = vocabulary or wordbpe.vocabulary_path()
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        counter = counter_of(path)
-        for batch in batches:
+        counter = held_in_worker(f"counter {path}", lambda: TokenCounter(path))
+        for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 texts = part.column("text")
                 size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())

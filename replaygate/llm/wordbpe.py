@@ -7,14 +7,22 @@ Unicode composition spans it. Both places are tested against the library.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 NO_RANK = np.int64(1 << 40)
+#: Words of printable Latin letters, digits and signs: composed already, and lower-cased character by character.
+PLAIN = "^[!-~\u00a1-\u00ac\u00ae-\u024f]+$"
+#: Sequences of more symbols are merged one by one, looking only where something changed.
+LONG = 1000
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -89,6 +97,57 @@ class WordVocabulary:
                 out += [(p, -1) for p in self.pretokens(piece)]
         return out
 
+    def pretokenize(self, words) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(offsets, codes, distinct): word i has the pre-tokens
+        distinct[codes[offsets[i]:offsets[i + 1]]]; a special string stands for itself
+        behind a line feed, which no pre-token holds. `words`: a list or an Arrow array.
+
+        Plain words are split by one pass of the pattern over all of them: they hold
+        no white space, and the pattern leaves out nothing else, so lengths tell
+        which pre-tokens are whose."""
+        words = pa.array(words, pa.string()) if isinstance(words, list) else words.cast(pa.string())
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False)
+        own = words.filter(pa.array(plain))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "\n")[0].as_py()
+        low = joined.lower()
+        if len(low) == len(joined):
+            lengths = pc.utf8_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            lengths = np.fromiter(map(len, low.split("\n")), np.int64, len(own))
+        found = self.pattern.findall(low)
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if (stops[-1] if len(stops) else 0) != lengths.sum():
+            raise ValueError("the pattern leaves out characters of plain words")
+        until = np.searchsorted(stops, np.cumsum(lengths)) + 1
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(until, prepend=0)
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        distinct = [p if p.isascii() else "".join([self.bytes[b] for b in p.encode()]) for p in coded.dictionary.to_pylist()]
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            rows = [[p if special < 0 else "\n" + self.strings[special] for p, special in self.parts(w)] for w in words.take(pa.array(odd)).to_pylist()]
+            counts[odd] = [len(r) for r in rows]
+            number = {p: i for i, p in enumerate(distinct)}
+            extra = np.array([number.setdefault(p, len(number)) for r in rows for p in r], np.int64)
+            distinct = list(number)
+            order = np.repeat(plain, counts)
+            flat = np.empty(len(order), np.int64)
+            flat[order], flat[~order] = codes, extra
+            codes = flat
+        return np.concatenate([[0], np.cumsum(counts)]), codes, distinct
+
+    def special_id(self, pretoken: str) -> int:
+        """The id of a special string that pretokenize() gave, else -1."""
+        return self.special[pretoken[1:]] if pretoken[0] == "\n" else -1
+
+    def library_ids(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, sizes) by the library's own merging."""
+        tokenize, special = self.library.model.tokenize, self.special_id
+        rows = [[t.id for t in tokenize(p)] if p[0] != "\n" else [special(p)] for p in pretokens]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes
+
     def symbols(self, pretoken: str) -> list[int]:
         return [self.symbol[c] for c in pretoken[:-1]] + [self.last_symbol[pretoken[-1]]]
 
@@ -99,11 +158,58 @@ class WordVocabulary:
         return np.where(self.pair_keys[at] == keys, self.pair_rank[at], NO_RANK)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load(path: str) -> WordVocabulary:
     return WordVocabulary(path)
 
 
+def merge_long(vocab: WordVocabulary, symbols: list[int]) -> list[int]:
+    """The same merging of one long sequence: rank after rank, all occurrences of
+    the rank's pair from left to right. A merge makes pairs of later ranks only, so
+    each rank is taken once, and only the neighbours of merges are looked at again."""
+    sym, n = list(symbols), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    ranks = vocab.ranks(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
+    places: dict[int, list[int]] = {}
+    for i, r in zip(np.flatnonzero(ranks < NO_RANK).tolist(), ranks[ranks < NO_RANK].tolist()):
+        places.setdefault(r, []).append(i)
+    order = list(places)
+    heapq.heapify(order)
+    merges, left, right, made = vocab.merges, vocab.left, vocab.right, vocab.made
+    while order:
+        r = heapq.heappop(order)
+        a, b, c = int(left[r]), int(right[r]), int(made[r])
+        for i in sorted(places.pop(r)):
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j] = c, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            h = before[i]
+            for at, pair in ((h, (sym[h], c)) if h >= 0 else (-1, None), (i, (c, sym[k])) if k < n else (-1, None)):
+                new = merges.get(pair) if pair else None
+                if new is not None:
+                    if new[0] not in places:
+                        places[new[0]] = []
+                        heapq.heappush(order, new[0])
+                    places[new[0]].append(at)
+    return [s for s in sym if s >= 0]
+
+
+def merge_all(vocab: WordVocabulary, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, sizes) after merging: short rows in rounds together, long ones on their own."""
+    short = [r for r in rows if len(r) <= LONG]
+    sizes = np.fromiter(map(len, short), np.int64, len(short))
+    flat, sizes = merge_synchronously(vocab, np.fromiter(itertools.chain.from_iterable(short), np.int64, int(sizes.sum())), sizes)
+    if len(short) == len(rows):
+        return flat, sizes
+    parts = iter(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+    out = [next(parts) if len(r) <= LONG else np.array(merge_long(vocab, r), np.int64) for r in rows]
+    return np.concatenate(out), np.array([len(o) for o in out], np.int64)
+
+
 def merge_synchronously(vocab: WordVocabulary, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte-pair merging of many symbol sequences at once.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, table_path
 
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,60 @@ def ragged_take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np
     return flat[at], out
 
 
+_HELD: dict[str, object] = {}
+
+
+def held_in_worker(name: str, make):
+    """The object `name` of this Python worker, made on first use. A worker holds one
+    such object: that of another operator is let go, since workers are used again by
+    the jobs that follow."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def letting_go(batches):
+    """The batches; afterwards Arrow's free memory goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+class RaggedCache:
+    """Integer rows of strings in flat arrays. Its memory is bounded: past `limit`
+    keys it forgets all but those just asked for; the answers are the same."""
+
+    def __init__(self, limit: int = 500_000, dtype=np.uint32):
+        self.limit, self.dtype = limit, dtype
+        self._clear()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def _clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.flat, self.off = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def get(self, keys: list[str], make) -> tuple[np.ndarray, np.ndarray]:
+        """(flat, offsets) of the rows of distinct `keys`; make(missing keys) gives
+        the flat values and sizes of those not held."""
+        if len(self.rows) > self.limit:
+            self._clear()
+        at = np.fromiter(map(self.rows.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [keys[i] for i in missing.tolist()]
+            flat, sizes = make(new)
+            at[missing] = len(self.off) - 1 + np.arange(len(new))
+            self.rows.update(zip(new, at[missing].tolist()))
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes, dtype=np.int64)])
+            self.flat = np.concatenate([self.flat, np.asarray(flat, self.dtype)])
+        return ragged_take(self.flat, self.off, at)
+
+
 class BoundedCache(dict):
     """A dict that forgets everything when it holds `limit` keys: bounded memory
     per Python worker, the same values either way."""

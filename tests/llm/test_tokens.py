@@ -102,3 +102,17 @@ def test_empty_table(spark):
     assert token_count.count_tokens(df).count() == 0
     assert bpe_codec.codec_digests(df).count() == 0
     assert packing.pack_documents(df).count() == 0
+
+
+def test_very_long_words_and_special_strings(spark):
+    import time
+    rng = random.Random(5)
+    vocab = wordbpe.load(wordbpe.vocabulary_path())
+    counter, codec = token_count.TokenCounter(wordbpe.vocabulary_path()), bpe_codec.Codec(wordbpe.vocabulary_path())
+    words = ["a" * 5000, "".join(rng.choices("etaoinshrdluá", k=100_000)), "ab<|endoftext|>İSTANBUL\u00a0x", "日本" * 900, "x"]
+    want = [vocab.library.encode(w, add_special_tokens=False).ids for w in words]
+    for w, ids in zip(words, want):
+        start = time.time()
+        assert counter.count_words([w]).tolist() == [len(ids)] and codec.encode(w) == ids
+        assert time.time() - start < 3
+    assert counter.count_words(words).tolist() == [len(ids) for ids in want]

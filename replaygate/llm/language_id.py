@@ -19,16 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .words import BoundedCache, coded_words, documents, slices, stored
+from .words import RaggedCache, coded_words, documents, held_in_worker, letting_go, row_sums, slices, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled rows learned from, at most, for each language.
 SAMPLE_ROWS = 400
 EM_ROUNDS = 3
-#: A word is scored in chunks of so many characters, so that its probability stays a normal float.
+#: Words of up to so many characters with their start mark are scored together, longer ones
+#: one by one with rescaled sums. Learning takes longer words in chunks of this size.
 CHUNK = 32
 #: Chunks scored at once.
-BATCH = 16_384
+BATCH = 4_096
 SMOOTHING = 0.01
 UNKNOWN = "und"
 WORD_START = "▁"
@@ -112,10 +113,40 @@ class Lattice:
         return np.bincount(self.piece, weight, len(prob))
 
 
+def score_long_word(path: str, prob: np.ndarray, word: str) -> np.ndarray:
+    """log P(word | language) of one word of any length: the forward sums of the last
+    positions are kept, relative to the last one of each language."""
+    pieces, prefixes = pieces_of(path)
+    word, longest = WORD_START + word, max(map(len, pieces))
+    ending: dict[int, list[tuple[int, int]]] = {}
+    sums, log_scale = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            sub = word[i:j]
+            p = pieces.get(sub)
+            if p is not None or j == i + 1:
+                ending.setdefault(j, []).append((i, p or 0))
+            if sub not in prefixes:
+                break
+        # every piece that ends after character i is known now
+        total = sum(sums[k - (i + 1)] * prob[p] for k, p in ending.pop(i + 1))
+        total = np.maximum(total, np.finfo(float).tiny)
+        log_scale += np.log(total)
+        sums = [x / total for x in sums[-longest:]] + [np.ones(prob.shape[1])]
+    return log_scale
+
+
 def score_words(path: str, prob: np.ndarray, words: list[str]) -> np.ndarray:
-    """log P(word | language), BATCH chunks at a time."""
-    chunks, owner = chunks_of(words)
+    """log P(word | language) over all segmentations, BATCH words at a time."""
     out = np.zeros((len(words), prob.shape[1]))
+    long = [w for w, word in enumerate(words) if len(word) >= CHUNK]
+    for w in long:
+        out[w] = score_long_word(path, prob, words[w])
+    chunks, owner = chunks_of(["" if len(word) >= CHUNK else word for word in words] if long else words)
+    if long:
+        keep = np.ones(len(words), bool)
+        keep[long] = False
+        chunks, owner = [c for c, o in zip(chunks, owner.tolist()) if keep[o]], owner[keep[owner]]
     for at in range(0, len(chunks), BATCH):
         part = Lattice(path, chunks[at : at + BATCH]).log_prob(prob)
         for k in range(prob.shape[1]):
@@ -135,11 +166,12 @@ def learn_pieces(path: str, words: list[str], counts: np.ndarray, rounds: int) -
     return prob
 
 
-def sample_ids(df: DataFrame, id_col: str, lang_col: str, rows: int) -> DataFrame:
+def sample_ids(df: DataFrame, id_col: str, lang_col: str, rows: int, seed: int = 0) -> DataFrame:
     """At most `rows` ids for each language, those with the smallest hash; only ids and labels are shuffled."""
-    marked = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    sizes = marked.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "of")
-    near = marked.join(sizes, F.col("lang") == F.col("of")).filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= F.lit((1 << 20) * 4 * rows))
+    marked = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
+    # the table of languages comes to the ids, so that no language's ids go to one task
+    sizes = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    near = marked.withColumn("n", F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")] if sizes else F.lit(0)).filter(F.pmod("h", F.lit(1 << 20)) * F.col("n") <= F.lit((1 << 20) * 4 * rows))
     return near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= rows).select("id").distinct()
 
 
@@ -175,57 +207,81 @@ def _path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@lru_cache(maxsize=1)
-def _known_words(model: str) -> BoundedCache:
-    """Scores of words under one model, kept by a Python worker between tasks."""
-    return BoundedCache(300_000)
-
-
 def predict(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: str | None = None) -> DataFrame:
-    """(id, keep..., lang_pred, score): the likeliest language of each whole text and
-    its posterior under equal priors. `und` with score 0 where the text is null or
+    """(id, keep..., lang_pred, score, per_char): the likeliest language of each whole
+    text, its posterior under equal priors, and the text's log-likelihood in it per
+    character of its words (0 without any). `und` with score 0 where the text is null or
     has no letter, or nothing was learned. Ties go to the first language by name.
 
     The model (pieces x languages) travels as a broadcast; its size is fixed by
     the vocabulary and the number of languages.
     """
     path = vocabulary or _path()
-    kept = [F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)]
+    kept = [F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep) if k != text_col]
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
     model = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(prob))
     name = uuid.uuid4().hex
 
     def run(batches):
-        table, cache = model.value, _known_words(name)
-        for batch in batches:
+        def scores(fresh):
+            return score_words(path, table, fresh).ravel(), np.full(len(fresh), len(langs))
+
+        table, cache = model.value, held_in_worker(f"words of model {name}", lambda: RaggedCache(150_000, float))
+        for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")
                 letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-                names, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
+                names, score, per_char = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 off, codes, words = coded_words(texts)
                 if len(langs) and len(words):
-                    words = words.to_pylist()
-                    fresh = [w for w in words if w not in cache]
-                    local = dict(zip(fresh, score_words(path, table, fresh)))
-                    rows = np.array([local[w] if w in local else cache[w] for w in words])
-                    cache.add(local.keys(), local.values())
-                    total = np.vstack([np.zeros(len(langs)), np.cumsum(rows[codes], axis=0)])
-                    total = total[off[1:]] - total[off[:-1]]
+                    sizes = row_sums(pc.utf8_length(words).to_numpy(zero_copy_only=False)[codes], off)
+                    rows = cache.get(words.to_pylist(), scores)[0].reshape(-1, len(langs))
+                    total = np.zeros((part.num_rows, len(langs)))
+                    for k in range(len(langs)):
+                        sums = np.concatenate([[0], np.cumsum(rows[codes, k])])
+                        total[:, k] = sums[off[1:]] - sums[off[:-1]]
+                    per_char = total.max(axis=1) / np.maximum(sizes, 1)
                     total -= total.max(axis=1, keepdims=True)
                     share = np.exp(total)
                     best = share.argmax(axis=1)
                     names[letters] = np.array(langs, object)[best][letters]
                     score = np.where(letters, 1 / share.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(f"keep_{i}") for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score)], names=columns)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column("text" if k == text_col else f"keep_{i}") for i, k in enumerate(keep)), pa.array(names, pa.string()), pa.array(score), pa.array(per_char)], names=columns)
 
-    columns = ["id", *(f"keep_{i}" for i in range(len(keep))), "lang_pred", "score"]
-    schema = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in columns[:-2])
-    out = src.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    columns = ["id", *(f"keep_{i}" for i in range(len(keep))), "lang_pred", "score", "per_char"]
+    of = dict(zip(columns[1:], ("text" if k == text_col else f"keep_{i}" for i, k in enumerate(keep)))) | {"id": "id"}
+    schema = ", ".join(f"{c} {src.schema[of[c]].dataType.simpleString()}" for c in columns[:-3])
+    out = src.mapInArrow(run, f"{schema}, lang_pred string, score double, per_char double").withColumnRenamed("id", id_col)
     for i, k in enumerate(keep):
         out = out.withColumnRenamed(f"keep_{i}", k)
     return out
 
 
+#: Rows of each language, at most, from which the least likely text of it is learned.
+FLOOR_ROWS = 1000
+#: A text of fewer letters is never too unlikely.
+FLOOR_LETTERS = 20
+FLOOR_MARGIN = 1.25
+
+
+def letters_of(text_col: str = "text"):
+    return F.char_length(F.regexp_replace(F.col(text_col), r"[^\p{L}]", ""))
+
+
+def least_likely(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the least log-likelihood per character that a text in it
+    should have: FLOOR_MARGIN times the least of a second bounded sample of labelled
+    rows of `df`, where a text without that many letters or taken for another language counts not."""
+    if not langs:
+        return {}
+    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    ids = stored(sample_ids(labelled, id_col, lang_col, FLOOR_ROWS, seed=1).withColumnRenamed("id", "sampled"), "floor-ids")
+    rows = labelled.join(ids, F.col(id_col) == F.col("sampled"), "left_semi").filter(letters_of(text_col) >= FLOOR_LETTERS)
+    judged = predict(rows.select(id_col, text_col, F.col(lang_col).cast("string").alias("told")), langs, prob, id_col, text_col, keep=("told",))
+    least = judged.filter(F.col("told") == F.col("lang_pred")).groupBy("told").agg(F.min("per_char").alias("least")).collect()  # a row a language
+    return {r["told"]: FLOOR_MARGIN * r["least"] for r in least}
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from; a null id counts as one."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(True))

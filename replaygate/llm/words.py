@@ -132,20 +132,6 @@ class RaggedCache:
         return ragged_take(self.flat, self.off, at)
 
 
-class BoundedCache(dict):
-    """A dict that forgets everything when it holds `limit` keys: bounded memory
-    per Python worker, the same values either way."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def add(self, keys, values) -> None:
-        if len(self) >= self.limit:
-            self.clear()
-        self.update(zip(keys, values))
-
-
 def next_power(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 

@@ -62,6 +62,20 @@ def test_language_stage_drops_what_has_no_language(stages):
     assert all(before[d] == t for d, t in after.items())
 
 
+def test_language_stage_without_labels_keeps_what_has_letters(spark):
+    rows = [(i, t, None, "s", None, "x") for i, t in enumerate(["the cat", "1 2 3", None, "é", ""])]
+    got = P.identify_language(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 3] and got.columns == spark.createDataFrame(rows, COLUMNS).columns
+
+
+def test_language_stage_drops_junk_and_keeps_clean_text(spark):
+    junk = ["xq zzv kkq wqx jjz qqp vvx"] * 3 + ["qzxv wjkq " * 30]
+    docs = spark.createDataFrame(table() + [(1000 + i, t, None, "s", len(t), "x") for i, t in enumerate(junk)], COLUMNS)
+    kept = {r.doc_id for r in P.identify_language(spark, docs, "").collect()}
+    assert not kept & {1000 + i for i in range(len(junk))}
+    assert kept == {d for d, t, *_ in table() if t and any(map(str.isalpha, t))}
+
+
 def test_line_stage_equals_brute_force(stages):
     want = []
     rows = rows_of(stages[1])

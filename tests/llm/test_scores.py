@@ -113,3 +113,29 @@ def test_empty_tables(spark):
     assert language_id.identify(df).count() == 0
     unlabelled = frame(spark, ["some text"]).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert [r.lang_pred for r in language_id.identify(unlabelled).collect()] == ["und"]
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    path = language_id._path()
+    pieces, _ = language_id.pieces_of(path)
+    rng = np.random.default_rng(0)
+    prob = rng.random((len(pieces) + 1, 2)) / 50
+    for word in ("a", "internationalization" * 3, "the" * 15 + "日本語" * 8, "x" * 200):
+        marked = language_id.WORD_START + word
+        alpha = [np.ones(2)] + [np.zeros(2) for _ in marked]
+        for j in range(1, len(marked) + 1):
+            for i in range(j):
+                p = pieces.get(marked[i:j])
+                if p is not None or i == j - 1:
+                    alpha[j] = alpha[j] + alpha[i] * prob[p or 0]
+        want = np.log(alpha[-1])
+        assert np.allclose(language_id.score_long_word(path, prob, word), want)
+        assert np.allclose(language_id.score_words(path, prob, [word, "the"])[0], want)
+
+
+def test_a_very_long_word_takes_linear_time():
+    import time
+    path = language_id._path()
+    prob = np.full((len(language_id.pieces_of(path)[0]) + 1, 4), 1e-4)
+    start = time.time()
+    assert np.isfinite(language_id.score_words(path, prob, ["etaoinshrdlu" * 9000])).all() and time.time() - start < 10

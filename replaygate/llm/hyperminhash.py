@@ -9,8 +9,8 @@ two sketches agrees with a probability close to the Jaccard similarity.
 
 Bands of registers propose candidates, the collision-corrected estimate over all
 registers thins them out, and the full sets decide. Links are first sought with
-bands' smallest members: each class meets one a round, that of its fullest band
-among those it is not yet joined with (linear in the number of classes).
+bands' smallest members: each class meets that of its fullest band, then those of
+its other bands that it is not yet joined with (linear in the bands' sizes).
 Bands that still hold several groups are compared block against block: likely
 pairs of different groups are joined to families, and each family's full sets are
 compared block against block, so that no link between groups is lost. Both steps
@@ -42,8 +42,6 @@ BAND_ROWS = 3
 #: below the threshold. Smaller sets are always compared whole.
 ESTIMATE_SLACK = 0.225
 SURE_SHINGLES = 8
-#: Rounds in which every node meets one head; the heads it is still apart from then come all at once.
-STAR_ROUNDS = 4
 #: Members, and shingles, in a block that is compared with another at once.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 
@@ -330,21 +328,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = _bands(classes)
     heads = stored(bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
     in_band = stored(bands.join(heads, "key"), "in-band")
-    # each node meets, one a round, the heads of its bands that it is still apart from, fullest band first
+    # first each node against the head of its fullest band, then against the heads it is still apart from
     stars = in_band.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     stars = stored(stars, "stars")  # a head that meets a node in many bands meets it once
-    left, links, labels = stars, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            far = left.join(labels.toDF("a", "a_label"), "a", "left").join(labels.toDF("b", "b_label"), "b", "left")
-            left = stored(far.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b", "n"), f"apart-{turn}")
-        pick = left.select("a", "b") if turn == STAR_ROUNDS else left.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        pick = stored(pick, f"pick-{turn}")
-        found = _verify(_likely(pick, classes, percent), classes, df, key_col, text_col, percent)
-        links = stored(found if links is None else links.union(found), f"links-{turn}")
-        labels = components(links, f"components-{turn}")
-        if turn < STAR_ROUNDS:
-            left = left.join(pick, ["a", "b"], "left_anti")
+    fullest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links = stored(_verify(_likely(fullest, classes, percent), classes, df, key_col, text_col, percent), "first-links")
+    labels = components(links, "first-components")
+    apart = stars.join(labels.toDF("a", "a_label"), "a", "left").join(labels.toDF("b", "b_label"), "b", "left")
+    apart = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    links = stored(links.union(_verify(_likely(apart, classes, percent), classes, df, key_col, text_col, percent)), "links")
+    labels = components(links)
 
     # bands whose members other than the head still lie in several groups
     grouped = in_band.filter("n > 2 and node <> head").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))

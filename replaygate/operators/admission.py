@@ -13,6 +13,7 @@ from ..functions.policy import effective_limit, idiv
 from ..schema import BYPASS_MODES, DEFAULT_POLICY, MAX_REJECTIONS, Policy
 from . import bucket
 from .bucket import US_PER_S
+from .scan import plus, running_before
 
 def token_bucket(df: DataFrame, limit, client_col: str = "client_id", time_col: str = "us",
                  order=("event_id",), mode=None, split_sessions: bool = True, steady: bool | None = None,
@@ -80,13 +81,13 @@ def _time_block(df: DataFrame, col: str, block_s: int):
         block = F.floor(F.col(col) / F.lit(block_s * US_PER_S)).cast("long")
     else:
         return F.lit(0).cast("long")
-    return F.coalesce(block, F.lit(-(1 << 62)).cast("long"))
+    return F.coalesce(block, F.lit(-(1 << 40)).cast("long"))
 
 
 def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=("event_ts", "event_id"), block_s: int = 60) -> DataFrame:
     """Zero elapsed time, a full bucket admits the first max(1, floor(limit)) events per client.
 
-    Events are counted per (client, time block); a prefix sum over that block
+    Events are counted per (client, time block); a prefix sum in blocks over that
     table tells for every block whether all, none or some of its events are among
     the first k. Only events of a block of the last kind are ranked, inside it, so
     a hot client is never sorted whole and the limit has no bound. A NULL client
@@ -94,8 +95,8 @@ def admit_burst(events: DataFrame, limit, client_col: str = "client_id", order=(
     lim = F.lit(int(limit)) if isinstance(limit, int) else (F.col(limit) if isinstance(limit, str) else limit)
     ev = events.withColumn("_k", F.greatest(F.lit(1), lim.cast("long"))).withColumn("_block", _time_block(events, order[0], block_s))
     per_block = ev.groupBy(client_col, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_kmin"), F.max("_k").alias("_kmax"))
-    upto = Window.partitionBy(client_col).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
+    per_block = running_before(per_block, "_block", "_n", keys=(client_col,), combine=F.sum, both=plus, out="_earlier")
+    before = F.coalesce("_earlier", F.lit(0))
     blocks = per_block.select(F.col(client_col).alias("_c"), F.col("_block").alias("_b"), "_n", "_kmin", "_kmax", before.alias("_before"))
     out = ev.join(blocks, F.col(client_col).eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
     every, none = F.col("_before") + F.col("_n") <= F.col("_kmin"), F.col("_before") >= F.col("_kmax")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_before
+
 
 def _order_struct(order_cols):
     # NULL times sort last: (is_null, value) pairs compare false < true.
@@ -55,12 +57,12 @@ def late_events(df: DataFrame, delay: str = "10 minutes", batch_col: str = "batc
 
     The watermark used by batch N is the largest event time of batches before N
     minus ``delay``; a row is late when its event time is older. NULL times are
-    never late. The per-batch maxima form a small table (one row per batch),
-    the running maximum runs over it, and events join it on the batch number.
+    never late. The per-batch maxima form a small table (one row per batch), a
+    running maximum in blocks goes over it, and events join it on the batch number.
     """
-    per_batch = df.groupBy(batch_col).agg(F.max(time_col).alias("_bmax"))
-    w = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
-    marks = per_batch.select(batch_col, (F.max("_bmax").over(w) - F.expr(f"INTERVAL {delay}")).alias("watermark"))
+    per_batch = df.filter(F.col(batch_col).isNotNull()).groupBy(batch_col).agg(F.max(time_col).alias("_bmax"))
+    marks = running_before(per_batch, batch_col, "_bmax", out="_until")
+    marks = marks.select(batch_col, (F.col("_until") - F.expr(f"INTERVAL {delay}")).alias("watermark"))
     out = df.join(marks, batch_col, "left")
     return out.filter(F.col(time_col).isNotNull() & F.col("watermark").isNotNull()
                       & (F.col(time_col) < F.col("watermark")))

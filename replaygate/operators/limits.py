@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policy import effective_limit, limit_for_ratio
+from ..functions.policy import effective_limit, idiv, limit_for_ratio
 from ..schema import DEFAULT_POLICY, Policy
+from .scan import running_before
+
+#: Seconds of a client's timeline that the as-of join sorts together.
+ASOF_BLOCK_S = 3600
 
 
 def _ts(x) -> Column:
@@ -67,31 +71,32 @@ def with_limits_asof(events: DataFrame, history: DataFrame, time_col: str = "eve
     """The limit in force at each event's time: the latest decision with
     decided_at <= t, if t < its valid_until; otherwise the default.
 
-    Decisions of one client are first turned into non-overlapping effective
-    intervals [decided_at, min(next decided_at, valid_until)) (a window over the
-    small decision table). Each interval is copied into the TTL-wide time
-    buckets it covers (at most two), and events join on (client, bucket) with
-    the interval bounds in the join condition: an equi-join with a range
-    filter, no per-client sort of the events and at most one match per event.
+    A sort-merge as-of join: events and decisions are one table of rows, dealt by
+    (client, time block) and sorted by time inside it, and every event takes the
+    last decision before it. The decision that a block opens with is carried in as a
+    row of its own: the last one of the client's earlier blocks, from a running
+    maximum over the table of blocks. No event meets more than one decision, and a
+    client's timeline is spread over as many tasks as it has blocks.
     """
-    ttl_us = int(policy.limit_ttl_s) * 1_000_000
-    per_at = history.groupBy("client_id", "decided_at").agg(
-        F.max_by(F.col(limit_col), F.col("use_case_topic")).alias("_lim"),
-        F.max_by(F.col("valid_until"), F.col("use_case_topic")).alias("_until"))
-    w = Window.partitionBy("client_id").orderBy("decided_at")
-    iv = per_at.withColumn("_next", F.lead("decided_at").over(w)).select(
-        F.col("client_id").alias("_c"), "_lim", F.col("decided_at").alias("_from"),
-        F.least(F.coalesce(F.col("_next"), F.col("_until")), F.col("_until")).alias("_to"))
-    iv = iv.filter(F.col("_to") > F.col("_from")).withColumn("_b", F.explode(F.sequence(
-        F.floor(F.unix_micros("_from") / F.lit(ttl_us)).cast("long"),
-        F.floor((F.unix_micros("_to") - F.lit(1)) / F.lit(ttl_us)).cast("long"))))
-    ev = events.withColumn("_b", F.floor(F.unix_micros(F.col(time_col)) / F.lit(ttl_us)).cast("long"))
-    cond = ((ev[client_col] == iv["_c"]) & (ev["_b"] == iv["_b"])
-            & (iv["_from"] <= ev[time_col]) & (ev[time_col] < iv["_to"]))
-    out = ev.join(iv, cond, "left")
-    return out.select(*[ev[c] for c in events.columns],
-                      effective_limit(F.lit("radar"), iv["_lim"].cast("string"), policy).cast("int").alias("limit_per_minute"),
-                      iv["_from"].alias("decided_at"))
+    known = history.filter(F.col("client_id").isNotNull() & F.col("decided_at").isNotNull()).groupBy("client_id", "decided_at").agg(
+        F.max_by(F.col(limit_col), F.col("use_case_topic")).alias("lim"), F.max_by(F.col("valid_until"), F.col("use_case_topic")).alias("until"))
+    t, block = F.unix_micros(F.col("_t")), ASOF_BLOCK_S * 1_000_000
+    slot = idiv(t - F.pmod(t, F.lit(block)), block)
+    decision = F.struct(F.col("decided_at").alias("at"), "lim", "until")
+    told = known.select(F.col("client_id").alias("_c"), F.col("decided_at").alias("_t"), decision.alias("_d"), F.lit(0).alias("_kind")).withColumn("_slot", slot)
+    asked = events.select(F.col(client_col).alias("_c"), F.col(time_col).alias("_t"), F.struct(*events.columns).alias("_e"), F.lit(1).alias("_kind")).withColumn("_slot", slot)
+
+    blocks = told.groupBy("_c", "_slot").agg(F.max("_d").alias("_d")).unionByName(asked.select("_c", "_slot").distinct(), allowMissingColumns=True)
+    blocks = blocks.filter(F.col("_c").isNotNull() & F.col("_slot").isNotNull()).groupBy("_c", "_slot").agg(F.max("_d").alias("_d"), F.max(F.col("_d").isNull()).alias("_asked"))
+    opening = running_before(blocks, "_slot", "_d", keys=("_c",), out="_open").filter(F.col("_asked") & F.col("_open").isNotNull())
+    opening = opening.select("_c", "_slot", F.col("_open.at").alias("_t"), F.col("_open").alias("_d"), F.lit(0).alias("_kind"))
+
+    both = asked.unionByName(told, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
+    last = Window.partitionBy("_c", "_slot").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_d", F.last("_d", ignorenulls=True).over(last)).filter("_kind = 1")
+    valid = (F.col("_t") < F.col("_d.until")) & F.col("_c").isNotNull()
+    return out.select("_e.*", effective_limit(F.lit("radar"), F.when(valid, F.col("_d.lim")).cast("string"), policy).cast("int").alias("limit_per_minute"),
+                      F.when(valid, F.col("_d.at")).alias("decided_at"))
 
 
 def throttled(decisions: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

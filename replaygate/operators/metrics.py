@@ -72,6 +72,27 @@ def batch_metrics(df: DataFrame, batch_col: str = "batch_id", topic_col: str = "
     return out.withColumn("batch_time", F.max("_tmax").over(Window.partitionBy("batch_id"))).drop("_tmax")
 
 
+#: Buckets of a distinct sketch are 2 to this power; its standard error is about 0.83 / 2^(this / 2).
+SKETCH_BITS = 14
+
+
+def sketched_metrics(df: DataFrame, batch_col: str = "batch_id", topic_col: str = "source_topic", client_col: str = "client_id",
+                     key_col: str = "dedup_key", bits: int = SKETCH_BITS) -> DataFrame:
+    """A3's sketch form: per micro-batch raw counts and a mergeable sketch of the keys
+    by (topic, client). Stored with each batch's metrics, sketches add up across
+    batches, which distinct counts do not."""
+    return df.groupBy(F.col(batch_col).alias("batch_id"), F.col(topic_col).alias(TOPIC), F.col(client_col).alias("client_id")).agg(
+        F.count(F.lit(1)).alias("raw_events"), F.hll_sketch_agg(F.col(key_col), F.lit(bits)).alias("keys"))
+
+
+def merged_metrics(sketched: DataFrame, by=(TOPIC, "client_id")) -> DataFrame:
+    """A2 over sketches: raw events and estimated unique keys of any set of batches;
+    the estimate never exceeds the raw count."""
+    out = sketched.groupBy(*by).agg(F.sum("raw_events").cast("long").alias("raw_events"), F.hll_union_agg("keys").alias("keys"))
+    unique = F.least(F.hll_sketch_estimate("keys"), F.col("raw_events"))
+    return _finish(out.withColumn("unique_events", unique.cast("long")).drop("keys"))
+
+
 def recent(metrics: DataFrame, as_of=None, minutes: int = DEFAULT_POLICY.window_minutes,
            time_col: str = "batch_time") -> DataFrame:
     """rows with batch_time >= as_of - minutes (bound inclusive).

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import admission, limits, metrics, requests
+from ..schema import Policy
 from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import store as ST
@@ -220,6 +221,40 @@ def q_metrics_by_date(spark, sf_dir):
     return IO.read_metrics_by_date(spark, path, since=span).select("batch_id", "use_case_topic", "client_id", "raw_events", "unique_events")
 
 
+@register("limits_asof_live", f"""WITH {_SLICED}, {S.BATCH_METRICS},
+dec AS (SELECT client_id, batch_time AS decided_at, arg_max({S.tier('duplicate_ratio')}, use_case_topic) AS l,
+               batch_time + INTERVAL 2 DAY AS valid_until FROM bm GROUP BY client_id, batch_time)
+SELECT e.event_id, e.client_id, CAST(CASE WHEN e.event_ts < d.valid_until THEN greatest(50, d.l) ELSE 10000 END AS INTEGER) AS limit_per_minute,
+       CASE WHEN e.event_ts < d.valid_until THEN d.decided_at END AS decided_at
+FROM ge e ASOF LEFT JOIN dec d ON e.client_id = d.client_id AND e.event_ts >= d.decided_at""")
+def q_limits_asof_live(spark, sf_dir):
+    """J2 where most events find a decision and some decisions have expired: limits valid for two days."""
+    ge = load_ge(spark, sf_dir)
+    decided = limits.decide_limits(metrics.batch_metrics(ge), F.col("batch_time"), Policy(limit_ttl_s=2 * 86400))
+    return limits.with_limits_asof(ge.select("event_id", "client_id", "event_ts"), decided).select("event_id", "client_id", "limit_per_minute", ntz("decided_at"))
+
+
+@register("sketched_metrics", f"""WITH {S.GE}, {S.exact_metrics('ge')},
+t AS (SELECT use_case_topic, CAST(sum(raw_events) AS BIGINT) AS raw_events FROM em GROUP BY use_case_topic)
+SELECT use_case_topic, client_id, raw_events, true AS within_bound FROM em
+UNION ALL SELECT use_case_topic, NULL, raw_events, true FROM t""")
+def q_sketched_metrics(spark, sf_dir):
+    """A3's sketch form: unique keys of all batches from per-batch sketches, by (topic, client) and by
+    topic, within four standard errors of the exact counts."""
+    ge = load_ge(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    metrics.sketched_metrics(ge).write.parquet(path)
+    parts = spark.read.parquet(path)
+    exact = ge.select("source_topic", "client_id", "dedup_key").distinct()
+    bound = 4 * 0.83 / 2 ** (metrics.SKETCH_BITS / 2)
+    by_client = exact.groupBy(F.col("source_topic").alias("use_case_topic"), "client_id").agg(F.count("*").alias("n"))
+    by_topic = by_client.groupBy("use_case_topic").agg(F.sum("n").alias("n")).withColumn("client_id", F.lit(None).cast("string"))
+    got = metrics.merged_metrics(parts).unionByName(metrics.merged_metrics(parts, by=("use_case_topic",)).withColumn("client_id", F.lit(None).cast("string")))
+    known = by_client.unionByName(by_topic).withColumnsRenamed({"use_case_topic": "t", "client_id": "c"})
+    joined = got.join(known, (F.col("use_case_topic") == F.col("t")) & F.col("client_id").eqNullSafe(F.col("c")))
+    return joined.select("use_case_topic", "client_id", "raw_events", (F.abs(F.col("unique_events") - F.col("n")) <= F.lit(bound) * F.col("n") + 0.5).alias("within_bound"))
+
+
 # --------------------------------------------------------------------------- streams over several micro-batches
 
 @register("stream_metrics_batches", f"""WITH {_SLICED}

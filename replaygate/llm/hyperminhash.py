@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .words import documents, slices, split_words, stored
+from .words import documents, slices, split_words, stored, unburdened
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -155,7 +155,7 @@ def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = df.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
@@ -167,7 +167,7 @@ def sketch_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _bands(classes: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             if batch.num_rows:
                 sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS)
                 keys = band_keys(sketches)
@@ -183,7 +183,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return classes.select(F.col("node").alias(name), F.col("sketch").alias(f"{name}_sketch"), F.col("n_shingles").alias(f"{name}_n"))
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(f"{x}_sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS) for x in "ab")
                 n, m = (batch.column(f"{x}_n").to_numpy() for x in "ab")
@@ -201,7 +201,7 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key_col: str,
     src = src.join(wanted.select("first_key").distinct(), F.col("key").eqNullSafe(F.col("first_key")), "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 sets = [s for s in shingle_sets(part.column("text")) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, slices, stored
+from .words import documents, slices, stored, unburdened
 
 MAX_EDITS = 1
 MIN_CHARS = 24
@@ -129,7 +129,7 @@ def line_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = _lines_of(df, id_col, text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 owner, number, digest, keys, known = [], [], [], [], {}
                 for i, text in enumerate(pc.fill_null(part.column("text"), "").to_pylist()):
@@ -166,7 +166,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Data
 
     def run(batches):
         bits = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little")
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 lines = {x for text in pc.fill_null(part.column("text"), "").to_pylist() for x in text.split("\n") if len(x) >= MIN_CHARS}
                 found = [(d, x) for d, x in ((_digest(x), x) for x in lines) if bits[int.from_bytes(d[:3], "big")]]
@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return texts.select(F.col("line").alias(name), F.col("content").alias(f"{name}_text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
             order = sorted(range(len(a)), key=lambda i: len(b[i]))
             keep, at = np.zeros(len(a), bool), 0
@@ -219,7 +219,7 @@ def variant_hashes(line: str) -> tuple[np.ndarray, np.ndarray]:
 def _hot_links(hot: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b) links among the lines (line, content) of hot keys."""
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             rows, held = [], 0
             for line, text in zip(batch.column("line").to_pylist(), batch.column("content").to_pylist()):
                 part, whole = variant_hashes(text)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .words import coded_words, documents, row_sums, slices, stored
+from .words import coded_words, documents, row_sums, slices, stored, unburdened
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -74,7 +74,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(k).cast("string").alias(f"group_{k}") for k in keep))
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")
                 off, codes, words = coded_words(texts)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, slices, stored
+from .words import documents, slices, stored, unburdened
 
 SPAN = 200
 GRAM = 32
@@ -194,7 +194,7 @@ def _occurrence(t: int, size: int, k: int) -> int:
 def _anchor_rows(texts: DataFrame) -> DataFrame:
     """(t, size, hashes) of each text that has an anchor."""
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 t, size, rows = part.column("t"), part.column("size"), []
                 for text in part.column("text"):
@@ -210,7 +210,7 @@ def _contexts(candidates: DataFrame) -> DataFrame:
     names = ["anchor", "c1", "c2", "occurrence", "t", "size", "first", "starts", "content"]
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 cols = [[] for _ in names]
                 for t, size, text, listed in zip(part.column("t").to_pylist(), part.column("size").to_pylist(), part.column("text"), part.column("listed").to_pylist()):
@@ -323,7 +323,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(spans, ["t", "size"], "left").select(*names, "text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in unburdened(batches):
             for part in slices(batch, "text"):
                 size, ranges, kept, sha = [], [], [], []
                 for text, found in zip(part.column("text"), part.column("spans").to_pylist()):

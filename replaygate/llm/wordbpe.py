@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,11 @@ class WordVocabulary:
             raise ValueError("a merge uses a symbol that is made later")
         self.symbol = {c: self.ids[c] for c in self.bytes}
         self.last_symbol = {c: self.ids[c + self.end] for c in self.bytes}
-        self.merges = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, made))}
+
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left, right) -> (rank, made)."""
+        return {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(self.left, self.right, self.made))}
 
     def pretokens(self, word: str) -> list[str]:
         """Byte-level pre-tokens of a word without special strings."""

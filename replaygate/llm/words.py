@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 
@@ -79,6 +80,7 @@ def ragged_take(flat: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np
 
 
 _HELD: dict[str, object] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def held_in_worker(name: str, make):
@@ -93,18 +95,28 @@ def held_in_worker(name: str, make):
 
 
 def letting_go(batches):
-    """The batches; afterwards Arrow's free memory goes back to the system."""
+    """The batches; afterwards free memory goes back to the system, since the worker
+    waits beside those of other stages."""
     try:
         yield from batches
     finally:
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
+def unburdened(batches):
+    """The batches, in a worker that holds nothing of the operators it ran before."""
+    _HELD.clear()
+    return letting_go(batches)
 
 
 class RaggedCache:
     """Integer rows of strings in flat arrays. Its memory is bounded: past `limit`
     keys it forgets all but those just asked for; the answers are the same."""
 
-    def __init__(self, limit: int = 500_000, dtype=np.uint32):
+    def __init__(self, limit: int = 200_000, dtype=np.uint32):
         self.limit, self.dtype = limit, dtype
         self._clear()
 

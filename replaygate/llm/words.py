@@ -26,7 +26,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet below the shared folder and read it back: cuts the
     lineage, survives lost executors, and later readers prune its columns."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -47,7 +47,7 @@ def read_topic(spark: SparkSession, topic: str, fmt: str = "kafka", path: str |
                servers: str | None = None, n: int | None = None) -> DataFrame:
     """Bounded read of one topic from the beginning; the first ``n`` messages
     in (partition, offset) order when given (taking n is the feature, as in a console
-    consumer). A folder of text files has no order, so ``n`` is refused there."""
+    consumer). Of a folder of text files they come file by file, line by line."""
     if fmt == "kafka":
         df = (spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
               .option("startingOffsets", "earliest").load()
@@ -56,11 +56,11 @@ def read_topic(spark: SparkSession, topic: str, fmt: str = "kafka", path: str |
     elif fmt == "log":
         df, order = read_log(spark, path, topic), ["partition", "offset"]
     else:
-        df = spark.read.schema(_FILE_SCHEMA).text(path).filter(F.col("topic") == F.lit(topic)) \
-            .select("topic", "value")
-        if n is not None:
-            raise ValueError("messages in text files have no order: read a log")
-    return df.orderBy(*order).limit(int(n)) if n is not None else df
+        df = spark.read.schema(_FILE_SCHEMA).text(path).filter(F.col("topic") == F.lit(topic)).select(
+            "topic", "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+        order = ["_file", "_start", "_row"]  # a block of a file is read by one task, in line order
+    df = df.orderBy(*order).limit(int(n)) if n is not None else df
+    return df.drop("_file", "_start", "_row")
 
 
 def write_events(df: DataFrame, fmt: str = "kafka", path: str | None = None, servers: str | None = None,

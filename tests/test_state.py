@@ -169,8 +169,17 @@ def test_log_offsets_follow_appends(spark, tmp_path):
         assert sorted(seen) == list(enumerate(want))
     head = [r.value for r in IO.read_topic(spark, "a", fmt="log", path=path, n=5).collect()]
     assert len(head) == 5 and [r.messages for r in admission.offset_totals(IO.read_log(spark, path)).orderBy("topic").collect()] == [66, 34]
-    with pytest.raises(ValueError):
-        IO.read_topic(spark, "a", fmt="files", path=path, n=5)
+
+
+def test_first_messages_of_text_files_are_their_first_lines(spark, tmp_path):
+    path = str(tmp_path / "topics")
+    rows = [("a", "c", "t", f"{i:03}", i, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "source_topic string, client_id string, event_type string, entity_id string, us long, event_id long")
+    IO.write_events(df.coalesce(1).sortWithinPartitions("us"), fmt="files", path=path)
+    head = IO.read_topic(spark, "a", fmt="files", path=path, n=5)
+    assert head.columns == ["topic", "value"]
+    assert [r[0] for r in head.select(F.get_json_object("value", "$.entity_id")).collect()] == ["000", "001", "002", "003", "004"]
+    assert IO.read_topic(spark, "a", fmt="files", path=path).count() == 50
 
 
 def _stream(spark, rows, schema, path):

@@ -29,7 +29,7 @@ EM_ROUNDS = 3
 #: one by one with rescaled sums. Learning takes longer words in chunks of this size.
 CHUNK = 32
 #: Chunks scored at once.
-BATCH = 4_096
+BATCH = 8_192
 SMOOTHING = 0.01
 UNKNOWN = "und"
 WORD_START = "▁"
@@ -62,19 +62,24 @@ class Lattice:
     def __init__(self, path: str, chunks: list[str]):
         pieces, prefixes = pieces_of(path)
         get = pieces.get
-        chunk, begin, stop, piece = [], [], [], []
+        arcs: list[int] = []  # an arc is one number: chunk, begin and stop (12 bits each), piece (20 bits)
+        add = arcs.append
         for c, s in enumerate(chunks):
             n = len(s)
             for i in range(n):
+                base = c << 44 | i << 32
                 for j in range(i + 1, n + 1):
                     sub = s[i:j]
                     p = get(sub)
-                    if p is not None or j == i + 1:
-                        chunk.append(c), begin.append(i), stop.append(j), piece.append(p or 0)
+                    if p is not None:
+                        add(base | j << 20 | p)
+                    elif j == i + 1:
+                        add(base | j << 20)
                     if sub not in prefixes:
                         break
         self.ends = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        arrays = [np.array(x, np.int64) for x in (chunk, begin, stop, piece)]
+        packed = np.array(arcs, np.int64)
+        arrays = packed >> 44, packed >> 32 & 4095, packed >> 20 & 4095, packed & (1 << 20) - 1
         order = np.argsort(arrays[2], kind="stable")
         self.chunk, self.begin, self.stop, self.piece = (x[order] for x in arrays)
         self.longest = int(self.ends.max(initial=0))
@@ -226,7 +231,7 @@ def predict(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "do
         def scores(fresh):
             return score_words(path, table, fresh).ravel(), np.full(len(fresh), len(langs))
 
-        table, cache = model.value, held_in_worker(f"words of model {name}", lambda: RaggedCache(150_000, float))
+        table, cache = model.value, held_in_worker(f"words of model {name}", lambda: RaggedCache(300_000, float))
         for batch in letting_go(batches):
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")

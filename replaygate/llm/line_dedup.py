@@ -306,8 +306,8 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those removed, those of them with no equal line before, and the digest of what is left.
 
-    By the definition of ORACLE: lines under MIN_CHARS characters stay."""
-    docs = drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    Repeats of non-blank lines go whatever their length; lines of MIN_CHARS characters and more are compared with one edit too."""
+    docs = drop_lines(documents(spark, sf_dir).select("doc_id", "text"), short_repeats=True)
     return docs.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__near").alias("n_near"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -317,13 +317,14 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no
   FROM documents WHERE text IS NOT NULL
 ), e AS (
-  SELECT *, length(line) AS size FROM l WHERE length(line) >= 24
+  SELECT *, length(line) AS size FROM l
+  WHERE length(line) >= 24 OR trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
 ), f AS (
   SELECT line, size, min({'d': doc_id, 'n': no}) AS first FROM e GROUP BY line, size
 ), near AS (
-  SELECT DISTINCT a.line FROM (SELECT *, unnest([size - 1, size, size + 1]) AS other FROM f) a
+  SELECT DISTINCT a.line FROM (SELECT *, unnest([size - 1, size, size + 1]) AS other FROM f WHERE size >= 24) a
   JOIN f b ON b.size = a.other AND b.first < a.first
-  WHERE levenshtein(a.line, b.line) <= 1
+  WHERE b.size >= 24 AND levenshtein(a.line, b.line) <= 1
 ), t AS (
   SELECT l.*, size IS NOT NULL AND near.line IS NOT NULL AND f.first = {'d': doc_id, 'n': no} AS only_near,
          size IS NOT NULL AND (near.line IS NOT NULL OR f.first <> {'d': doc_id, 'n': no}) AS gone

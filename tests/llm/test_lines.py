@@ -52,16 +52,18 @@ def test_lines_within_the_edits_share_a_key(edits):
             assert set(L.line_keys(short, edits)[0]) & set(sum(L.line_keys(long, edits), []))
 
 
-def brute(rows):
-    """{(id, text): (n_lines, n_removed, n_near, sha256)}; rows have distinct (id, text)."""
+def brute(rows, short=False):
+    """{(id, text): (n_lines, n_removed, n_near, sha256)}; rows have distinct (id, text).
+    `short` takes exact repeats of shorter non-blank lines too."""
     at = {}
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
-            if t is not None and len(line) >= L.MIN_CHARS:
+            if t is not None and (len(line) >= L.MIN_CHARS or (short and line.strip(" \t\v\f\r"))):
                 spot = (d is None, d or 0, xxhash.xxh64_intdigest(t.encode(), seed=42), k)
                 at.setdefault(line, []).append(spot)
     first = {line: min(spots) for line, spots in at.items()}
-    near = {a for a in first for b in first if first[b] < first[a] and abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1}
+    long = [line for line in first if len(line) >= L.MIN_CHARS]
+    near = {a for a in long for b in long if first[b] < first[a] and abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1}
     out = {}
     for d, t in rows:
         lines, left, removed, only = [] if t is None else t.split("\n"), [], 0, 0
@@ -83,13 +85,13 @@ def rows_of(rng):
     return rows + [(i + 10, "\n".join(rng.choices(lines, k=rng.randint(1, 9)) + ["tiny"] * rng.randint(0, 2))) for i in range(70)]
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_documents_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, short", [(32, False), (2, False), (32, True), (2, True)])
+def test_documents_equal_brute_force(spark, hot, short, monkeypatch):
     monkeypatch.setattr(L, "HOT", hot)
     rows = rows_of(random.Random(21))
     df = spark.createDataFrame([(d, t, "clash", 2) for d, t in rows], "doc_id long, text string, digest string, line int")
-    got = L.drop_lines(df).collect()
-    want = brute(rows)
+    got = L.drop_lines(df, short_repeats=short).collect()
+    want = brute(rows, short)
     assert len(got) == len(rows)
     by_id = {d: v for (d, _), v in want.items()}
     for r in got:

@@ -2,10 +2,13 @@
 
 A text's tokens are its words, words longer than TOKEN_CHARS cut into parts of
 that length or, with `fine`, into single characters: a passage inside a long run
-without white space then has the same tokens wherever it stands. Each run of GRAM tokens is hashed; of every WINDOW consecutive
-hashes the smallest is chosen, the rightmost among equal ones, and kept with its
-position. Two texts that share GRAM + WINDOW - 1 tokens in a row therefore share
-a fingerprint, and no shorter run than GRAM tokens ever matches.
+without white space then has the same tokens wherever it stands. Every run of
+GRAM tokens has a rolling hash, the cyclic polynomial of its tokens' hashes: one
+step turns the last hash by a bit, takes the token that leaves out and the one
+that enters in. Of every WINDOW consecutive hashes the smallest is chosen, the
+rightmost among equal ones, and kept with its position. Two texts that share
+GRAM + WINDOW - 1 tokens in a row therefore share a fingerprint, and no shorter
+run than GRAM tokens ever matches.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .words import documents
 GRAM, WINDOW, TOKEN_CHARS = 5, 8, 16
 #: Low bits of a choice hold its position, counted down so that the rightmost of equal hashes is the smallest.
 PLACE_BITS = 24
+#: Hashes rolled one from the other before the next is computed afresh; bounds the arrays that grow by one.
+STRETCH = 16
 #: Range buckets for each shuffle partition when documents are put in id order.
 BUCKETS_PER_PARTITION = 4
 _PLACES = (1 << PLACE_BITS) - 1
@@ -34,6 +39,30 @@ _PARTS = rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"
 _FINE = rf"(?<![^\x20\x09-\x0D]){_PARTS}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
+def turned(x: Column, bits: int) -> Column:
+    """x with its 64 bits rotated to the left."""
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
+
+
+def rolled(h: Column, gram: int = GRAM) -> Column:
+    """The cyclic-polynomial hash of each run of `gram` < 64 longs of the array h, which has at least one:
+    the exclusive or of its members, the j-th from its end turned by j bits."""
+    def afresh(at: Column) -> Column:
+        out = turned(F.get(h, at), gram - 1)
+        for j in range(1, gram):
+            out = out.bitwiseXOR(turned(F.get(h, at + j), gram - 1 - j))
+        return out
+
+    def stretch(at: Column) -> Column:
+        def step(done: Column, entering: Column) -> Column:
+            n = F.size(done)
+            last, leaving = F.get(done, n - 1), F.get(h, at + n - 1)
+            return F.array_append(done, turned(last, 1).bitwiseXOR(turned(leaving, gram)).bitwiseXOR(entering))
+        return F.aggregate(F.slice(h, at + gram + 1, F.lit(STRETCH - 1)), F.array(afresh(at)), step)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - gram, F.lit(STRETCH)), stretch))
+
+
 def choices(text: Column, gram: int = GRAM, window: int = WINDOW, fine: bool = False) -> Column:
     """Chosen grams in text order, each a long: hash bits above PLACE_BITS place bits.
 
@@ -49,7 +78,7 @@ def choices(text: Column, gram: int = GRAM, window: int = WINDOW, fine: bool = F
         return h.bitwiseAND(F.lit(~_PLACES)).bitwiseOR(F.lit(_PLACES) - F.pmod(i, F.lit(_PLACES + 1)))
 
     def grams(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: placed(F.xxhash64(*(F.get(h, i + k) for k in range(gram))), i))
+        runs = F.transform(rolled(h, gram), placed)
         whole = F.array(placed(F.xxhash64(h), F.lit(0)))
         return F.when(F.size(h) >= gram, runs).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from replaygate.llm import winnowing as N
 
@@ -28,11 +29,24 @@ def fold(values):
     return signed(seed)
 
 
+def turned(x, bits):
+    x &= (1 << 64) - 1
+    return (x << bits | x >> 64 - bits) & ((1 << 64) - 1)
+
+
+def afresh(values):
+    """Cyclic polynomial of a whole gram, without rolling."""
+    out = 0
+    for j, v in enumerate(reversed(values)):
+        out ^= turned(v, j)
+    return signed(out)
+
+
 def brute(text):
     """[(position, hash)] by a plain scan of every window."""
     tokens = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
     h = [xx(t) for t in tokens]
-    grams = [fold(h[i:i + 5]) >> 24 for i in range(len(h) - 4)] if len(h) >= 5 else [fold(h) >> 24] if h else []
+    grams = [afresh(h[i:i + 5]) >> 24 for i in range(len(h) - 4)] if len(h) >= 5 else [fold(h) >> 24] if h else []
     out = []
     for i in range(max(1, len(grams) - 7) if grams else 0):
         window = range(i, min(i + 8, len(grams)))
@@ -52,6 +66,15 @@ def texts():
     return ODD + [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(0, 90))) + rng.choice(["", "\n", " \t"]) for _ in range(60)]
 
 
+@pytest.mark.parametrize("gram", [1, 2, 5, 8])
+def test_rolled_hashes_equal_those_computed_afresh(spark, gram):
+    rng = random.Random(gram)
+    rows = [(i, [rng.choice([0, -1, 7, signed(rng.getrandbits(64))]) for _ in range(n)]) for i, n in enumerate([gram, gram + 1, gram + 14, gram + 15, gram + 16, gram + 17, 200])]
+    got = spark.createDataFrame(rows, "i int, h array<long>").select("h", N.rolled(F.col("h"), gram).alias("r")).collect()
+    for r in got:
+        assert r.r == [afresh(r.h[i:i + gram]) for i in range(len(r.h) - gram + 1)]
+
+
 def test_choices_equal_brute_force(spark, texts):
     for r, t in zip(N.fingerprint_documents(frame(spark, enumerate(texts))).collect(), texts):
         assert [(f.position, f.hash) for f in r.fingerprint] == brute(t)

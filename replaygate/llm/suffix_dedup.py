@@ -13,8 +13,10 @@ work is cut into groups that can be sorted apart:
 3. The suffixes of the other contexts, cut at SPAN bytes, are sorted deep-shallow:
    multikey quicksort to a shallow depth, eight bytes a step, dropping suffixes
    that are alone; then a blind trie for each group that still shares its prefix.
-   The contexts of an anchor held by very many are spread over chunks; what is
-   alone in its chunk meets the others by digest.
+   The contexts of an anchor held by very many are spread over chunks. Their
+   starts are taken in blocks by distance from the anchor: all strings of a block
+   hold its core, the bytes common to them. What is alone in its chunk meets the
+   others by digest only where another context has the same core.
 
 Texts that occur twice or more are repeated as a whole too, and take part once.
 """
@@ -39,6 +41,8 @@ WINDOW = SPAN - GRAM + 1
 SHALLOW = 64
 #: Contexts in a sort group on average, and of one anchor in a chunk at most about.
 GROUP_CONTEXTS, CHUNK_CONTEXTS = 4000, 2000
+#: Starts of a context, by distance from its anchor, that share a core of SPAN + 1 - CORE_STARTS bytes.
+CORE_STARTS = 16
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LEVELS = tuple(np.uint64(int(x) | 1) for x in mix(np.arange(7, 12, dtype=np.uint64)))
@@ -228,18 +232,62 @@ def _contexts(candidates: DataFrame) -> DataFrame:
     return candidates.select("t", "size", "text", "listed").mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", content binary")
 
 
+def cores(data: bytes, starts: int) -> list[tuple[int, int, int, bytes]]:
+    """(block, low, high, core) of the blocks of a context's starts: the starts low
+    to high are those whose distance to the anchor lies in the block, the core are
+    the bytes that every string of the block has, at the same place."""
+    order = gram_hashes(np.frombuffer(data, np.uint8, SPAN))
+    order = (order & ~_LOW) | (_LOW - np.arange(len(order), dtype=np.uint64))
+    at = int(_LOW - (order.min() & _LOW))  # the anchor of one start is that of all
+    out = []
+    for block in range((at - starts + 1) // CORE_STARTS, at // CORE_STARTS + 1):
+        near = at - block * CORE_STARTS
+        out.append((block, max(0, near - CORE_STARTS + 1), min(near, starts - 1), data[near : near - CORE_STARTS + 1 + SPAN]))
+    return out
+
+
+def _core_rows(contexts: DataFrame) -> DataFrame:
+    """(anchor, c1, c2, block, low, high, v1, v2): each context's blocks with their cores' digests."""
+    names = ["anchor", "c1", "c2", "block", "low", "high", "v1", "v2"]
+
+    def run(batches):
+        for batch in unburdened(batches):
+            for part in slices(batch, "content"):
+                rows = []
+                for *ids, starts, data in zip(*(part.column(n).to_pylist() for n in ("anchor", "c1", "c2", "starts", "content"))):
+                    for block, low, high, core in cores(data, starts):
+                        digest = xxhash.xxh3_128_digest(core)
+                        rows.append((*ids, block, low, high, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+
+    return contexts.select("anchor", "c1", "c2", "starts", "content").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _shared_cores(chunked: DataFrame) -> DataFrame:
+    """(anchor, c1, c2, open): the ranges of starts whose core another context of the anchor has."""
+    rows = stored(_core_rows(chunked), "cores")
+    core = ["anchor", "block", "v1", "v2"]
+    shared = stored(rows.groupBy(*core).agg(F.count("*").alias("n")).filter("n > 1").select(*core), "shared-cores")
+    return stored(rows.join(shared, core, "left_semi").groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("low", "high")).alias("open")), "open-starts")
+
+
 def _sorted_groups(contexts: DataFrame) -> DataFrame:
     """Sorts the suffixes of each `part`. Rows of kind 0 are runs of repeated
-    starts in a context; of kind 1, in chunked anchors, strings that are alone in
-    their chunk (start >= 0) or that stand for a class (start -1), with a digest."""
+    starts in a context; of kind 1, for open starts of chunked anchors, strings that are alone
+    in their chunk (start >= 0) or that stand for a class (start -1), with a digest."""
     def run(table: pa.Table) -> pa.Table:
         contents = table.column("content").to_pylist()
         count = table.column("starts").to_numpy()
-        known, chunks = table.column("repeated").to_numpy(), table.column("chunks").to_numpy()
+        known = table.column("repeated").to_numpy()
         ids = [table.column(c).to_numpy() for c in ("anchor", "c1", "c2")]
         base = np.cumsum([0, *map(len, contents)])[:-1]
         owner = np.repeat(np.arange(len(contents)), count)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.cumsum(count) - count
+        inner = np.arange(len(owner)) - np.repeat(begin, count)
+        meets = np.zeros(len(owner), bool)
+        for at, ranges in zip(begin.tolist(), table.column("open").to_pylist()):
+            for r in ranges or ():
+                meets[at + r["low"] : at + r["high"] + 1] = True
         data = b"".join(contents)
         repeated, head = repeated_suffixes(data, base[owner] + inner)
         out = [[] for _ in range(8)]
@@ -253,7 +301,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]]))
         zero = np.zeros(len(edge), np.int64)
         add(owner[edge], inner[edge], stop - edge + 1, zero, zero, zero)
-        meet = np.flatnonzero((chunks[owner] > 1) & (head == np.arange(len(owner))))
+        meet = np.flatnonzero(meets & (head == np.arange(len(owner))))
         digests = [xxhash.xxh3_128_intdigest(data[p : p + SPAN]) for p in (base[owner[meet]] + inner[meet]).tolist()]
         alone = ~repeated[meet] & ~known[owner[meet]]
         v1 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
@@ -283,7 +331,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = kinds.groupBy("anchor").agg(F.count("*").alias("held"), F.min("repeated").alias("all_repeated")).filter("held > 1 and not all_repeated").select("anchor", "held")
     unsorted = kinds.join(stored(held, "unsorted-anchors"), "anchor")
     unsorted = unsorted.withColumn("chunks", F.ceil(F.col("held") / CHUNK_CONTEXTS)).withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")))
+    chunked = unsorted.filter("chunks > 1")
+    chunked = chunked.join(_shared_cores(chunked), ["anchor", "c1", "c2"], "left")
+    alone = unsorted.filter("chunks = 1").withColumn("open", F.lit(None).cast(chunked.schema["open"].dataType))
     groups = max(1, -(-unsorted.count() // GROUP_CONTEXTS))
+    unsorted = alone.unionByName(chunked)
     found = stored(_sorted_groups(unsorted.withColumn("part", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(groups)))), "sorted")
 
     runs = found.filter("kind = 0").select("anchor", "c1", "c2", "start", "length")

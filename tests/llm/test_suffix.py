@@ -59,6 +59,30 @@ def test_planted_repeats_equal_brute_force(spark, sizes, monkeypatch):
     check(spark, [(i if i % 9 else None, t) for i, t in enumerate(planted())])
 
 
+def test_strings_of_a_block_hold_its_core():
+    rng = random.Random(12)
+    data = bytes(rng.choices(range(256), k=4000))
+    hashes, first, count = S.anchors(np.frombuffer(data, np.uint8))
+    for f, n in zip(first.tolist(), count.tolist()):
+        content, seen = data[f:f + n - 1 + 200], []
+        for block, low, high, core in S.cores(content, n):
+            assert len(core) == 201 - S.CORE_STARTS and all(content[s:s + 200].count(core) == 1 for s in range(low, high + 1))
+            seen += range(low, high + 1)
+        assert sorted(seen) == list(range(n))
+
+
+def test_common_passage_in_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_CONTEXTS", 40)
+    monkeypatch.setattr(S, "CHUNK_CONTEXTS", 4)
+    rng = random.Random(13)
+
+    def text(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+    passage, edges = text(330), [text(n) for n in (1, 7, 16, 40)]
+    rows = [(i, text(250) + rng.choice(["", *edges]) + passage + rng.choice(["", *edges]) + text(250)) for i in range(60)]
+    check(spark, rows)
+
+
 def test_table_equals_brute_force(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
 

@@ -257,6 +257,22 @@ def test_wrong_state_store_is_refused(spark):
         spark.conf.set(key, before)
 
 
+def test_admission_streams_run_in_a_session_that_names_no_state_store(spark, tmp_path):
+    from replaygate.plans.queries import QUERIES
+    rows = [(i, at(i * 200_000_000_000), i % 3, ("click", "view")[i % 2], float(i), f'{{"k": {i % 5}}}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get(SA.PROVIDER)
+    try:
+        spark.conf.unset(SA.PROVIDER)
+        got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("stream_admission", "stream_live_limits", "stream_from_stored_buckets")}
+        assert spark.conf.get(SA.PROVIDER, None) is None
+    finally:
+        spark.conf.set(SA.PROVIDER, before)
+    assert sorted(got["stream_admission"]) == sorted(QUERIES["token_bucket"](spark, str(tmp_path)).collect())
+    assert sorted(r.event_id for r in got["stream_live_limits"]) == list(range(60))
+    assert sorted(r.event_id for r in got["stream_from_stored_buckets"]) == list(range(30, 60))
+
+
 def test_one_bad_upload_rejects_itself_only(spark):
     ev = [(u, 10 * u + i, "c", "t", None if (u, i) == (2, 1) else "e", i) for u in (1, 2, 3, 4) for i in range(3)]
     events = spark.createDataFrame(ev, "upload_id long, event_id long, client_id string, event_type string, entity_id string, us long")

@@ -39,9 +39,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     langs, prob = language_id.train(learn)
     if not langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    floors = language_id.least_likely(learn, langs, prob)
     aside, rest, back = _aside(docs, ("doc_id", "text"))
-    judged = language_id.predict(aside, langs, prob, keep=("text", *rest))
+    judged = stored(language_id.predict(aside, langs, prob, keep=("text", *rest)), "judged")  # read for the floors and for the rows that stay
+    floors = language_id.least_likely(judged.filter(~language_id.held_out()), lang_col=f"__{docs.columns.index('lang')}")
     floor = F.lit(float("-inf"))
     for lang, least in sorted(floors.items()):
         floor = F.when(F.col("lang_pred") == lang, F.lit(least)).otherwise(floor)

@@ -262,8 +262,6 @@ def predict(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "do
     return out
 
 
-#: Rows of each language, at most, from which the least likely text of it is learned.
-FLOOR_ROWS = 1000
 #: A text of fewer letters is never too unlikely.
 FLOOR_LETTERS = 20
 FLOOR_MARGIN = 1.25
@@ -273,18 +271,14 @@ def letters_of(text_col: str = "text"):
     return F.char_length(F.regexp_replace(F.col(text_col), r"[^\p{L}]", ""))
 
 
-def least_likely(df: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+def least_likely(judged: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
     """For each language the least log-likelihood per character that a text in it
-    should have: FLOOR_MARGIN times the least of a second bounded sample of labelled
-    rows of `df`, where a text without that many letters or taken for another language counts not."""
-    if not langs:
-        return {}
-    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = stored(sample_ids(labelled, id_col, lang_col, FLOOR_ROWS, seed=1).withColumnRenamed("id", "sampled"), "floor-ids")
-    rows = labelled.join(ids, F.col(id_col) == F.col("sampled"), "left_semi").filter(letters_of(text_col) >= FLOOR_LETTERS)
-    judged = predict(rows.select(id_col, text_col, F.col(lang_col).cast("string").alias("told")), langs, prob, id_col, text_col, keep=("told",))
-    least = judged.filter(F.col("told") == F.col("lang_pred")).groupBy("told").agg(F.min("per_char").alias("least")).collect()  # a row a language
-    return {r["told"]: FLOOR_MARGIN * r["least"] for r in least}
+    should have: FLOOR_MARGIN times the least of all labelled rows of `judged` (rows of
+    `predict` with their label), where a text without that many letters or taken for
+    another language counts not."""
+    told = judged.filter((F.col(lang_col).cast("string") == F.col("lang_pred")) & (letters_of(text_col) >= FLOOR_LETTERS))
+    least = told.groupBy("lang_pred").agg(F.min("per_char").alias("least")).collect()  # a row a language
+    return {r["lang_pred"]: FLOOR_MARGIN * r["least"] for r in least}
 
 
 def held_out(id_col: str = "doc_id"):

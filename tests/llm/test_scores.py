@@ -29,6 +29,15 @@ def brute_counts(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside))
 
 
+def test_floor_is_the_least_of_all_labelled_rows(spark):
+    """The one unlikely text among more rows of a language than any sample held counts."""
+    rows = [(i, "a text with well over twenty letters", "en", "en", -2.0) for i in range(1500)]
+    rows += [(2000, "another text with over twenty letters", "en", "en", -6.0), (2001, "too few letters", "en", "en", -9.0),
+             (2002, "a text taken for another language", "en", "de", -8.0), (2003, "a text without any label at all", None, "en", -8.0)]
+    judged = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, per_char double")
+    assert language_id.least_likely(judged) == {"en": language_id.FLOOR_MARGIN * -6.0}
+
+
 def test_counts_equal_brute_force(spark):
     texts = ODD + [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").limit(150).collect()] + ["same text here"] * 3
     got = quality_rules.apply_rules(frame(spark, texts)).collect()

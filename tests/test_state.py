@@ -257,6 +257,33 @@ def test_wrong_state_store_is_refused(spark):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 50])
+def test_maps_from_counts_equal_maps_from_events(spark, limit):
+    rng = random.Random(limit)
+    rows = [(f"c{rng.randrange(3)}", rng.choice([rng.randrange(-10**8, 10**8), 5, 31_000_000]), i, limit) for i in range(300)]
+    slotted = bucket._slotted(spark.createDataFrame(rows, "_k string, _us long, event_id long, _lim int"), "_us", True)
+    want = bucket._maps(bucket._chunked(slotted, "_us", ("event_id",), True), "_us")
+    got = bucket._steady_maps(slotted, "_us")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_experiment_counts_each_key_once_and_reads_the_fold_once(spark):
+    """Identities that join to one key ('a:b', 'c' and 'a', 'b:c') are one key; written and lazy events agree."""
+    rows = [(i, at(i * 10**9), i % 5, ("click", "view")[i % 2], float(i), f'{{"k": {i % 4}}}') for i in range(80)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    e = P.mode_experiment(table)
+    lazy = e.decided.select("event_id", "copy_no", "experiment_mode", "admitted", "tokens", "dedup_key").collect()
+    written = e.events.select("event_id", "copy_no", "experiment_mode", "admitted", "tokens", "dedup_key").collect()
+    assert sorted(map(str, lazy)) == sorted(map(str, written)) and len(lazy) == 4 * (16 * 20 + 16 * 3 + 48)
+    want = e.events.filter("admitted").groupBy(F.col("source_topic").alias("use_case_topic"), "client_id").agg(
+        F.count("*").alias("raw_events"), F.count_distinct("dedup_key").alias("unique_events"))
+    assert sorted(e.metrics.select(*want.columns).collect()) == sorted(want.collect())
+    ev = spark.createDataFrame([("none", "a", "b:c", "d", True), ("none", "a:b", "c", "d", True), ("none", "a", "b", "c:d", False)],
+                               "experiment_mode string, client_id string, event_type string, entity_id string, admitted boolean")
+    odd = P.ModeExperiment(ev.limit(0), ev.withColumn("client_id", F.lit("a")), e.baseline)
+    assert sorted((r._n, r._a) for r in odd.counts.collect()) == [(1, 1), (2, 1)]
+
+
 def test_admission_streams_run_in_a_session_that_names_no_state_store(spark, tmp_path):
     from replaygate.plans.queries import QUERIES
     rows = [(i, at(i * 200_000_000_000), i % 3, ("click", "view")[i % 2], float(i), f'{{"k": {i % 5}}}') for i in range(60)]

@@ -284,6 +284,13 @@ def test_experiment_counts_each_key_once_and_reads_the_fold_once(spark):
     assert sorted((r._n, r._a) for r in odd.counts.collect()) == [(1, 1), (2, 1)]
 
 
+def test_the_bucket_after_twin_rows_is_that_after_both(spark):
+    rows = [("radar", "c", 5, 1, 0, t, 60) for t in (58.0, 59.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "experiment_mode string, client_id string, us long, event_id long, copy_no int, tokens double, limit_per_minute int").coalesce(1)
+        assert P.bucket_state(df).first().tokens == 58.0
+
+
 def test_admission_streams_run_in_a_session_that_names_no_state_store(spark, tmp_path):
     from replaygate.plans.queries import QUERIES
     rows = [(i, at(i * 200_000_000_000), i % 3, ("click", "view")[i % 2], float(i), f'{{"k": {i % 5}}}') for i in range(60)]

@@ -113,3 +113,20 @@ def test_components_of_paths_and_stars(spark):
     links = list(zip(path, path[1:])) + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(200)) and all(got[i] == 1000 for i in range(1000, 1200)) and 5000 not in got
+
+
+def test_links_shrink_from_round_to_round(spark, monkeypatch):
+    from replaygate.llm import components as C
+    sizes, write = {}, words.stored
+
+    def noted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(C, "stored", noted)
+    rng = random.Random(4)
+    links = [(rng.randrange(100), rng.randrange(100)) for _ in range(2000)] + [(i, i + 1) for i in range(200, 230)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), "x").collect()}
+    assert {got[i] for i in range(100)} == {0} and {got[i] for i in range(200, 231)} == {200}
+    later = [n for k, n in sizes.items() if re.fullmatch(r"x-l\d+", k)]
+    assert later[-1] == 0 and sum(later) < sizes["x-links"] / 10

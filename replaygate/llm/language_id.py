@@ -46,6 +46,20 @@ def pieces_of(path: str) -> tuple[dict[str, int], frozenset[str]]:
     return pieces, frozenset(p[:k] for p in pieces for k in range(1, len(p)))
 
 
+@lru_cache(maxsize=2)
+def trie_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, target, piece): the pieces as a trie of numbered nodes, the root is 0. A
+    step is its node and next character in one number, in rising order; piece is 0 for a
+    node that is only a prefix."""
+    pieces, prefixes = pieces_of(path)
+    node = {"": 0} | {s: i + 1 for i, s in enumerate(sorted(prefixes | pieces.keys()))}
+    names = [s for s in node if s]
+    steps = np.array([node[s[:-1]] << 21 | ord(s[-1]) for s in names], np.int64)
+    order = np.argsort(steps)
+    piece = np.array([0, *(pieces.get(s, 0) for s in names)], np.int64)
+    return steps[order], np.array([node[s] for s in names], np.int64)[order], piece
+
+
 def chunks_of(words: list[str]) -> tuple[list[str], np.ndarray]:
     """(chunks, owner): each word with its start mark, cut after every CHUNK characters."""
     chunks, owner = [], []
@@ -60,28 +74,29 @@ class Lattice:
     """All pieces in a list of chunks: arcs from one character position to a later one."""
 
     def __init__(self, path: str, chunks: list[str]):
-        pieces, prefixes = pieces_of(path)
-        get = pieces.get
-        arcs: list[int] = []  # an arc is one number: chunk, begin and stop (12 bits each), piece (20 bits)
-        add = arcs.append
-        for c, s in enumerate(chunks):
-            n = len(s)
-            for i in range(n):
-                base = c << 44 | i << 32
-                for j in range(i + 1, n + 1):
-                    sub = s[i:j]
-                    p = get(sub)
-                    if p is not None:
-                        add(base | j << 20 | p)
-                    elif j == i + 1:
-                        add(base | j << 20)
-                    if sub not in prefixes:
-                        break
+        steps, target, piece = trie_of(path)
         self.ends = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        packed = np.array(arcs, np.int64)
-        arrays = packed >> 44, packed >> 32 & 4095, packed >> 20 & 4095, packed & (1 << 20) - 1
-        order = np.argsort(arrays[2], kind="stable")
-        self.chunk, self.begin, self.stop, self.piece = (x[order] for x in arrays)
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(self.ends) - self.ends
+        chunk = np.repeat(np.arange(len(chunks)), self.ends)
+        begin = np.arange(len(chars)) - first[chunk]
+        room = self.ends[chunk] - begin
+        # all positions walk down the trie at once; an arc is one number: stop (12 bits), chunk (20), begin (12), piece (20)
+        at, node, length = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        arcs = []
+        while len(at):
+            step = node << 21 | chars[at + length]
+            length += 1
+            found = np.minimum(np.searchsorted(steps, step), len(steps) - 1)
+            known = steps[found] == step
+            node = np.where(known, target[found], 0)
+            number = piece[node]  # the root's is 0
+            ends = (number > 0) | (length == 1)
+            arcs.append(begin[at[ends]] + length << 52 | chunk[at[ends]] << 32 | begin[at[ends]] << 20 | number[ends])
+            on = known & (room[at] > length)
+            at, node = at[on], node[on]
+        packed = np.sort(np.concatenate([np.zeros(0, np.int64), *arcs]))
+        self.chunk, self.begin, self.stop, self.piece = packed >> 32 & (1 << 20) - 1, packed >> 20 & 4095, packed >> 52, packed & (1 << 20) - 1
         self.longest = int(self.ends.max(initial=0))
         self.cuts = np.searchsorted(self.stop, np.arange(self.longest + 2))
 

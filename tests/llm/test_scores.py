@@ -148,3 +148,35 @@ def test_a_very_long_word_takes_linear_time():
     prob = np.full((len(language_id.pieces_of(path)[0]) + 1, 4), 1e-4)
     start = time.time()
     assert np.isfinite(language_id.score_words(path, prob, ["etaoinshrdlu" * 9000])).all() and time.time() - start < 10
+
+
+def test_lattice_has_the_arcs_of_a_walk_through_the_vocabulary():
+    path = language_id._path()
+    pieces, prefixes = language_id.pieces_of(path)
+    words = ["the", "tr\u00e9s", "\u4e2d\u6587\U0001f600x", "internationalization", "a" * 31, "\uffff", "Qzx"]
+    chunks, _ = language_id.chunks_of(words)
+    want = []
+    for c, s in enumerate(chunks):
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if s[i:j] in pieces or j == i + 1:
+                    want.append((j, c, i, pieces.get(s[i:j], 0)))
+                if s[i:j] not in prefixes:
+                    break
+    lattice = language_id.Lattice(path, chunks)
+    assert list(zip(*(x.tolist() for x in (lattice.stop, lattice.chunk, lattice.begin, lattice.piece)))) == sorted(want)
+    assert len(language_id.Lattice(path, []).stop) == 0
+
+
+def test_lattice_walks_all_positions_at_once(monkeypatch):
+    path, asked = language_id._path(), []
+    language_id.Lattice(path, ["\u2581warm"])
+
+    class Watched(dict):
+        def get(self, *key):
+            asked.append(key)
+            return super().get(*key)
+    pieces, prefixes = language_id.pieces_of(path)
+    monkeypatch.setattr(language_id, "pieces_of", lambda _: (Watched(pieces), prefixes))
+    language_id.Lattice(path, ["\u2581" + "word" * 7] * 1000)
+    assert not asked  # no look-up per substring

@@ -321,3 +321,17 @@ def test_one_bad_upload_rejects_itself_only(spark):
     assert (info.mode, info.strategy, info.tokens_remaining, info.limit_per_minute, info.bucket_capacity) == ("radar", "radar_adaptive_token_bucket", 0.5, 50, 50)
     assert (got[2].accepted, got[2].invalid_events, got[2].rejections) == (0, 1, []) and (got[5].total_events, got[5].accepted) == (0, 0)
     assert decided.count() == 3 and os.path.basename(got[1].topic) == "usecase_one"
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rows_with_copies_decide_as_their_copies_one_by_one(spark, seed):
+    """Rows at one time, twins in time and order, and a client without a name among them."""
+    rng, rows = random.Random(seed), []
+    for e, c, t, limit in random_events(seed):
+        if c is None or int(c[1:]) % 3:
+            rows += [(e // 2 if rng.random() < 0.3 else e, c, t, limit, 20 if c in (None, "c1", "c7") else 3 if c == "c2" else 1)] * (2 if rng.random() < 0.1 else 1)
+    df = spark.createDataFrame(rows, "event_id long, client_id string, us long, _lim int, copies int").withColumn("_us", F.col("us"))
+    one = df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    want = bucket.fold_serially(one, ["client_id"], "_us", ("event_id", "copy_no"))
+    got = bucket.copied(bucket.fold_copied(df, ["client_id"], "_us", ("event_id",), "copies"), "copies").select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0

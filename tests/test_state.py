@@ -335,3 +335,6 @@ def test_rows_with_copies_decide_as_their_copies_one_by_one(spark, seed):
     want = bucket.fold_serially(one, ["client_id"], "_us", ("event_id", "copy_no"))
     got = bucket.copied(bucket.fold_copied(df, ["client_id"], "_us", ("event_id",), "copies"), "copies").select(*want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    per_client = lambda rows: {r.client_id: r.n for r in rows.collect()}
+    folded = bucket.fold_copied(df, ["client_id"], "_us", ("event_id",), "copies")
+    assert per_client(folded.groupBy("client_id").agg(F.sum(bucket.copies_admitted("copies")).alias("n"))) == per_client(want.groupBy("client_id").agg(F.count_if("admitted").alias("n")))

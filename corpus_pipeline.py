@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `documents`, with n_chars kept true to the text. `run`
 writes each stage's rows as Parquet below the shared folder and hands the reread
-table to the next stage. An empty table passes through every stage.
+table to the next stage. An empty table passes through every stage. A stage leaves
+only those tables in the shared folder that its result reads, and `run` deletes a
+stage's result when the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replaygate.llm import hyperminhash, language_id, line_dedup, packing, suffix_dedup
-from replaygate.llm.words import documents, stored
+from replaygate.llm.words import documents, release, releasing, stored
 
 #: A document whose best language has a smaller share than this is rejected.
 LEAST_SCORE = 0.5
@@ -30,6 +32,7 @@ def _aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, tuple[str,
     return docs.withColumnsRenamed(rest), tuple(rest.values()), [F.col(rest.get(c, c)).alias(c) for c in docs.columns]
 
 
+@releasing
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (operator 9): learned from the labelled documents that are not
     held out. Documents without a letter go, those without a clear language, and
@@ -49,6 +52,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~unlikely).select(*back)
 
 
+@releasing
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (operator 10): lines that stand earlier go, exact repeats whatever
     their length; a document that loses its last word goes with them."""
@@ -56,6 +60,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _with_length(left.filter((F.col("__removed") == 0) | F.col("text").rlike(_HAS_WORD)), docs.columns)
 
 
+@releasing
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup (operator 6): of each group one row stays, that with the
     smallest id (rows without an id come last) and of those the first stored row;
@@ -65,6 +70,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return numbered.join(judged.filter("not kept").select("__row"), "__row", "left_anti").select(*docs.columns)
 
 
+@releasing
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup (operator 8): bytes of passages that repeat go, and what
     is left of a character cut in two; so does a document that loses its last word."""
@@ -74,6 +80,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _with_length(left.select(*back), docs.columns)
 
 
+@releasing
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing (operator 3): the pieces of the remaining documents and their places in sequences."""
     return packing.pack_documents(docs)
@@ -91,8 +98,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@releasing
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        left = stage(spark, docs, sf_dir)
+        written = stored(left, f"pipeline-{name.replace(' ', '-')}")
+        release(left, docs)
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

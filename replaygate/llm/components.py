@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import stored
+from .words import releasing, stored
 
 
+@releasing
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) for every node in `links` (a long, b long): label is the
     smallest node reachable.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .words import documents, slices, split_words, stored, unburdened
+from .words import documents, release, releasing, slices, split_words, stored, unburdened
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -194,6 +194,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch", "a_n", "b_n").mapInArrow(run, "a long, b long")
 
 
+@releasing
 def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key_col: str, text_col: str, name: str) -> DataFrame:
     """(node, shingles) of the given nodes; only the texts of those classes are read again."""
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "first_key", "digest"), f"{name}-wanted")
@@ -210,6 +211,7 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key_col: str,
     return stored(sets.dropDuplicates(["node"]).select("node", "shingles"), f"{name}-sets")
 
 
+@releasing
 def _verify(pairs: DataFrame, classes: DataFrame, df: DataFrame, key_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = stored(pairs, "star-pairs")
@@ -304,6 +306,7 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
     return _in_block_pairs(dealt, "family", F.col("blocks")).applyInArrow(run, "a long, b long")
 
 
+@releasing
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT, row_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of `df`.
 
@@ -328,20 +331,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = _bands(classes)
     heads = stored(bands.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
     in_band = stored(bands.join(heads, "key"), "in-band")
+    release(heads)
     # first each node against the head of its fullest band, then against the heads it is still apart from
     stars = in_band.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     stars = stored(stars, "stars")  # a head that meets a node in many bands meets it once
     fullest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = stored(_verify(_likely(fullest, classes, percent), classes, df, key_col, text_col, percent), "first-links")
+    verified = _verify(_likely(fullest, classes, percent), classes, df, key_col, text_col, percent)
+    links = stored(verified, "first-links")
+    release(verified)
     labels = components(links, "first-components")
     apart = stars.join(labels.toDF("a", "a_label"), "a", "left").join(labels.toDF("b", "b_label"), "b", "left")
     apart = apart.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    links = stored(links.union(_verify(_likely(apart, classes, percent), classes, df, key_col, text_col, percent)), "links")
+    verified = _verify(_likely(apart, classes, percent), classes, df, key_col, text_col, percent)
+    links, first = stored(links.union(verified), "links"), links
+    release(verified, first, labels, stars)
     labels = components(links)
 
     # bands whose members other than the head still lie in several groups
     grouped = in_band.filter("n > 2 and node <> head").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     grouped = stored(grouped, "grouped")
+    release(in_band)
     mixed = stored(grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "mixed")
     members = grouped.join(mixed, "key").join(classes.select("node", "sketch", "n_shingles"), "node")
     joins = stored(_likely_joins(members, percent), "likely-joins")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, slices, stored, unburdened
+from .words import documents, release, releasing, slices, stored, unburdened
 
 MAX_EDITS = 1
 MIN_CHARS = 24
@@ -216,6 +216,7 @@ def variant_hashes(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(part).view(np.int64), np.array(whole).view(np.int64)
 
 
+@releasing
 def _hot_links(hot: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b) links among the lines (line, content) of hot keys."""
     def run(batches):
@@ -247,6 +248,7 @@ def _hot_links(hot: DataFrame, firsts: DataFrame) -> DataFrame:
     return swapped.union(dropped).filter("a <> b").distinct()
 
 
+@releasing
 def decide_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """(id, text_hash, removed array<int>, n_near) for each document that loses lines.
 
@@ -265,25 +267,31 @@ def decide_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("entered").cast("int")).alias("entered")).filter("n > 1 and entered = 1").select("key", "n")
     shared = stored(shared, "shared-keys")
     members = stored(keys.join(shared, "key"), "key-members")
+    release(shared)
     cold = members.filter(F.col("n") <= HOT)
     pairs = (cold.filter("entered").select("key", F.col("line").alias("x")).join(cold.select("key", F.col("line").alias("y")), "key").filter("x <> y")
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     pairs = stored(pairs, "line-pairs")
     hot = stored(members.filter(F.col("n") > HOT).select("line").distinct(), "hot-lines")
+    release(members)
     needed = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).union(hot).distinct()
     wanted = stored(distinct.select("line", "digest").join(needed, "line", "left_semi"), "wanted-lines")
     texts = _texts(df, id_col, text_col, wanted)
-    links = stored(_verified(pairs, texts).union(_hot_links(texts.join(hot, "line", "left_semi"), firsts)), "line-links")
+    hot_links = _hot_links(texts.join(hot, "line", "left_semi"), firsts)
+    links = stored(_verified(pairs, texts).union(hot_links), "line-links")
+    release(hot_links, pairs, texts, wanted, hot)
 
     both = links.union(links.select("b", "a")).toDF("line", "other")
     earliest = both.join(firsts.select(F.col("line").alias("other"), "first"), "other").groupBy("line").agg(F.min("first").alias("before"))
     judged = distinct.join(earliest, "line", "left").select("digest", "first", "n", F.coalesce(F.col("before") < F.col("first"), F.lit(False)).alias("near"))
     judged = stored(judged.filter("n > 1 or near"), "judged-lines")
+    release(links, distinct)
     gone = lines.drop("keys").withColumn("here", place).join(judged, "digest").filter(F.col("near") | (F.col("here") != F.col("first")))
     gone = gone.withColumn("only_near", F.col("near") & (F.col("here") == F.col("first")))
     return gone.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("removed"), F.count_distinct(F.when(F.col("only_near"), F.col("line_no"))).alias("n_near"))
 
 
+@releasing
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """`df` with the text's repeated lines left out, and n_lines, n_removed, n_near
     in columns named __lines, __removed and __near.

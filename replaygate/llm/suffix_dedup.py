@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, slices, stored, unburdened
+from .words import documents, release, releasing, slices, stored, unburdened
 
 SPAN = 200
 GRAM = 32
@@ -263,6 +263,7 @@ def _core_rows(contexts: DataFrame) -> DataFrame:
     return contexts.select("anchor", "c1", "c2", "starts", "content").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+@releasing
 def _shared_cores(chunked: DataFrame) -> DataFrame:
     """(anchor, c1, c2, open): the ranges of starts whose core another context of the anchor has."""
     rows = stored(_core_rows(chunked), "cores")
@@ -312,6 +313,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
     return contexts.groupBy("part").applyInArrow(run, "anchor long, c1 long, c2 long, start long, length long, kind long, v1 long, v2 long")
 
 
+@releasing
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(t, size, spans array<struct<a, b>>): byte ranges to remove, which may
     overlap, for each distinct text that has any."""
@@ -319,15 +321,21 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(_anchor_rows(texts), "anchors")
     copies = rows.groupBy("t", "size").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes"))
     distinct = stored(copies, "distinct-texts")
+    release(rows)
     each = distinct.select("t", "size", F.posexplode("hashes").alias("k", "anchor"))
-    counted = each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    listed = each.join(stored(counted, "shared-anchors"), "anchor").groupBy("t", "size").agg(F.collect_list("k").alias("listed"))
+    counted = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
+    listed = each.join(counted, "anchor").groupBy("t", "size").agg(F.collect_list("k").alias("listed"))
     listed = stored(listed, "listed")
+    copied = stored(distinct.filter("n > 1").select("t", "size"), "copied-texts")
+    release(distinct, counted)
 
     joined = texts.select("id", "text", "t", "size").join(listed, ["t", "size"])
     contexts = stored(_contexts(joined), "contexts")
+    release(listed)
     kinds = contexts.groupBy("anchor", "c1", "c2").agg(F.min("occurrence").alias("low"), F.max("occurrence").alias("high"), F.first("starts").alias("starts"), F.first("content").alias("content"))
     kinds = stored(kinds.withColumn("repeated", F.col("low") < F.col("high")).drop("low", "high"), "kinds")
+    places = stored(contexts.select("anchor", "c1", "c2", "t", "size", "first"), "places")
+    release(contexts)
     held = kinds.groupBy("anchor").agg(F.count("*").alias("held"), F.min("repeated").alias("all_repeated")).filter("held > 1 and not all_repeated").select("anchor", "held")
     unsorted = kinds.join(stored(held, "unsorted-anchors"), "anchor")
     unsorted = unsorted.withColumn("chunks", F.ceil(F.col("held") / CHUNK_CONTEXTS)).withColumn("chunk", F.pmod(F.xxhash64("c1", "c2"), F.col("chunks")))
@@ -344,10 +352,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs.union(open_.filter("start >= 0").join(met, ["v1", "v2"], "left_semi").select("anchor", "c1", "c2", "start", "length"))
     whole = kinds.filter("repeated").select("anchor", "c1", "c2", F.lit(0).cast("long").alias("start"), F.col("starts").alias("length"))
     runs = stored(whole.union(runs), "runs")
-    spans = contexts.select("anchor", "c1", "c2", "t", "size", "first").join(runs, ["anchor", "c1", "c2"])
+    release(kinds, found)
+    spans = places.join(runs, ["anchor", "c1", "c2"])
     a = F.col("first") + F.col("start")
     spans = spans.select("t", "size", F.struct(a.alias("a"), (a + F.col("length") - 1 + SPAN).alias("b")).alias("span"))
-    all_ = distinct.filter("n > 1").select("t", "size", F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")).alias("span"))
+    all_ = copied.select("t", "size", F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")).alias("span"))
     return stored(spans.union(all_).groupBy("t", "size").agg(F.collect_set("span").alias("spans")), "spans")
 
 

@@ -1,6 +1,8 @@
 """The pipeline, stage by stage, against the brute-force versions of its operators."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,8 @@ import test_lines
 import test_near
 import test_suffix
 from replaygate.llm import line_dedup
-from replaygate.llm.words import stored
+from replaygate.llm.words import release, releasing, stored
+from replaygate.session import checkpoint_root
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, spans string"
 WORDS = {"en": "the of and to in that is was for with they this have from are".split(), "de": "der die und das ist nicht ein mit auf für sich dem den von wird".split()}
@@ -149,3 +152,71 @@ def test_near_stage_decides_by_row(spark):
     assert len(group) == 1
     want = [(1, a), (7, b), (8, c), (8, d), *group, (None, "alone of its kind"), (None, None), (None, " "), (9, None), (9, None)]
     assert got == sorted(want, key=str)
+
+
+def folders(spark):
+    root = checkpoint_root(spark).removeprefix("file://")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def read_by(df):
+    return {f.split("/")[-2] for f in df.inputFiles()}
+
+
+def test_a_stage_leaves_only_tables_that_its_result_reads(spark):
+    docs = spark.createDataFrame(table(), COLUMNS)
+    for name, stage in P.STAGES:
+        before = folders(spark)
+        out = stage(spark, docs, "")
+        left = folders(spark) - before
+        assert left and left == read_by(out) - read_by(docs), name
+        docs = stored(out, "stage")
+
+
+def test_run_leaves_only_tables_that_its_result_reads(spark, tmp_path):
+    spark.createDataFrame(table(), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    before = folders(spark)
+    out = P.run(spark, str(tmp_path))
+    assert folders(spark) - before == read_by(out) and out.count() > 0
+    assert os.path.isdir(f"{tmp_path}/documents.parquet")
+
+
+def test_release_deletes_only_what_the_function_stored(spark):
+    given = stored(spark.range(5), "given")
+
+    @releasing
+    def inner():
+        return stored(spark.range(3), "inner")
+
+    @releasing
+    def outer(df):
+        a, b, c = stored(df, "a"), stored(df, "b"), inner()
+        release(a, df)
+        with pytest.raises(ValueError):
+            fails()
+        return b.join(c, "id")
+
+    @releasing
+    def fails():
+        stored(spark.range(2), "lost")
+        raise ValueError
+
+    before = folders(spark)
+    out = outer(given)
+    assert {x.split("-")[0] for x in folders(spark) - before} == {"b", "inner", "lost"}
+    assert given.count() == 5 and out.count() == 3
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def shuffle_files():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in files if "/shuffle_" in f}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffle_files(), spark.conf.get(setting, None)
+    got = stored(spark.range(1000).repartition(3).groupBy("id").count(), "counts")
+    for _ in range(40):
+        if not shuffle_files() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffle_files() - before and got.count() == 1000
+    assert spark.conf.get(setting, None) == kept

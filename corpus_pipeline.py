@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replaygate.llm import hyperminhash, language_id, line_dedup, packing, suffix_dedup
-from replaygate.llm.words import documents, release, releasing, stored
+from replaygate.llm.words import documents, numbered, release, releasing, stored
 
 #: A document whose best language has a smaller share than this is rejected.
 LEAST_SCORE = 0.5
@@ -42,14 +42,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     langs, prob = language_id.train(learn)
     if not langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    aside, rest, back = _aside(docs, ("doc_id", "text"))
-    judged = stored(language_id.predict(aside, langs, prob, keep=("text", *rest)), "judged")  # read for the floors and for the rows that stay
-    floors = language_id.least_likely(judged.filter(~language_id.held_out()), lang_col=f"__{docs.columns.index('lang')}")
+    rows = numbered(docs, "__row")
+    letters = rows.select("doc_id", "text", "lang", "__row", language_id.letters_of().alias("letters"))
+    judged = stored(language_id.predict(letters, langs, prob, keep=("lang", "__row", "letters")), "judged")  # read for the floors and for the rows that go
+    floors = language_id.least_likely(judged.filter(~language_id.held_out()), letters=F.col("letters"))
     floor = F.lit(float("-inf"))
     for lang, least in sorted(floors.items()):
         floor = F.when(F.col("lang_pred") == lang, F.lit(least)).otherwise(floor)
-    unlikely = (F.col("per_char") < floor) & (language_id.letters_of() >= language_id.FLOOR_LETTERS)
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~unlikely).select(*back)
+    unlikely = (F.col("per_char") < floor) & (F.col("letters") >= language_id.FLOOR_LETTERS)
+    stays = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~unlikely
+    gone = stored(judged.filter(~F.coalesce(stays, F.lit(False))).select("__row"), "rejected")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 @releasing
@@ -65,9 +68,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """MinHash near-dedup (operator 6): of each group one row stays, that with the
     smallest id (rows without an id come last) and of those the first stored row;
     rows without words stay."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    judged = stored(hyperminhash.near_duplicates(numbered, row_col="__row"), "near-duplicates")
-    return numbered.join(judged.filter("not kept").select("__row"), "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "__row")
+    gone = stored(hyperminhash.near_duplicates(rows, row_col="__row").filter("not kept").select("__row"), "near-duplicates")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 @releasing

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .words import documents, release, releasing, slices, split_words, stored, unburdened
+from .words import documents, release, releasing, slices, split_words, stored, unburdened, with_met
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -199,6 +199,7 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key_col: str,
     """(node, shingles) of the given nodes; only the texts of those classes are read again."""
     wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "first_key", "digest"), f"{name}-wanted")
     src = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    src = with_met(src, F.col("key"), wanted.select("first_key")).filter("__met").drop("__met")
     src = src.join(wanted.select("first_key").distinct(), F.col("key").eqNullSafe(F.col("first_key")), "left_semi")
 
     def run(batches):

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -286,12 +286,13 @@ def letters_of(text_col: str = "text"):
     return F.char_length(F.regexp_replace(F.col(text_col), r"[^\p{L}]", ""))
 
 
-def least_likely(judged: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+def least_likely(judged: DataFrame, text_col: str = "text", lang_col: str = "lang", letters: Column | None = None) -> dict[str, float]:
     """For each language the least log-likelihood per character that a text in it
     should have: FLOOR_MARGIN times the least of all labelled rows of `judged` (rows of
     `predict` with their label), where a text without that many letters or taken for
-    another language counts not."""
-    told = judged.filter((F.col(lang_col).cast("string") == F.col("lang_pred")) & (letters_of(text_col) >= FLOOR_LETTERS))
+    another language counts not. `letters` is their number where it is known."""
+    letters = letters_of(text_col) if letters is None else letters
+    told = judged.filter((F.col(lang_col).cast("string") == F.col("lang_pred")) & (letters >= FLOOR_LETTERS))
     least = told.groupBy("lang_pred").agg(F.min("per_char").alias("least")).collect()  # a row a language
     return {r["lang_pred"]: FLOOR_MARGIN * r["least"] for r in least}
 

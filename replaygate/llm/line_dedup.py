@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, release, releasing, slices, stored, unburdened
+from .words import documents, left_joined, release, releasing, slices, stored, unburdened
 
 MAX_EDITS = 1
 MIN_CHARS = 24
@@ -302,7 +302,7 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     gone = stored(decide_lines(df, id_col, text_col, short_repeats), "removed-lines").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__list"), F.col("n_near").alias("__near"))
     text = F.col(text_col).cast("string")
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
+    joined = left_joined(df, F.xxhash64(text), gone, "__hash", F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")))
     lines = F.split(text, "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__list"), i)), "\n")
     return joined.select(

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hyperminhash import mix
-from .words import documents, release, releasing, slices, stored, unburdened
+from .words import documents, left_joined, release, releasing, slices, stored, unburdened, with_met
 
 SPAN = 200
 GRAM = 32
@@ -329,7 +329,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copied = stored(distinct.filter("n > 1").select("t", "size"), "copied-texts")
     release(distinct, counted)
 
-    joined = texts.select("id", "text", "t", "size").join(listed, ["t", "size"])
+    joined = with_met(texts.select("text", "t", "size"), F.col("t"), listed.select("t")).filter("__met").join(listed, ["t", "size"])
     contexts = stored(_contexts(joined), "contexts")
     release(listed)
     kinds = contexts.groupBy("anchor", "c1", "c2").agg(F.min("occurrence").alias("low"), F.max("occurrence").alias("high"), F.first("starts").alias("starts"), F.first("content").alias("content"))
@@ -381,7 +381,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(df, id_col, text_col)
     names = ["id", *(f"keep_{i}" for i in range(len(keep)))]
     rows = _texts(df, id_col, text_col, keep)
-    joined = rows.join(spans, ["t", "size"], "left").select(*names, "text", "spans")
+    spans = spans.withColumnsRenamed({"t": "of_t", "size": "of_size"})
+    joined = left_joined(rows, F.col("t"), spans, "of_t", (F.col("t") == F.col("of_t")) & (F.col("size") == F.col("of_size"))).select(*names, "text", "spans")
 
     def run(batches):
         for batch in unburdened(batches):

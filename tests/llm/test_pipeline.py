@@ -6,13 +6,14 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 import test_lines
 import test_near
 import test_suffix
 from replaygate.llm import line_dedup
-from replaygate.llm.words import release, releasing, stored
+from replaygate.llm.words import left_joined, numbered, release, releasing, stored, with_met
 from replaygate.session import checkpoint_root
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, spans string"
@@ -220,3 +221,38 @@ def test_stored_leaves_no_shuffle_files(spark):
         time.sleep(0.25)
     assert not shuffle_files() - before and got.count() == 1000
     assert spark.conf.get(setting, None) == kept
+
+
+def test_a_stage_leaves_no_copy_of_the_texts(spark):
+    docs = stored(spark.createDataFrame(table(), COLUMNS), "stage")
+    for name, stage in P.STAGES:
+        before = folders(spark)
+        out = stage(spark, docs, "")
+        for left in folders(spark) - before:
+            assert "text" not in spark.read.parquet(f"{checkpoint_root(spark)}/{left}").columns, (name, left)
+        docs = stored(out, "stage")
+
+
+def test_numbers_of_rows_are_distinct_and_stay(spark, tmp_path):
+    spark.range(100).repartition(5).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    twice = read.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df, copied in ((read, False), (twice, True), (spark.range(7).toDF("id"), True), (read.limit(0), True)):
+        got = numbered(df, "n")
+        rows = sorted((r.id, r.n) for r in got.collect())
+        assert got.columns == [*df.columns, "n"] and len({n for _, n in rows}) == len(rows) == df.count()
+        assert rows == sorted((r.id, r.n) for r in got.repartition(3).collect())
+        assert any(x.startswith("numbered-") for x in read_by(got)) == copied
+
+
+def test_rows_without_a_partner_are_joined_too(spark):
+    left = spark.createDataFrame([(i % 9 if i % 4 else None, f"t{i}") for i in range(60)], "k long, v string")
+    keys = spark.createDataFrame([(k, [k or 0]) for k in (1, 3, 3, 77, None)], "of long, w array<long>")
+    on = F.col("k").eqNullSafe(F.col("of"))
+    got = left_joined(left, F.col("k"), keys, "of", on)
+    want = left.join(keys, on, "left")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    met = {r.k: r["__met"] for r in with_met(left, F.col("k"), keys.select("of")).collect()}
+    assert met == {k: k in (1, 3, None) for k in met} and len(met) > 5
+    empty = left_joined(left, F.col("k"), keys.limit(0), "of", on)
+    assert empty.count() == 60 and empty.filter("of is null and w is null").count() == 60
